@@ -169,6 +169,11 @@ def dense_topk(
     vectors is as many tiles as it needs.  Ranking uses the distance rounded to
     six digits, then the keys.
     """
+    # fresh names on both sides: requests may be derived from the vectors themselves
+    queries = queries.select("query_id", F.col(scope).alias("_scope"), F.col(query_vector).alias("_q"))
+    vectors = vectors.select(F.col(scope).alias("_scope"), *[F.col(c).alias(c) for c in keys], F.col(vector).alias("_v"))
+    scope = "_scope"
+
     def tiles(df: DataFrame, size: int, name: str) -> DataFrame:
         n = df.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
         return n.filter(F.col(name) > 1)  # at most (rows / size) scopes need a tile count
@@ -180,8 +185,8 @@ def dense_topk(
         df = df.withColumn(own, F.pmod(F.xxhash64(*ident), F.coalesce(own_n, F.lit(1))).cast("int"))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other_n, F.lit(1)) - 1))).drop("_nv", "_nq")
 
-    q = placed(queries.select("query_id", scope, F.col(query_vector).alias("_q")), "_tq", "_nq", "_tv", "_nv", ["query_id"])
-    v = placed(vectors.select(scope, *keys, F.col(vector).alias("_v")), "_tv", "_nv", "_tq", "_nq", keys)
+    q = placed(queries, "_tq", "_nq", "_tv", "_nv", ["query_id"])
+    v = placed(vectors, "_tv", "_nv", "_tq", "_nq", keys)
 
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
     fields += [T.StructField(c, vectors.schema[c].dataType) for c in keys]
@@ -200,7 +205,7 @@ def dense_topk(
         n = min(k, len(b))
         parts = []
         for start in range(0, len(a), 64):
-            d = np.round(1.0 - a[start : start + 64] @ b.T, 6)
+            d = np.round(1.0 - a[start : start + 64] @ b.T, 6) + 0.0  # no negative zero
             kth = np.partition(d, n - 1, axis=1)[:, n - 1]
             for query_id, row, limit in zip(left["query_id"].iloc[start : start + 64], d, kth):
                 near = np.flatnonzero(row < limit)
