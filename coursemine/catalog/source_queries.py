@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,7 +18,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder, or below a local one when none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="coursemine-")
-    return f"{base}/{name}-{spark.sparkContext.applicationId}-{id(object())}"
+    return f"{base}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
 
 
 def entity_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
