@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["source_queries", "text_queries", "retrieval_queries", "outline_queries"]
+MODULES = ["source_queries", "text_queries", "retrieval_queries", "outline_queries", "plan_queries", "stream_queries"]
 
 
 def collect(name: str) -> dict:

@@ -117,15 +117,16 @@ def repair_plans(raw: DataFrame, fallback: DataFrame) -> DataFrame:
     )
     items = items.withColumnsRenamed({c: "_" + c for c in ("day_index", "plan_date", "topic", "objective")})
     given = lambda c: F.when(F.col(c) != "", F.col(c))
-    both = fallback.join(items, (items["goal_id"] == fallback["goal_id"]) & (F.col("_at") == F.col("day_index")), "left").drop(items["goal_id"])
+    both = fallback.withColumn("_at", F.col("day_index")).join(items, ["goal_id", "_at"], "left")
+    present = F.col("_missing").isNotNull()
     date = F.when(given("_plan_date").isNull(), F.col("plan_date")).otherwise(
         F.when(F.substring("_plan_date", 1, 10).rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.substring("_plan_date", 1, 10).try_cast("date"))
     )
     number = F.when(F.col("_day_index").isNull(), F.col("_at")).otherwise(F.col("_day_index").try_cast("int"))
-    bad = F.coalesce(F.col("_missing"), F.lit(False)) | (F.col("_at").isNotNull() & (date.isNull() | number.isNull()))
+    bad = F.coalesce(F.col("_missing"), F.lit(False)) | (present & (date.isNull() | number.isNull()))
     ok = both.groupBy("goal_id").agg((~F.bool_or(bad)).alias("_ok"))
     merged = both.withColumn("_date", date).withColumn("_number", number).join(ok, "goal_id")
-    use = F.col("_ok") & F.col("_at").isNotNull()
+    use = F.col("_ok") & F.col("_missing").isNotNull()
     return merged.select(
         "goal_id",
         F.when(use, F.col("_number")).otherwise(F.col("day_index")).cast("int").alias("day_index"),
