@@ -30,9 +30,8 @@ def _trim_stopwords(c: Column) -> Column:
 
 
 def clean_latin_phrase(c: Column) -> Column:
-    """``clean_key_term`` for phrases of Latin words, where only its last steps can fire."""
-    c = F.regexp_replace(collapse(c), r" [A-Za-z]\z", "")
-    return _trim_stopwords(c)
+    """``clean_key_term`` for single-spaced phrases of Latin words, where only its last steps can fire."""
+    return _trim_stopwords(F.regexp_replace(c, r" [A-Za-z]\z", ""))
 
 
 def clean_key_term(c: Column) -> Column:
@@ -103,15 +102,13 @@ def valid_latin_phrase(c: Column) -> Column:
     """``valid_key_term`` for a cleaned phrase of letters, digits, hyphens and spaces."""
     formula_words = "|".join(fv.FORMULA_WORDS)
     lone_words = "|".join(fv.FORMULA_WORDS + fv.FORMULA_LONE_WORDS)
-    return ~(
-        (F.length(c) < 2)
-        | F.lower(c).isin(*_NOISE_WORDS)
-        | c.rlike(rf"(?i)(?<![A-Za-z])(?:{formula_words})(?![A-Za-z])")
-        | c.rlike(rf"(?i)\A[^A-Za-z]*(?:{lone_words})[^A-Za-z]*\z")
-        | c.rlike(r"\A\d*[A-Za-z]\d*\z")
-        | c.rlike(r"(?U)\A(?:[A-Za-z]\s*){1,5}\z")
-        | c.contains("-")
+    rejected = "|".join(
+        [
+            r"\A.?\z", "-", r"\A\d*[A-Za-z]\d*\z", r"\A(?:[A-Za-z] *){1,5}\z",
+            rf"(?<![A-Za-z])(?:{formula_words})(?![A-Za-z])", rf"\A[^A-Za-z]*(?:{lone_words})[^A-Za-z]*\z",
+        ]
     )
+    return ~(F.lower(c).isin(*_NOISE_WORDS) | c.rlike(f"(?i){rejected}"))
 
 
 def valid_key_term(raw: Column) -> Column:
@@ -176,20 +173,21 @@ def _rank(items: Column, k: int) -> Column:
     )
 
 
-def _candidate(term: Column, score: Column, kind_of: Callable[[Column], Column], fixed_kind: Column | None = None) -> Column:
-    return let(kind_of(term), lambda kb: _candidate_item(term, score, kb, fixed_kind))
+def _candidate(term: Column, score: Column, latin: bool) -> Column:
+    kind_of = latin_kind if latin else concept_kind
+    return let(kind_of(term), lambda kb: _candidate_item(term, score + kb["bonus"], kb, latin))
 
 
-def _candidate_item(term: Column, score: Column, kb: Column, fixed_kind: Column | None) -> Column:
-    total = score + kb["bonus"]
+def _candidate_item(term: Column, total: Column, kb: Column, latin: bool) -> Column:
     confidence = F.round(F.least(F.lit(0.95), F.lit(0.48) + total / F.lit(6.0)), 3)
+    zh = F.lit("") if latin else F.when(has_cjk(term), F.substring(term, 1, 80)).otherwise(F.lit(""))
     return F.struct(
         F.substring(term, 1, 80).alias("source"),
-        F.when(has_cjk(term), F.substring(term, 1, 80)).otherwise(F.lit("")).alias("zh"),
-        (fixed_kind if fixed_kind is not None else kb["kind"]).alias("kind"),
+        zh.alias("zh"),
+        kb["kind"].alias("kind"),
         confidence.alias("confidence"),
         F.lit("local").alias("term_source"),
-        identity(term).alias("identity"),
+        (F.lower(term) if latin else identity(term)).alias("identity"),
         total.alias("own"),
         # the first ranking counts the bonus a second time
         (total + confidence + kb["bonus"]).alias("score"),
@@ -220,7 +218,7 @@ def _latin_candidates(text: Column) -> Column:
     )
     # counted in its first cleaned form; a second pass settles phrases that end in two lone letters
     settled = F.transform(scored, lambda x: F.struct(clean_latin_phrase(x["p"]).alias("p"), x["s"].alias("s")))
-    return F.transform(F.filter(settled, lambda x: valid_latin_phrase(x["p"])), lambda x: _candidate(x["p"], x["s"], latin_kind))
+    return F.transform(F.filter(settled, lambda x: valid_latin_phrase(x["p"])), lambda x: _candidate(x["p"], x["s"], True))
 
 
 def _looks_like_concept(term: Column) -> Column:
@@ -267,7 +265,7 @@ def _cjk_candidates(text: Column) -> Column:
 
     blocks = F.regexp_extract_all(text, F.lit(r"[一-鿿]{2,24}"), F.lit(0))
     terms = F.filter(F.flatten(F.transform(blocks, of_block)), lambda t: (t != "") & valid_key_term(t))
-    return F.transform(terms, lambda t: _candidate(t, F.lit(1.0), concept_kind))
+    return F.transform(terms, lambda t: _candidate(t, F.lit(1.0), False))
 
 
 def _concept_candidates(text: Column, ascii_only: bool) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coursemine.functions import fixed_values as fv
@@ -65,8 +66,8 @@ def write_replacing(spark: SparkSession, path: str, rows: DataFrame, key: str, b
     """
     new = rows.withColumn("key_bucket", bucket(F.col(key), buckets))
     out = new
-    if _exists(spark, path):
-        old = spark.read.parquet(path)
+    old = _table_at(spark, path)
+    if old is not None:
         touched = new.select("key_bucket").distinct()  # at most ``buckets`` rows
         kept = old.join(F.broadcast(touched), "key_bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")
         out = kept.select(*new.columns).unionByName(new)
@@ -74,10 +75,14 @@ def write_replacing(spark: SparkSession, path: str, rows: DataFrame, key: str, b
     writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path + "/key_bucket=*"))) > 0
+def _table_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at the path; none before the first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def delete_scope(tables: dict[str, DataFrame], root: str, keys: DataFrame) -> dict[str, DataFrame]:
