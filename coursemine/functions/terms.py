@@ -43,14 +43,17 @@ def clean_key_term(c: Column) -> Column:
     return _trim_stopwords(strip(collapse(c)))
 
 
-def _concept_rows(rows: list[tuple]) -> Column:
-    """Literal ARRAY<struct(name, kind, bonus, turn)>."""
-    return F.array(
-        *[
-            F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(float(b)).alias("bonus"), F.lit(-i).alias("turn"))
-            for i, (n, k, b) in enumerate(rows)
-        ]
-    )
+def _constants(rows: list[dict]) -> Column:
+    """Literal ARRAY of structs, parsed from one SQL text: hundreds of ``lit`` calls would cost seconds to build."""
+    def value(v: object) -> str:
+        return f"{v!r}D" if isinstance(v, float) else str(v) if isinstance(v, int) else f"'{v}'"
+
+    structs = (", ".join(f"'{k}', {value(v)}" for k, v in row.items()) for row in rows)
+    return F.expr("array(" + ", ".join(f"named_struct({x})" for x in structs) + ")")
+
+
+def _one_of(words: list[str]) -> str:
+    return r"\A(?:" + "|".join(words) + r")\z"
 
 
 def concept_kind(term: Column) -> Column:
@@ -63,10 +66,12 @@ def concept_kind(term: Column) -> Column:
     def of(low: Column) -> Column:
         return let(best_held(low), lambda held: chosen(low, held))
 
+    rows = _constants([{"name": n, "kind": k, "bonus": float(b), "turn": -i} for i, (n, k, b) in enumerate(fv.CONCEPTS)])
+
     def best_held(low: Column) -> Column:
         return F.array_max(
             F.transform(
-                F.filter(_concept_rows(fv.CONCEPTS), lambda c: low.contains(c["name"])),
+                F.filter(rows, lambda c: low.contains(c["name"])),
                 lambda c: F.struct(
                     F.when(c["name"] == low, c["bonus"] * 10).otherwise(c["bonus"] * F.lit(0.65)).alias("rank"),
                     c["turn"].alias("turn"), c["kind"].alias("kind"), c["name"].alias("name"), c["bonus"].alias("bonus"),
@@ -108,7 +113,7 @@ def valid_latin_phrase(c: Column) -> Column:
             rf"(?<![A-Za-z])(?:{formula_words})(?![A-Za-z])", rf"\A[^A-Za-z]*(?:{lone_words})[^A-Za-z]*\z",
         ]
     )
-    return ~(F.lower(c).isin(*_NOISE_WORDS) | c.rlike(f"(?i){rejected}"))
+    return ~c.rlike(f"(?i){rejected}|{_one_of(_NOISE_WORDS)}")
 
 
 def valid_key_term(raw: Column) -> Column:
@@ -122,8 +127,8 @@ def _valid_cleaned(c: Column) -> Column:
     symbols = count_of(c, r"(?U)[^A-Za-z0-9一-鿿\s-]")
     return ~(
         (F.length(c) < 2)
-        | F.lower(c).isin(*_NOISE_WORDS)
-        | (has_cjk(c) & (packed.isin(*fv.CJK_NOISE) | ((F.length(packed) > 10) & (concept_kind(packed)["bonus"] <= 0))))
+        | c.rlike("(?i)" + _one_of(_NOISE_WORDS))
+        | (has_cjk(c) & (packed.rlike(_one_of(fv.CJK_NOISE)) | ((F.length(packed) > 10) & (concept_kind(packed)["bonus"] <= 0))))
         | c.rlike(rf"(?i)(?<![A-Za-z])(?:{formula_words})(?![A-Za-z])")
         | c.rlike(rf"(?i)\A[^A-Za-z]*(?:{lone_words})[^A-Za-z]*\z")
         | c.rlike(r"[\\{}^_]")
@@ -223,7 +228,7 @@ def _latin_candidates(text: Column) -> Column:
 
 def _looks_like_concept(term: Column) -> Column:
     return has_cjk(term) & (
-        term.isin(*[n for n, _, _ in fv.CONCEPTS])
+        term.rlike(_one_of([n for n, _, _ in fv.CONCEPTS]))
         | (
             (F.length(term) >= 4)
             & ~term.rlike(f"\\A[{fv.CJK_BAD_STARTS}]")
@@ -233,7 +238,7 @@ def _looks_like_concept(term: Column) -> Column:
 
 
 def _cjk_candidates(text: Column) -> Column:
-    names = F.array(*[F.lit(n) for n, _, _ in fv.CONCEPTS if not n.isascii()])
+    names = F.expr("array(" + ", ".join(f"'{n}'" for n, _, _ in fv.CONCEPTS if not n.isascii()) + ")")
 
     def of_block(raw: Column) -> Column:
         return let(clean_key_term(raw), of_cleaned)
@@ -270,16 +275,15 @@ def _cjk_candidates(text: Column) -> Column:
 
 def _concept_candidates(text: Column, ascii_only: bool) -> Column:
     """Concepts named in the text; their score holds the concept's bonus once more."""
-    def row(name: str, kind: str, bonus: float) -> Column:
+    def row(name: str, kind: str, bonus: float) -> dict:
         own = bonus + 1.0 + bonus
         confidence = round(min(0.95, 0.48 + own / 6.0), 3)
-        values = {
+        return {
             "source": name, "zh": "" if name.isascii() else name, "kind": kind, "confidence": confidence,
             "term_source": "local", "identity": name, "own": own, "score": own + confidence + bonus,
         }
-        return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
 
-    rows = F.array(*[row(*c) for c in fv.CONCEPTS if c[0].isascii() or not ascii_only])
+    rows = _constants([row(*c) for c in fv.CONCEPTS if c[0].isascii() or not ascii_only])
     return let(F.lower(text), lambda low: F.filter(rows, lambda x: low.contains(x["source"])))
 
 

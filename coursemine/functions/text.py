@@ -67,7 +67,7 @@ def _speak_commands(c: Column) -> Column:
 
 def _spoken(c: Column) -> Column:
     spoken = {k: v for k, v in fv.LATEX_SPOKEN.items() if k not in fv.LATEX_DROPPED}
-    table = F.create_map(*[F.lit(x) for kv in spoken.items() for x in kv])
+    table = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in spoken.items()) + ")")
     command = r"\\[A-Za-z]+"
     between = F.split(c, command, -1)
     commands = F.regexp_extract_all(c, F.lit(command), F.lit(0))

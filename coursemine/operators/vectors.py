@@ -24,34 +24,47 @@ def token_hash(token: Column) -> Column:
 def sparse_hash_vector(tokens: Column, dims: int = fv.EMBED_DIMS) -> Column:
     """ARRAY<struct(bucket, weight)> of a token array, by bucket, not normalized.
 
-    Signed buckets are sorted and summed run by run inside the row: a text never
-    becomes one row per token, and nothing is shuffled.
+    Tokens become integers ``2 * bucket + (sign > 0)``; once sorted, each value's
+    count is the distance between its first position and the next value's.  A
+    text never becomes one row per token, and nothing is shuffled.
     """
-    def signed(t: Column) -> Column:
-        h = token_hash(t)
-        return F.struct(
-            (h % dims).cast("int").alias("b"),
-            F.when(F.shiftright(h, 8) % 2 == 0, 1).otherwise(-1).alias("s"),
+    def code(t: Column) -> Column:
+        return let(
+            token_hash(t),
+            lambda h: ((h % dims) * 2 + F.when(F.shiftright(h, 8) % 2 == 0, 1).otherwise(0)).cast("int"),
         )
 
-    item = "struct<bucket:int,weight:int>"
-    ordered = F.array_sort(F.transform(tokens, signed))
-    start = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("w"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def closed(s: Column) -> Column:
-        return F.when(
-            s["b"] >= 0, F.concat(s["out"], F.array(F.struct(s["b"].alias("bucket"), s["w"].alias("weight"))))
-        ).otherwise(s["out"])
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["b"] == x["b"]
-        return F.struct(
-            x["b"].alias("b"),
-            F.when(same, s["w"] + x["s"]).otherwise(x["s"]).alias("w"),
-            F.when(same, s["out"]).otherwise(closed(s)).alias("out"),
+    def starts(codes: Column) -> Column:
+        first = F.transform(
+            codes, lambda x, i: F.when((i == 0) | (F.get(codes, i - 1) != x), F.struct(x.alias("code"), i.alias("at")))
+        )
+        return let(F.filter(first, lambda x: x.isNotNull()), lambda runs: counted(runs, F.size(codes)))
+
+    def counted(runs: Column, n: Column) -> Column:
+        signed = F.transform(
+            runs,
+            lambda x, i: F.struct(
+                F.floor(x["code"] / 2).cast("int").alias("bucket"),
+                ((F.coalesce(F.get(runs, i + 1)["at"], n) - x["at"]) * F.when(x["code"] % 2 == 1, 1).otherwise(-1)).alias("weight"),
+            ),
+        )
+        return let(signed, merged)
+
+    def merged(parts: Column) -> Column:
+        same = lambda a, b: F.coalesce(a["bucket"] == b["bucket"], F.lit(False))
+        both = F.transform(
+            parts,
+            lambda x, i: F.when(
+                (i == 0) | ~same(F.get(parts, i - 1), x),
+                F.struct(
+                    x["bucket"].alias("bucket"),
+                    (x["weight"] + F.when(same(F.get(parts, i + 1), x), F.get(parts, i + 1)["weight"]).otherwise(0)).alias("weight"),
+                ),
+            ),
         )
+        return F.filter(both, lambda x: x.isNotNull() & (x["weight"] != 0))
 
-    return F.filter(F.aggregate(ordered, start, step, closed), lambda x: x["weight"] != 0)
+    return let(F.sort_array(F.transform(tokens, code)), starts)
 
 
 def unit_weights(sparse: Column) -> Column:
