@@ -81,11 +81,11 @@ def full_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_hash_embed(spark, sf):
     v = view(spark, sf, "material").select("material_id", vx.unit_weights(vx.sparse_hash_vector(tk.hash_tokens(F.col("text")))).alias("w"))
-    return v.select("material_id", F.inline("w")).select("material_id", "bucket", F.round("weight", 6).alias("weight"))
+    return tx.unnest(v, ["material_id"], F.col("w"), "_pos", "x").select("material_id", "x.bucket", F.round("x.weight", 6).alias("weight"))
 
 
 def q_hash_embed_dense(spark, sf):
-    v = vx.hash_embed(view(spark, sf, "material")).select("material_id", F.posexplode("vector").alias("bucket", "x"))
+    v = tx.unnest(vx.hash_embed(view(spark, sf, "material")), ["material_id"], F.col("vector"), "bucket", "x")
     return v.groupBy("material_id").agg(
         F.count(F.lit(1)).alias("dims"), F.round(F.sum(F.col("x").cast("double") * (F.col("bucket") + 1)), 4).alias("checksum")
     )

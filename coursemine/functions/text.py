@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.functions import fixed_values as fv
 
@@ -22,6 +22,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unnest(df: DataFrame, kept: list, array: Column, pos: str, name: str) -> DataFrame:
+    """One row per element of a computed array, with its position from 0.
+
+    The outer form is used because for the plain one the optimizer adds a filter
+    on the array's size, which computes the array a second time.
+    """
+    return df.select(*kept, F.posexplode_outer(array).alias(pos, name)).filter(F.col(pos).isNotNull())
+
+
 def strip(c: Column) -> Column:
     """Strip Unicode white space at both ends (SQL ``trim`` strips spaces only)."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")

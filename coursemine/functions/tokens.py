@@ -52,7 +52,8 @@ def formula_tokens(text: Column, formulas: Column | None = None) -> Column:
 
 def hash_tokens(c: Column) -> Column:
     """Words, single ideographs and ideograph pairs, repeats kept."""
-    pairs = let(F.regexp_replace(c, r"[^\u4e00-\u9fff]", ""), lambda x: F.concat(_ngrams(x, 1), _ngrams(x, 2)))
+    ideographs = F.array_join(_all(c, r"[\u4e00-\u9fff]+"), "")
+    pairs = let(ideographs, lambda x: F.concat(_ngrams(x, 1), _ngrams(x, 2)))
     return F.concat(_all(F.lower(c), "[a-z0-9_]+"), pairs)
 
 

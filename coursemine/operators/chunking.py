@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.text import let, normalize_text, strip
+from coursemine.functions.text import let, normalize_text, strip, unnest
 from coursemine.operators.ranking import number_in_key
 
 
@@ -67,7 +67,7 @@ def chunk_text(c: Column, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVE
 def chunk_documents(df: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
     """(material_id, text, …) → one row per chunk with chunk_index and content; other columns are kept."""
     kept = [c for c in df.columns if c != "text"]
-    return df.select(*kept, F.posexplode(chunk_text(F.col("text"), size, overlap)).alias("chunk_index", "content"))
+    return unnest(df, kept, chunk_text(F.col("text"), size, overlap), "chunk_index", "content")
 
 
 def source_label(filename: Column, chunk_index: Column, page_index: Column | None = None) -> Column:
@@ -85,7 +85,7 @@ def chunk_pages(pages: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.C
     corpus is not gathered into one task.
     """
     kept = [c for c in pages.columns if c != "text"]
-    cut = pages.select(*kept, F.posexplode(chunk_text(F.col("text"), size, overlap)).alias("_pos", "content"))
+    cut = unnest(pages, kept, chunk_text(F.col("text"), size, overlap), "_pos", "content")
     numbered = number_in_key(
         cut, ["material_id"], F.floor(F.col("page_index") / 64), [F.col("page_index"), F.col("_pos")], "_n"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.text import collapse, let, lines, strip
+from coursemine.functions.text import collapse, let, lines, strip, unnest
 from coursemine.operators.ranking import latest_per_key, running_sum, top_per_key
 
 # turns per block in the running sums below: no task sees a whole conversation
@@ -37,7 +37,7 @@ def useful_line_array(text: Column, most: int = 24) -> Column:
 
 
 def useful_lines(turns: DataFrame, most: int = 24) -> DataFrame:
-    return turns.select("conv_id", "turn", F.posexplode(useful_line_array(F.col("text"), most)).alias("line_no", "line"))
+    return unnest(turns, ["conv_id", "turn"], useful_line_array(F.col("text"), most), "line_no", "line")
 
 
 def _blocks(turns: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.text import collapse, count_of, let, lines, strip
+from coursemine.functions.text import collapse, count_of, let, lines, strip, unnest
 from coursemine.operators.ranking import number_in_key, top_per_key
 
 ITEM_COLUMNS = ["title", "level", "page_start", "page_end", "order", "confidence", "source"]
@@ -86,7 +86,7 @@ def front_lines(materials: DataFrame, max_pages: int = 20, max_lines: int = 900)
         kept = F.filter(F.transform(let(lines(c), front), strip), lambda x: x != "")
         return F.slice(kept, 1, max_lines)
 
-    return materials.select("material_id", F.posexplode(candidates(F.col("text"))).alias("line_no", "line"))
+    return unnest(materials, ["material_id"], candidates(F.col("text")), "line_no", "line")
 
 
 def match_toc_lines(rows: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ RAW_ITEM = "array<struct<title:string,level:string,page_start:string,page_end:st
 
 def repair_outline(raw: DataFrame) -> DataFrame:
     """Untrusted items (material_id, raw JSON array) → cleaned items."""
-    rows = raw.select("material_id", F.posexplode(F.from_json("raw", RAW_ITEM)).alias("pos", "i")).filter(F.col("i").isNotNull())
+    rows = unnest(raw, ["material_id"], F.from_json("raw", RAW_ITEM), "pos", "i").filter(F.col("i").isNotNull())
     cleaned = rows.withColumn("title", clean_title(F.coalesce(F.col("i.title"), F.lit("")))).filter(valid_title(F.col("title")))
     as_int = lambda c: F.col(f"i.{c}").try_cast("int")
     items = cleaned.select(

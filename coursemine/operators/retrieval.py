@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.functions import fixed_values as fv
 from coursemine.functions.terms import term_labels, usable_terms
-from coursemine.functions.text import strip
+from coursemine.functions.text import strip, unnest
 from coursemine.functions.tokens import formula_tokens, query_signals, tokenize_lexical
 from coursemine.operators.ranking import broadcast_if_small, spread_join, top_per_key
 
@@ -121,7 +121,7 @@ def _postings(tokens: DataFrame, scope: str) -> DataFrame:
         F.transform("tokens", lambda t: F.struct(F.lit("w").alias("kind"), t.alias("term"))),
         F.transform("formula_tokens", lambda t: F.struct(F.lit("f").alias("kind"), t.alias("term"))),
     )
-    return tokens.select(scope, *CHUNK_KEY, F.size("tokens").alias("len"), F.explode(tagged).alias("p")).select(
+    return unnest(tokens, [scope, *CHUNK_KEY, F.size("tokens").alias("len")], tagged, "_pos", "p").select(
         scope, *CHUNK_KEY, "len", F.col("p.kind").alias("kind"), F.col("p.term").alias("term")
     )
 

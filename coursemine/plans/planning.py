@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.text import let, lines, strip
+from coursemine.functions.text import lines, strip, unnest
 from coursemine.operators.ranking import latest_per_key, top_per_key
 from coursemine.sources.tables import delete_for_replan
 
@@ -59,7 +59,7 @@ def day_count(today: Column) -> Column:
 def hit_topics(hits: DataFrame, n: int = 5) -> DataFrame:
     """(goal_id, topics): short lines of the hits (goal_id, rank, content) in rank order."""
     cut = F.transform(lines(F.col("content")), lambda x: F.regexp_replace(x, r"\A[ #\t:\-—]+|[ #\t:\-—]+\z", ""))
-    each = hits.select("goal_id", "rank", F.posexplode(F.filter(cut, lambda x: F.length(x).between(4, 40))).alias("pos", "topic"))
+    each = unnest(hits, ["goal_id", "rank"], F.filter(cut, lambda x: F.length(x).between(4, 40)), "pos", "topic")
     first = each.groupBy("goal_id", "topic").agg(F.min(F.struct("rank", "pos")).alias("at"))
     kept = top_per_key(first, ["goal_id"], [F.col("at")], n, "turn")
     return kept.groupBy("goal_id").agg(
@@ -112,7 +112,7 @@ RAW_PLAN = "array<struct<day_index:string,plan_date:string,topic:string,objectiv
 
 def repair_plans(raw: DataFrame, fallback: DataFrame) -> DataFrame:
     """Untrusted plans (goal_id, raw JSON) against the rule plan: a bad row discards the goal's whole set."""
-    items = raw.select("goal_id", F.posexplode(F.from_json("raw", RAW_PLAN)).alias("pos", "i")).select(
+    items = unnest(raw, ["goal_id"], F.from_json("raw", RAW_PLAN), "pos", "i").select(
         "goal_id", (F.col("pos") + 1).alias("_at"), F.col("i").isNull().alias("_missing"), "i.*"
     )
     items = items.withColumnsRenamed({c: "_" + c for c in ("day_index", "plan_date", "topic", "objective")})

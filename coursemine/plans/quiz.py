@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.text import let, strip
+from coursemine.functions.text import let, strip, unnest
 from coursemine.plans.reviews import half_up_percent
 
 QUIZ_KEY = ["quiz_id", "question_id"]
@@ -58,7 +58,7 @@ def repair_questions(raw: DataFrame, fallback: DataFrame) -> DataFrame:
     Any unusable item, or fewer than three, gives the whole rule set.
     """
     f = fallback.withColumnsRenamed({c: "f_" + c for c in QUESTION_COLUMNS})
-    items = raw.select("quiz_id", F.posexplode(F.slice(F.from_json("raw", RAW_QUESTION), 1, 3)).alias("pos", "i"))
+    items = unnest(raw, ["quiz_id"], F.slice(F.from_json("raw", RAW_QUESTION), 1, 3), "pos", "i")
     both = f.join(items, ["quiz_id", "pos"], "left")
     given = lambda c: F.when(F.col(f"i.{c}") != "", F.col(f"i.{c}"))
     kind = F.coalesce(given("type"), F.col("f_type"))
@@ -173,7 +173,7 @@ def repair_grades(raw: DataFrame, questions: DataFrame, fallback: DataFrame) ->
     Quizzes without a usable item take the rule grades.
     """
     r = raw.select("quiz_id", F.from_json("raw", RAW_GRADE).alias("r"))
-    items = r.select("quiz_id", F.posexplode("r.items").alias("pos", "i")).select("quiz_id", "pos", F.col("i.question_id").alias("question_id"), "i")
+    items = unnest(r, ["quiz_id"], F.col("r.items"), "pos", "i").select("quiz_id", "pos", F.col("i.question_id").alias("question_id"), "i")
     known = items.join(questions.select(*QUIZ_KEY, F.col("correct_answer").alias("_right")), QUIZ_KEY)
     score = _clamped(F.coalesce(F.col("i.score"), F.lit("0")))
     given = lambda c: F.when(F.col(c) != "", F.col(c))

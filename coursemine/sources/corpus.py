@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.text import strip
+from coursemine.functions.text import strip, unnest
 from coursemine.operators.ranking import number_in_key
 
 TEXT_EXTENSIONS = ["txt", "md"]
@@ -67,9 +67,8 @@ def ocr_pages_from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Every item of every line takes a page number; pages without text are left
     out but keep theirs.  A material without any page goes to ``failed``.
     """
-    parsed = lines.filter(strip(F.col("line")) != "").select(
-        "material_id", "line_no", F.posexplode(F.from_json("line", OCR_SCHEMA)["result"]["layoutParsingResults"]).alias("pos", "item")
-    )
+    items = F.from_json("line", OCR_SCHEMA)["result"]["layoutParsingResults"]
+    parsed = unnest(lines.filter(strip(F.col("line")) != ""), ["material_id", "line_no"], items, "pos", "item")
     block = F.floor(F.col("line_no") / 256)
     numbered = number_in_key(parsed, ["material_id"], block, [F.col("line_no"), F.col("pos")], "page_index")
     pages = numbered.select(
@@ -92,7 +91,7 @@ def read_ocr_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def split_marked_pages(df: DataFrame, text: str = "text") -> DataFrame:
     """(…, page_index, page_text) of texts with page marks; text before the first mark has no page."""
     kept = [c for c in df.columns if c != text]
-    parts = df.select(*kept, F.explode(F.split(F.col(text), r"(?m)(?=^" + PAGE_MARK + "$)")).alias("_part"))
+    parts = unnest(df, kept, F.split(F.col(text), r"(?m)(?=^" + PAGE_MARK + "$)"), "_pos", "_part")
     number = F.regexp_extract("_part", r"\A" + PAGE_MARK, 1)
     body = strip(F.regexp_replace("_part", r"\A" + PAGE_MARK, ""))
     return parts.select(*kept, F.when(number != "", number.cast("int")).alias("page_index"), body.alias("page_text")).filter(

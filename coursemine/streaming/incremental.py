@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.text import strip
+from coursemine.functions.text import strip, unnest
 from coursemine.operators.chunking import chunk_documents
 from coursemine.operators.enrichment import enrich_chunks
 from coursemine.operators.vectors import hash_embed
@@ -64,7 +64,7 @@ def memo_requests(
             F.struct(x["second"].cast("bigint").alias("at"), F.concat(s["ids"], F.array(x["request_id"].cast("bigint"))).alias("ids"))
         )
 
-    done = per_key.select(F.explode(F.aggregate("r", start, step, lambda s: s["ids"])).alias("request_id"), F.lit("computed").alias("_s"))
+    done = unnest(per_key, [F.lit("computed").alias("_s")], F.aggregate("r", start, step, lambda s: s["ids"]), "_pos", "request_id").drop("_pos")
     return requests.join(done, "request_id", "left").withColumn("served", F.coalesce("_s", F.lit("cache"))).drop("_s")
 
 
