@@ -124,13 +124,13 @@ def q_scope_filter(spark, sf):
 
 def q_dense_topk(spark, sf):
     v = view(spark, sf, "vec").select("goal_id", "chunk_id", "embedding")
-    return vx.dense_topk(centroids(spark, sf), v, ["chunk_id"], 10, tile_vectors=100_000)
+    return vx.dense_topk(centroids(spark, sf), v, ["chunk_id"], 10)
 
 
 def q_dense_topk_tiled(spark, sf):
     """The same search cut into small tiles, as a large scope would be."""
     v = view(spark, sf, "vec").select("goal_id", "chunk_id", "embedding")
-    return vx.dense_topk(centroids(spark, sf), v, ["chunk_id"], 10, tile_vectors=7, tile_queries=3)
+    return vx.dense_topk(centroids(spark, sf), v, ["chunk_id"], 10, max_broadcast=0, tile_vectors=7, tile_queries=3)
 
 
 def q_bm25_score(spark, sf):

@@ -117,7 +117,9 @@ def token_table(chunks: DataFrame, scope: str = "goal_id") -> DataFrame:
 
 
 def _postings(tokens: DataFrame, scope: str) -> DataFrame:
+    """One row per chunk and token: kind w for words, f for formula tokens, n once per chunk for the statistics."""
     tagged = F.concat(
+        F.array(F.struct(F.lit("n").alias("kind"), F.lit("").alias("term"))),
         F.transform("tokens", lambda t: F.struct(F.lit("w").alias("kind"), t.alias("term"))),
         F.transform("formula_tokens", lambda t: F.struct(F.lit("f").alias("kind"), t.alias("term"))),
     )
@@ -147,16 +149,20 @@ def lexical_scores(
     ).select("query_id", scope, F.col("p.kind").alias("kind"), F.col("p.term").alias("term"))
     wanted, small = broadcast_if_small(wanted, max_query_rows)
 
-    terms = wanted.select(scope, "kind", "term").distinct()
+    terms = wanted.select(scope, "kind", "term").distinct().unionByName(
+        queries.select(scope, F.lit("n").alias("kind"), F.lit("").alias("term")).distinct()
+    )
     postings = _postings(tokens, scope)
     hit = postings.join(F.broadcast(terms) if small else terms, [scope, "kind", "term"], "left_semi")
-    df = hit.filter(F.col("kind") == "w").groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = tokens.groupBy(scope).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens").cast("double")).alias("avg_len")
+    # both key columns are counted so that this branch reads the same shuffled token table as the scoring below
+    counted = hit.groupBy(scope, "kind", "term").agg(
+        F.greatest(F.count("material_id"), F.count("chunk_index")).alias("n"), F.sum("len").alias("total")
     )
+    df = counted.filter(F.col("kind") == "w").select(scope, "kind", "term", F.col("n").alias("df"))
+    stats = counted.filter(F.col("kind") == "n").select(scope, "n", (F.col("total") / F.col("n")).alias("avg_len"))
     weighted = (
         wanted.join(stats, scope)
-        .join(df.withColumn("kind", F.lit("w")), [scope, "kind", "term"], "left")
+        .join(df, [scope, "kind", "term"], "left")
         .select(
             "query_id", scope, "kind", "term", "avg_len",
             F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),

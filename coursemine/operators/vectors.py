@@ -163,6 +163,30 @@ def blake_encoder(dims: int = fv.EMBED_DIMS) -> Callable[[list[str]], list[list[
 # --- exact nearest neighbours -------------------------------------------------
 
 
+def _unit(rows: pd.Series) -> np.ndarray:
+    m = np.stack(rows.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1.0, norms)
+
+
+def _block_best(query_ids: np.ndarray, a: np.ndarray, block: pd.DataFrame, keys: list[str], k: int) -> Iterator[pd.DataFrame]:
+    """The k nearest rows of the block for each unit query; equals are taken in key order, so copies add no rows."""
+    block = block.sort_values(keys, ignore_index=True)
+    b = _unit(block["_v"])
+    n = min(k, len(b))
+    for start in range(0, len(a), 64):
+        d = np.round(1.0 - a[start : start + 64] @ b.T, 6) + 0.0  # no negative zero
+        kth = np.partition(d, n - 1, axis=1)[:, n - 1]
+        for query_id, row, limit in zip(query_ids[start : start + 64], d, kth):
+            near = np.flatnonzero(row < limit)
+            ties = np.flatnonzero(row == limit)[: n - len(near)]
+            at = np.concatenate([near, ties])
+            part = block[keys].iloc[at].reset_index(drop=True)
+            part.insert(0, "query_id", query_id)
+            part["distance"] = row[at]
+            yield part
+
+
 def dense_topk(
     queries: DataFrame,
     vectors: DataFrame,
@@ -171,66 +195,70 @@ def dense_topk(
     scope: str = "goal_id",
     query_vector: str = "vector",
     vector: str = "embedding",
+    max_broadcast: int = 10_000,
     tile_vectors: int = 50_000,
     tile_queries: int = 2_000,
 ) -> DataFrame:
     """(query_id, *keys, distance, rank): the k nearest vectors in the query's scope by cosine distance.
 
-    Scopes above a tile's size are cut into a grid of (query tile, vector tile).
-    Each tile is one block product in NumPy that returns its own k best per
-    query, so pairs are never materialized, and a scope with a third of all
-    vectors is as many tiles as it needs.  Ranking uses the distance rounded to
+    Exact in both plans, and pairs are never materialized: NumPy multiplies
+    blocks and returns the k best of each block per query.  Up to
+    ``max_broadcast`` requests (counted first) are sent to the tasks that scan
+    the vectors, which are then not shuffled at all.  Larger request sets meet the
+    vectors in a grid of tiles per scope.  Ranking uses the distance rounded to
     six digits, then the keys.
     """
     # fresh names on both sides: requests may be derived from the vectors themselves
     queries = queries.select("query_id", F.col(scope).alias("_scope"), F.col(query_vector).alias("_q"))
     vectors = vectors.select(F.col(scope).alias("_scope"), *[F.col(c).alias(c) for c in keys], F.col(vector).alias("_v"))
-    scope = "_scope"
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
+    fields += [T.StructField(c, vectors.schema[c].dataType) for c in keys]
+    schema = T.StructType(fields + [T.StructField("distance", T.DoubleType())])
+
+    few = queries.limit(max_broadcast + 1).toPandas() if max_broadcast > 0 else None
+    if few is not None and len(few) <= max_broadcast:
+        near = _scan_nearest(few, vectors, keys, k, schema)
+    else:
+        near = _tile_nearest(queries, vectors, keys, k, schema, tile_vectors, tile_queries)
+    return top_per_key(near, ["query_id"], [F.col("distance"), *[F.col(c) for c in keys]], k)
+
+
+def _scan_nearest(few: pd.DataFrame, vectors: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
+    by_scope = {s: (g["query_id"].to_numpy(), _unit(g["_q"])) for s, g in few.groupby("_scope")}
+    sent = vectors.sparkSession.sparkContext.broadcast(by_scope)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for s, block in frame.groupby("_scope"):
+                if s in sent.value:
+                    yield from _block_best(*sent.value[s], block, keys, k)
 
+    return vectors.mapInPandas(scan, schema)
+
+
+def _tile_nearest(
+    queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, schema: T.StructType, tile_vectors: int, tile_queries: int
+) -> DataFrame:
+    """Grid of (query tile, vector tile) per scope; a scope with a third of all vectors is as many tiles as it needs."""
     def tiles(df: DataFrame, size: int, name: str) -> DataFrame:
-        n = df.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+        n = df.groupBy("_scope").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
         return n.filter(F.col(name) > 1)  # at most (rows / size) scopes need a tile count
 
     v_tiles, q_tiles = tiles(vectors, tile_vectors, "_nv"), tiles(queries, tile_queries, "_nq")
 
     def placed(df: DataFrame, own: str, own_n: str, other: str, other_n: str, ident: list[str]) -> DataFrame:
-        df = df.join(v_tiles, scope, "left").join(q_tiles, scope, "left")
+        df = df.join(v_tiles, "_scope", "left").join(q_tiles, "_scope", "left")
         df = df.withColumn(own, F.pmod(F.xxhash64(*ident), F.coalesce(own_n, F.lit(1))).cast("int"))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other_n, F.lit(1)) - 1))).drop("_nv", "_nq")
 
     q = placed(queries, "_tq", "_nq", "_tv", "_nv", ["query_id"])
     v = placed(vectors, "_tv", "_nv", "_tq", "_nq", keys)
 
-    fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
-    fields += [T.StructField(c, vectors.schema[c].dataType) for c in keys]
-    schema = T.StructType(fields + [T.StructField("distance", T.DoubleType())])
-
-    def unit(rows: pd.Series) -> np.ndarray:
-        m = np.stack(rows.to_numpy()).astype(np.float64)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norms == 0, 1.0, norms)
-
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        right = right.sort_values(keys, ignore_index=True)
-        a, b = unit(left["_q"]), unit(right["_v"])
-        n = min(k, len(b))
-        parts = []
-        for start in range(0, len(a), 64):
-            d = np.round(1.0 - a[start : start + 64] @ b.T, 6) + 0.0  # no negative zero
-            kth = np.partition(d, n - 1, axis=1)[:, n - 1]
-            for query_id, row, limit in zip(left["query_id"].iloc[start : start + 64], d, kth):
-                near = np.flatnonzero(row < limit)
-                # equals of the k-th are taken in key order, so copies never add rows
-                ties = np.flatnonzero(row == limit)[: n - len(near)]
-                at = np.concatenate([near, ties])
-                part = right[keys].iloc[at].reset_index(drop=True)
-                part.insert(0, "query_id", query_id)
-                part["distance"] = row[at]
-                parts.append(part)
-        return pd.concat(parts, ignore_index=True)
-
-    by = [scope, "_tq", "_tv"]
-    pairs = q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(best, schema)
-    return top_per_key(pairs, ["query_id"], [F.col("distance"), *[F.col(c) for c in keys]], k)
+        parts = _block_best(left["query_id"].to_numpy(), _unit(left["_q"]), right, keys, k)
+        return pd.concat(list(parts), ignore_index=True)
+
+    by = ["_scope", "_tq", "_tv"]
+    return q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(best, schema)

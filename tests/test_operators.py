@@ -41,8 +41,8 @@ def test_spread_join_equals_join(skewed):
     assert rows(rk.spread_join(skewed, small, ["k"], F.col("pos")), "k", "pos", "m") == rows(skewed.join(small, "k"), "k", "pos", "m")
 
 
-@pytest.mark.parametrize("tile", [10_000, 16])
-def test_dense_topk_against_brute_force(spark, tile):
+@pytest.mark.parametrize("tile, few", [(10_000, 0), (16, 0), (16, 100)])
+def test_dense_topk_against_brute_force(spark, tile, few):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(120, 8)).astype(np.float32)
     v[40:90] = v[40]  # a large group of exact copies
@@ -50,7 +50,7 @@ def test_dense_topk_against_brute_force(spark, tile):
     scope = [0] * 100 + [1] * 20
     vectors = spark.createDataFrame([(scope[i], i, [float(x) for x in v[i]]) for i in range(120)], "goal_id int, chunk_id int, embedding array<float>")
     queries = spark.createDataFrame([(i, 0, [float(x) for x in q[i]]) for i in range(5)], "query_id int, goal_id int, vector array<float>")
-    got = vx.dense_topk(queries, vectors, ["chunk_id"], 7, tile_vectors=tile, tile_queries=2)
+    got = vx.dense_topk(queries, vectors, ["chunk_id"], 7, max_broadcast=few, tile_vectors=tile, tile_queries=2)
     want = []
     for i in range(5):
         d = [1 - float(np.dot(q[i].astype(float), v[j].astype(float)) / np.linalg.norm(q[i].astype(float)) / np.linalg.norm(v[j].astype(float))) for j in range(100)]
