@@ -335,3 +335,29 @@ fk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FR
 fs AS (SELECT query_id, string_agg(filename, '、' ORDER BY n) AS files FROM fk GROUP BY query_id)
 SELECT query_id, files, source FROM fs JOIN (SELECT query_id, arg_min(source, rank) AS source FROM hits GROUP BY query_id) USING (query_id)""",
 }
+
+
+def _enriched_search() -> str:
+    """The hybrid query with enriched texts as dense documents; their tokens include ideographs and pairs."""
+    cjk = "regexp_extract_all(embedding_text, '[一-鿿]')"
+    toks = f"""ev_c AS (SELECT material_id, chunk_index, embedding_text, {cjk} AS cs FROM enr),
+ev_l AS (SELECT material_id, chunk_index, list_concat(list_concat(regexp_extract_all(lower(embedding_text), '[a-z0-9_]+'), cs),
+  list_transform(range(1, len(cs)), lambda i: cs[i] || cs[i + 1])) AS ts FROM ev_c),
+ev_t AS (SELECT c.goal_id, e.material_id, e.chunk_index, unnest(ts) AS tok FROM ev_l e JOIN chunks c ON c.material_id = e.material_id AND c.chunk_index = e.chunk_index),
+cv_t AS (SELECT * FROM ev_t)"""
+    base = _HYBRID.replace(d.hash_cte("chunks", "goal_id, material_id, chunk_index", "content", "cv"), "@@")
+    plain = d.hash_cte("chunks", "goal_id, material_id, chunk_index", "content", "cv")
+    rest = plain[plain.index("cv_h AS"):]
+    src = f"esrc AS (SELECT material_id, chunk_index, content AS text, {d.clean('content')} AS rt FROM chunks)"
+    from coursemine.catalog.text_queries import enriched_cte
+
+    enr = enriched_cte("esrc")
+    for name in ("f_raw", "f_line", "f_all", "formulas"):
+        enr = enr.replace(f"{name} AS", f"e{name} AS").replace(f"FROM {name}", f"FROM e{name}").replace(f"JOIN {name} ", f"JOIN e{name} ")
+    enr = enr.replace("ranked", "eranked")
+    return f"WITH {base.replace('@@', f'{src}, {enr}, {toks}, {rest}')} SELECT query_id, material_id, chunk_index, distance, lexical_score, retrieval_source, score, rank FROM ranked WHERE rank <= 5"
+
+
+ORACLE["enriched_search"] = _enriched_search()
+# every text with a token has a unit vector, whichever hash is used
+ORACLE["embed_with"] = f"""SELECT material_id, 384 AS dims, CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9_]+')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM {d.view('material')}"""

@@ -251,3 +251,13 @@ SELECT job_id, event_id, stage, CAST(greatest(0, least(100, st + floor(span * r)
     "stream_ingest": f"""WITH {d.chunks_cte()} SELECT material_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars, NULL::VARCHAR AS error_message FROM chunks WHERE material_id % 25 <> 7 GROUP BY material_id
 UNION ALL SELECT material_id, 0, 0, 'No readable text in material' FROM {d.view('material')} WHERE material_id % 25 = 7""",
 }
+
+
+def _ingest() -> str:
+    from coursemine.catalog.text_queries import enriched_cte
+
+    return f"""WITH {d.chunks_cte()}, src AS (SELECT material_id, chunk_index, content AS text, {d.clean('content')} AS rt FROM chunks WHERE material_id % 25 <> 7), {enriched_cte('src')}
+SELECT material_id, chunk_index, concat('material_', material_id, '_chunk_', chunk_index) AS document_id, source_lang, CAST(n_terms AS INT) AS n_terms, 384 AS dims FROM enr"""
+
+
+ORACLE["ingest_batch"] = _ingest()

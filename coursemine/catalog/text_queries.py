@@ -396,3 +396,22 @@ SELECT chunk_id, array_to_string(list_sort({_FORM_TOK}), ' ') AS tokens FROM {d.
     "hash_tokens": f"""SELECT material_id, CAST(len(ts) AS INT) AS n, md5(coalesce(array_to_string(ts, ' '), '')) AS tokens_md5
 FROM (SELECT material_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ts FROM {M})""",
 }
+
+
+def enriched_cte(src: str) -> str:
+    """CTE ``enr`` (keys, source_lang, summary_zh, terms, n_terms, fs, embedding_text) from chunks src with text and rt."""
+    k = "material_id, chunk_index"
+    on = lambda t: f"{t}.material_id = s.material_id AND {t}.chunk_index = s.chunk_index"
+    return f"""{terms_cte(src)}, {d.formulas_cte(src, k)},
+e_re AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY confidence + bonus DESC, length(term) DESC, term) AS r2 FROM ranked),
+e_t AS (SELECT {k}, count(*) AS n_terms, string_agg(term, '、' ORDER BY rk) AS names, string_agg({_TERM}, {d.q(SEP)} ORDER BY r2) AS terms,
+  string_agg(concat(term, ' = '), '；' ORDER BY r2) AS pairs FROM e_re GROUP BY ALL),
+e_1 AS (SELECT s.material_id, s.chunk_index, s.text, rt, fs, coalesce(n_terms, 0) AS n_terms, coalesce(terms, '') AS terms, pairs, names,
+  CASE WHEN {d.count('rt', '[A-Za-z]')} = 0 THEN 'unknown' ELSE 'en' END AS source_lang FROM {src} s LEFT JOIN e_t ON {on('e_t')} JOIN formulas f ON {on('f')}),
+e_2 AS (SELECT *, CASE WHEN source_lang = 'en' THEN concat('该英文片段主要围绕 ', coalesce(names, '核心概念'), ' 等概念展开。') WHEN length(rt) <= 160 THEN rt ELSE concat(substr(rt, 1, 160), '...') END AS summary_zh FROM e_1),
+enr AS (SELECT *, concat_ws(chr(10), CASE WHEN rt <> '' THEN rt ELSE text END, CASE WHEN len(fs) > 0 THEN concat('Formulae: ', array_to_string(fs[1:5], ' ; ')) END,
+  CASE WHEN summary_zh <> '' THEN concat('中文摘要：', summary_zh) END, CASE WHEN pairs IS NOT NULL THEN concat('核心术语：', pairs) END) AS embedding_text FROM e_2)"""
+
+
+ORACLE["enrich_chunks"] = f"""WITH {_CH}, src AS (SELECT material_id, chunk_index, content AS text, {d.clean('content')} AS rt FROM chunks), {enriched_cte('src')}
+SELECT material_id, chunk_index, source_lang, summary_zh, terms, coalesce(array_to_string(fs, {d.q(SEP)}), '') AS formulas, md5(embedding_text) AS embedding_md5 FROM enr"""
