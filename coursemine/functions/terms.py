@@ -367,6 +367,15 @@ def rank_terms(items: Column, k: int = fv.MAX_KEY_TERMS) -> Column:
     return _rank(_keep_best(F.transform(_sided(items), scored)), k)
 
 
+def rerank_extracted(items: Column, k: int = fv.MAX_KEY_TERMS) -> Column:
+    """``rank_terms`` for the output of ``extract_key_terms``: already clean, valid and distinct, so only the order changes."""
+    def scored(t: Column) -> Column:
+        shown = F.when(t["zh"] != "", t["zh"]).otherwise(t["source"])
+        return t.withField("score", t["confidence"] + concept_kind(shown)["bonus"])
+
+    return _rank(F.transform(items, scored), k)
+
+
 def usable_terms(items: Column, least: float = 0.45) -> Column:
     """Source and zh forms of the trusted terms, cleaned, valid, distinct in order."""
     trusted = F.filter(items, lambda t: t["confidence"].isNull() | (t["confidence"] >= least))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.terms import TERM_TYPE, extract_key_terms, normalize_terms, rank_terms
+from coursemine.functions.terms import TERM_TYPE, extract_key_terms, normalize_terms, rank_terms, rerank_extracted
 from coursemine.functions.text import clean_for_retrieval, detect_language, extract_formulas, shorten
 
 
@@ -46,9 +46,11 @@ def enrich_chunks(chunks: DataFrame, content: str = "content", model_terms: str
         "summary_zh",
         F.when(F.col("source_lang") == "en", english_summary(F.col("_local"))).otherwise(shorten(F.col("retrieval_text"))),
     )
-    local = normalize_terms(F.col("_local"), "local")
-    merged = local if model_terms is None else F.concat(normalize_terms(F.col(model_terms), "llm"), local)
-    staged = staged.withColumn("key_terms", rank_terms(merged)).drop("_local")
+    if model_terms is None:
+        terms = rerank_extracted(F.col("_local"))
+    else:
+        terms = rank_terms(F.concat(normalize_terms(F.col(model_terms), "llm"), normalize_terms(F.col("_local"), "local")))
+    staged = staged.withColumn("key_terms", terms).drop("_local")
     return staged.withColumn(
         "embedding_text",
         embedding_text(raw, F.col("retrieval_text"), F.col("formulas"), F.col("summary_zh"), F.col("key_terms")),
