@@ -6,7 +6,9 @@ DuckDB counterpart start from the same definition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from coursemine.operators.ranking import number_in_key
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -81,6 +83,19 @@ SELECT p_partkey AS chunk_id,
               chr(92), 'frac{{', CAST(p_size AS STRING), '}}{{2}} ', chr(92), 'alpha') AS text
 FROM {part}""",
 }
+# Views with a number per key, as Spark builds them: the same rows without the
+# number, the key, a block that grows with the order, the order, the number's name.
+# One goal or plan may hold much of a table, so it is numbered block by block.
+_LINE_ORDER = [
+    "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
+    "l_returnflag", "l_linestatus",
+]
+_LINE_BLOCK = "struct(l_linenumber, floor(l_partkey / 1000))"
+NUMBERED = {
+    "plan": ("goal_id", "year(o_orderdate)", ["o_orderdate", "o_orderkey"], "day_index"),
+    "task": ("plan_id", _LINE_BLOCK, _LINE_ORDER, "task_no"),
+    "quiz_answer": ("quiz_id", _LINE_BLOCK, _LINE_ORDER, "seq"),
+}
 MULTI_SPARK = """
 SELECT conv_id AS material_id,
        listagg(text, concat(chr(10), chr(10))) WITHIN GROUP (ORDER BY turn) AS text
@@ -109,9 +124,21 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     if "documents" in used:
         used["documents"] = fill_cores(used["documents"], "doc_id")
+    if name in NUMBERED:
+        return _numbered(spark, text, used, *NUMBERED[name])
     return spark.sql(text, **used)
 
 
+def _numbered(
+    spark: SparkSession, text: str, used: dict[str, DataFrame], key: str, block: str, order: list[str], number: str
+) -> DataFrame:
+    columns = spark.sql(text, **used).columns
+    start, end = text.index("CAST(row_number()"), text.index(f"AS {number},") + len(f"AS {number},")
+    bare = text[:start] + "".join(f"{c} AS _{c}, " for c in order) + f"{block} AS _b, " + text[end:]
+    rows = number_in_key(spark.sql(bare, **used), [key], F.col("_b"), [F.col(f"_{c}") for c in order], number)
+    return rows.select(*columns)
+
+
 def duck(name: str) -> str:
     """The view as a parenthesized DuckDB subquery."""
     text = MULTI_DUCK if name == "multi" else VIEWS[name].format(**{t: t for t in TABLES})
