@@ -71,10 +71,9 @@ def running_sum(
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast hint only after counting that the side has at most ``max_rows`` rows."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """Whether the side has at most ``max_rows`` rows; counting stops there.  Asked before a broadcast hint."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def spread_join(

@@ -8,7 +8,7 @@ from coursemine.functions import fixed_values as fv
 from coursemine.functions.terms import term_labels, usable_terms
 from coursemine.functions.text import strip, unnest
 from coursemine.functions.tokens import formula_tokens, query_signals, tokenize_lexical
-from coursemine.operators.ranking import broadcast_if_small, spread_join, top_per_key
+from coursemine.operators.ranking import is_small, spread_join, top_per_key
 
 CHUNK_KEY = ["material_id", "chunk_index"]
 
@@ -147,7 +147,7 @@ def lexical_scores(
             )
         ).alias("p"),
     ).select("query_id", scope, F.col("p.kind").alias("kind"), F.col("p.term").alias("term"))
-    wanted, small = broadcast_if_small(wanted, max_query_rows)
+    small = is_small(wanted, max_query_rows)
 
     terms = wanted.select(scope, "kind", "term").distinct().unionByName(
         queries.select(scope, F.lit("n").alias("kind"), F.lit("").alias("term")).distinct()

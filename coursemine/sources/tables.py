@@ -66,7 +66,7 @@ def write_replacing(spark: SparkSession, path: str, rows: DataFrame, key: str, b
     """
     new = rows.withColumn("key_bucket", bucket(F.col(key), buckets))
     out = new
-    old = _table_at(spark, path)
+    old = table_at(spark, path)
     if old is not None:
         touched = new.select("key_bucket").distinct()  # at most ``buckets`` rows
         kept = old.join(F.broadcast(touched), "key_bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")
@@ -75,7 +75,7 @@ def write_replacing(spark: SparkSession, path: str, rows: DataFrame, key: str, b
     writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(path)
 
 
-def _table_at(spark: SparkSession, path: str) -> DataFrame | None:
+def table_at(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at the path; none before the first write."""
     try:
         return spark.read.parquet(path)

@@ -12,7 +12,7 @@ from coursemine.functions.text import strip, unnest
 from coursemine.operators.chunking import chunk_documents
 from coursemine.operators.enrichment import enrich_chunks
 from coursemine.operators.vectors import hash_embed
-from coursemine.sources.tables import chunk_rows, write_replacing
+from coursemine.sources.tables import chunk_rows, table_at, write_replacing
 
 CACHE_KEY = ["material_id", "page_index", "target_lang", "text_hash"]
 
@@ -75,12 +75,12 @@ def memo_stream(requests: DataFrame, computed_path: str, checkpoint: str, ttl: i
     """
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        cache = None
-        if number > 0:
-            earliest = batch.agg(F.min("second")).first()[0]
-            if earliest is None:
-                return
-            cache = spark.read.parquet(computed_path).filter((F.col("batch") < number) & (F.col("second") > earliest - ttl))
+        earliest = batch.agg(F.min("second")).first()[0]
+        if earliest is None:
+            return
+        cache = table_at(spark, computed_path)
+        if cache is not None:
+            cache = cache.filter((F.col("batch") < number) & (F.col("second") > earliest - ttl))
         out = memo_requests(batch, cache, ttl).filter("served = 'computed'").drop("served").withColumn("batch", F.lit(number))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(computed_path)
 
