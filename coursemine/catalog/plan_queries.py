@@ -63,8 +63,8 @@ def _plan_out(df):
     return df.select("goal_id", "day_index", day("plan_date").alias("plan_date"), "topic", "objective")
 
 
-def _bad_raw(df: DataFrame, key: str, fields: list, bad: F.Column) -> DataFrame:
-    """One raw JSON array per key from rows ordered by day; rows marked bad spoil their field."""
+def _raw_json(df: DataFrame, key: str, fields: list) -> DataFrame:
+    """One raw JSON array per key from rows ordered by day."""
     item = F.struct(*fields)
     return df.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("day_index", item.alias("i")))), lambda x: x["i"])).alias("raw"))
 
@@ -104,7 +104,7 @@ def q_repair_plans(spark, sf):
         F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("new "), F.col("topic"))).alias("topic"),
         F.when(i % 4 == 1, "new objective").alias("objective"),
     ]
-    raw = _bad_raw(few, "goal_id", fields, None)
+    raw = _raw_json(few, "goal_id", fields)
     raw = raw.withColumn("raw", F.when(F.col("goal_id") % 7 == 5, "not json").otherwise(F.col("raw")))
     return _plan_out(pl.repair_plans(raw, base))
 
@@ -194,8 +194,6 @@ def q_list_children(spark, sf):
 
 
 def q_resolve_scope(spark, sf):
-    o = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
-    ident = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey")
     p = view(spark, sf, "plan")
     r = p.select(
         F.col("plan_id").alias("request_id"), F.when(F.col("plan_id") % 5 == 0, F.col("goal_id") + 1).otherwise(F.col("goal_id")).alias("goal_id"),

@@ -24,12 +24,6 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("_row"))
-    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
-
-
 def _block_offsets(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:
     """Sum of ``amount`` over the earlier blocks of each key; as many rows as there are blocks."""
     totals = df.groupBy(*keys, "_block").agg(amount.alias("_total"))
