@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coursemine.fixtures import table
-from coursemine.llm import quality_rules
+from coursemine.llm import line_dedup, quality_rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,5 +51,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND host_kept AS kept, host_docs, host_failed
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
 
-QUERIES = {"op8_quality_rules": q_quality_rules}
-ORACLE = {"op8_quality_rules": SQL_QUALITY_RULES}
+def q_line_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = line_dedup.LineIndex(spark).insert(docs)
+    out = line_dedup.split_lines(docs, index)
+    return out.select(
+        "doc_id", F.size("__drop").cast("long").alias("n_lines"),
+        F.size(F.filter("__drop", lambda x: x)).cast("long").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"),
+    )
+
+
+SQL_LINE_DEDUP = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT r, doc_id, i, lines[i] AS line,
+         translate(regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM t)),
+frequent AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN frequent f ON l.k = f.k GROUP BY r, doc_id"""
+
+QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules}
+ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES}
