@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coursemine.fixtures import table
-from coursemine.llm import line_dedup, quality_rules
+from coursemine.llm import line_dedup, mixing, quality_rules, simhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,5 +73,18 @@ SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN frequent f ON l.k = f.k GROUP BY r, doc_id"""
 
-QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules}
+def q_simhash(spark, sf):
+    out = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def q_mixing(spark, sf):
+    out = mixing.mix(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    out = out.withColumn("n", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules,
+    "op5_simhash": q_simhash, "op9_mixing": q_mixing,
+}
 ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES}
