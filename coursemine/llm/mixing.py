@@ -88,10 +88,12 @@ def pivot(p: np.ndarray, words: np.ndarray, rng: np.random.Generator) -> None:
 
 def _round_block(seed: int, level: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "size", "n"]).reset_index(drop=True)
+        # Long documents first: what stays open at the end is then a short one, as a rule.
+        rows = rows.assign(words=rows["size"] * rows["n"]).sort_values(["words", "order", "n"], ascending=[False, True, True])
+        rows = rows.reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(rows["source_no"].iloc[0]), int(rows["block"].iloc[0])])
         p = rows["p"].to_numpy(np.float64, copy=True)
-        pivot(p, np.maximum(rows["size"] * rows["n"], 1).to_numpy(np.float64), rng)
+        pivot(p, np.maximum(rows.pop("words"), 1).to_numpy(np.float64), rng)
         if last:  # the last open unit of the source
             at = (p > 0) & (p < 1)
             p[at] = rng.random(int(at.sum())) < p[at]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coursemine.fixtures import table
-from coursemine.llm import line_dedup, mixing, quality_rules, simhash
+from coursemine.llm import decontamination, licenses, line_dedup, mixing, quality_rules, simhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,7 +84,18 @@ def q_mixing(spark, sf):
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def q_decontamination(spark, sf):
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    out = decontamination.contaminations(docs, items)
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "coverage", "renamed")
+
+
+def q_licenses(spark, sf):
+    return licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text")).drop("spans")
+
+
 QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules,
     "op5_simhash": q_simhash, "op9_mixing": q_mixing,
+    "op3_decontamination": q_decontamination, "op10_licenses": q_licenses,
 }
 ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES}
