@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coursemine.fixtures import table
-from coursemine.llm import decontamination, licenses, line_dedup, mixing, quality_rules, simhash
+from coursemine.llm import (
+    decontamination, language_id, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash,
+)
+from coursemine.llm.common import remainder
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,8 +97,23 @@ def q_licenses(spark, sf):
     return licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text")).drop("spans")
 
 
+def q_quality_classifier(spark, sf):
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    ranking = quality_classifier.fit(docs, labels.filter(remainder(5) != 0))
+    out = docs.select("doc_id", (remainder(5) == 0).alias("held_out"), quality_classifier.score(docs, ranking).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= quality_classifier.CUT).cast("int"))
+
+
+def q_language_id(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    dictionaries = language_id.fit(docs.filter(remainder(5) != 0))
+    out = docs.select("doc_id", (remainder(5) == 0).alias("held_out"), language_id.identify(docs, dictionaries).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.accepted")
+
+
 QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules,
     "op5_simhash": q_simhash, "op9_mixing": q_mixing,
     "op3_decontamination": q_decontamination, "op10_licenses": q_licenses,
+    "op4_quality_classifier": q_quality_classifier, "op7_language_id": q_language_id,
 }
 ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES}
