@@ -12,7 +12,7 @@ from coursemine.llm.common import mixed
 # windows the join that decides, so more windows than bits cost time, not results.
 BITS = 24
 STEP = 0x9E3779B97F4A7C15
-MEMO = 1_000_000
+MEMO = 400_000
 
 
 def rolling(codes: np.ndarray, k: int) -> np.ndarray:
