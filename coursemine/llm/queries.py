@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from coursemine.fixtures import table
 from coursemine.llm import (
-    decontamination, html_extraction, language_id, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash,
+    decontamination, html_extraction, language_id, language_model, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash,
 )
 from coursemine.llm.common import remainder
 
@@ -116,10 +116,19 @@ def q_html_extraction(spark, sf):
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def q_language_model(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = language_model.train(docs.filter(~language_model.held_out()))
+    out = language_model.score(docs, model).withColumn("held_out", language_model.held_out())
+    return out.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity",
+    )
+
+
 QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules,
     "op5_simhash": q_simhash, "op9_mixing": q_mixing,
     "op3_decontamination": q_decontamination, "op10_licenses": q_licenses,
-    "op6_html_extraction": q_html_extraction,
+    "op2_language_model": q_language_model, "op6_html_extraction": q_html_extraction,
     "op4_quality_classifier": q_quality_classifier, "op7_language_id": q_language_id,
 }
 ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES}
