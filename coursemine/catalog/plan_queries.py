@@ -188,8 +188,10 @@ def q_material_rollup(spark, sf):
 
 def q_list_children(spark, sf):
     m = _parsed_materials(spark, sf)
-    out = pl.list_children(m, {"goal_id": 3}, [F.col("created_at").desc()], searchable=True, file_type="md").select(F.lit("materials").alias("list"), F.col("material_id").alias("a"), F.col("chunk_count").alias("b"))
-    t = pl.list_children(tasks(spark, sf), {"plan_id": 7}, [F.col("task_no")]).select(F.lit("tasks").alias("list"), F.col("plan_id").alias("a"), F.col("task_no").alias("b"))
+    goals = view(spark, sf, "goal").filter("goal_id % 2 = 1").select("goal_id")
+    some = view(spark, sf, "plan").filter("plan_id % 3 = 1").select("plan_id")
+    out = pl.list_children(m, goals, [F.col("created_at").desc()], searchable=True, file_type="md").select(F.lit("materials").alias("list"), F.col("material_id").alias("a"), F.col("chunk_count").alias("b"))
+    t = pl.list_children(tasks(spark, sf), some, [F.col("task_no")]).select(F.lit("tasks").alias("list"), F.col("plan_id").alias("a"), F.col("task_no").alias("b"))
     return out.unionByName(t)
 
 
@@ -316,8 +318,18 @@ def q_repair_questions(spark, sf):
     return out.select("quiz_id", "pos", "question_id", "type", "question", joined(F.col("options")).alias("options"), "correct_answer", "reference_answer", "explanation", "origin")
 
 
+def questions(spark, sf):
+    """Questions, those numbered 5 as short answers with a reference."""
+    short = F.col("question_id") == "q5"
+    q = view(spark, sf, "quiz_question")
+    return q.select(
+        "quiz_id", "question_id", F.when(short, "short_answer").otherwise(F.col("type")).alias("type"),
+        F.when(~short, F.col("correct_answer")).alias("correct_answer"), F.when(short, F.concat(F.lit("see "), F.col("correct_answer"))).alias("reference_answer"),
+    )
+
+
 def graded(spark, sf):
-    return qz.grade_choices(view(spark, sf, "quiz_question"), view(spark, sf, "quiz_answer"))
+    return qz.grade_choices(questions(spark, sf), view(spark, sf, "quiz_answer"))
 
 
 def q_grade_choices(spark, sf):
@@ -335,7 +347,7 @@ def q_score_short_answers(spark, sf):
         F.when(F.col("task_no") == 1, "  ").when(F.col("task_no") == 2, F.concat(F.lit(" it is "), F.col("description"))).when(F.col("task_no") == 3, "short").otherwise(F.col("topic")).alias("answer"),
         F.when(F.col("task_no") % 2 == 0, F.col("description")).otherwise(F.lit("?")).alias("reference_answer"), F.col("topic").alias("question"),
     )
-    return qz.score_short_answers(rows).select("plan_id", "task_no", "score", "is_correct")
+    return qz.score_short_answers(rows).select("plan_id", "task_no", "score", "is_correct", "feedback")
 
 
 def _raw_grades(spark, sf):
@@ -352,12 +364,12 @@ def _raw_grades(spark, sf):
 
 
 def q_repair_grades(spark, sf):
-    items, _ = qz.repair_grades(_raw_grades(spark, sf), view(spark, sf, "quiz_question"), graded(spark, sf))
+    items, _ = qz.repair_grades(_raw_grades(spark, sf), questions(spark, sf), graded(spark, sf))
     return items
 
 
 def q_repair_grade_totals(spark, sf):
-    return qz.repair_grades(_raw_grades(spark, sf), view(spark, sf, "quiz_question"), graded(spark, sf))[1]
+    return qz.repair_grades(_raw_grades(spark, sf), questions(spark, sf), graded(spark, sf))[1]
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -432,15 +444,18 @@ adj AS (SELECT p.goal_id, p.plan_id, td.from_day, p.topic AS original_topic, con
   concat('先用 30-40 分钟回补「', pt, '」，再推进「', p.topic, '」的基础内容，避免薄弱点继续滚雪球。') AS adjusted_objective,
   concat('今日完成率为 ', CAST(trunc(rate * 100) AS INT), '%，主要薄弱点集中在「', pt, '」，因此明日计划先补弱再推进。') AS reason
   FROM {_P} p JOIN td ON td.goal_id = p.goal_id AND td.from_day + 1 = p.day_index)"""
-_LAST = f"la AS (SELECT quiz_id, question_id, arg_max(answer, seq) AS answer FROM {_QA} GROUP BY ALL)"
-_GR = f"""{_LAST}, gr0 AS (SELECT q.*, lower({d.sub("coalesce(answer, '')", chr(92) + 's+')}) = lower({d.sub('correct_answer', chr(92) + 's+')}) AS ok FROM {_QQ} q LEFT JOIN la USING (quiz_id, question_id)),
-gr AS (SELECT quiz_id, question_id, ok AS is_correct, CASE WHEN ok THEN 100 ELSE 0 END AS score, CASE WHEN ok THEN {d.q(fv.CHOICE_RIGHT)} ELSE {d.q(fv.CHOICE_WRONG)} END AS feedback, correct_answer FROM gr0)"""
+_LAST = f"la AS (SELECT quiz_id, question_id, arg_max(coalesce(answer, ''), seq) AS answer FROM {_QA} GROUP BY ALL)"
+_GR = f"""{_LAST}, qs AS (SELECT quiz_id, question_id, question_id = 'q5' AS short, CASE WHEN question_id = 'q5' THEN concat('see ', correct_answer) ELSE correct_answer END AS correct_answer FROM {_QQ}),
+gr0 AS (SELECT q.*, NOT short AND lower({d.sub("coalesce(answer, '')", chr(92) + 's+')}) = lower({d.sub('correct_answer', chr(92) + 's+')}) AS ok FROM qs q LEFT JOIN la USING (quiz_id, question_id)),
+gr AS (SELECT quiz_id, question_id, ok AS is_correct, CASE WHEN ok THEN 100 ELSE 0 END AS score,
+  CASE WHEN short THEN {d.q(fv.SHORT_UNSCORED)} WHEN ok THEN {d.q(fv.CHOICE_RIGHT)} ELSE {d.q(fv.CHOICE_WRONG)} END AS feedback, correct_answer, short FROM gr0)"""
 
 
 def _band(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} >= {a} THEN {d.q(t)}" for a, t in fv.SCORE_BANDS) + " END"
 
 
+_short_feedback = "CASE " + " ".join(f"WHEN score >= {a} THEN {d.q(t)}" for a, t in fv.SHORT_FEEDBACK) + " END"
 _NT = f"""nt AS (SELECT t.plan_id, t.task_no, concat('「', p_name, '」') AS title, p_name, topic, p_type AS description
   FROM {_TK} t JOIN part ON p_partkey = CAST(substr(t.title, 6) AS BIGINT) JOIN {_P} p ON p.plan_id = t.plan_id)"""
 _RG = f"""{_GR}, rg AS (SELECT quiz_id, question_id, CAST(substr(question_id, 2) AS INT) AS n, correct_answer FROM gr WHERE quiz_id % 7 <> 2),
@@ -469,7 +484,8 @@ UNION ALL SELECT 'active goals', c FROM n""",
     "repair_tasks": f"""WITH {_PD}, t AS (SELECT plan_id, task_no, CASE WHEN task_no = 2 THEN '学习任务' ELSE title END AS title,
   CASE WHEN task_no = 4 THEN 20 ELSE greatest(5, estimated_minutes * 3) END AS m, plan_id % 9 = 4 AND task_no = 3 AS bad FROM {_TK} WHERE task_no <= 6),
 b AS (SELECT t.*, goal_id, dm, coalesce(sum(CASE WHEN bad THEN NULL ELSE m END) OVER (PARTITION BY plan_id ORDER BY task_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t JOIN pd USING (plan_id)),
-k AS (SELECT * FROM b WHERE before < dm), ok AS (SELECT plan_id FROM k GROUP BY plan_id HAVING NOT bool_or(bad)),
+seen AS (SELECT *, lag(before) OVER (PARTITION BY plan_id ORDER BY task_no) AS earlier FROM b),
+ok AS (SELECT plan_id FROM seen WHERE earlier IS NULL OR earlier < dm GROUP BY plan_id HAVING NOT bool_or(bad) AND bool_or(before < dm)), k AS (SELECT * FROM b WHERE before < dm),
 rest AS (SELECT * FROM pd WHERE plan_id NOT IN (SELECT plan_id FROM ok))
 SELECT plan_id, goal_id, CAST(task_no AS INT) AS task_no, title, '完成指定学习内容。' AS description, CAST(least(m, dm - before) AS INT) AS estimated_minutes, 'study' AS task_type
 FROM k WHERE plan_id IN (SELECT plan_id FROM ok) UNION ALL {_alloc('rest')}""",
@@ -485,8 +501,8 @@ LEFT JOIN (SELECT goal_id, count(*) AS pc FROM {_P} GROUP BY goal_id) USING (goa
 LEFT JOIN (SELECT plan_id, count(*) AS tc, string_agg(title, {_J} ORDER BY task_no) FILTER (WHERE task_no <= 8) AS ts FROM {_TK} GROUP BY plan_id) USING (plan_id)
 LEFT JOIN (SELECT quiz_id AS plan_id, count(*) AS qc FROM {_QQ} GROUP BY quiz_id) USING (plan_id)""",
     "material_rollup": f"SELECT goal_id, count(*) AS materials, count(*) FILTER (WHERE material_id % 4 <= 1) AS ready, CAST(sum(material_id % 13) AS BIGINT) AS chunks FROM {d.view('material')} GROUP BY goal_id",
-    "list_children": f"""SELECT 'materials' AS list, material_id AS a, CAST(material_id % 13 AS INT) AS b FROM {d.view('material')} WHERE goal_id = 3 AND material_id % 4 = 0 AND material_id % 13 > 0
-UNION ALL SELECT 'tasks', plan_id, task_no FROM {_TK} WHERE plan_id = 7""",
+    "list_children": f"""SELECT 'materials' AS list, material_id AS a, CAST(material_id % 13 AS INT) AS b FROM {d.view('material')} WHERE goal_id % 2 = 1 AND goal_id IN (SELECT goal_id FROM {_G}) AND material_id % 4 = 0 AND material_id % 13 > 0
+UNION ALL SELECT 'tasks', plan_id, task_no FROM {_TK} WHERE plan_id % 3 = 1 AND plan_id IN (SELECT plan_id FROM {_P})""",
     "resolve_scope": f"""WITH p AS {_P}, r AS (SELECT plan_id AS request_id, CASE WHEN plan_id % 5 = 0 THEN goal_id + 1 ELSE goal_id END AS goal_id, CASE WHEN plan_id % 3 = 0 THEN plan_id END AS plan_id,
   CASE WHEN plan_id % 3 <= 1 THEN CAST(day_index * (plan_id % 2 * 3 + 1) AS INT) END AS day_index FROM p),
 j AS (SELECT r.*, a.goal_id AS ag, a.day_index AS ad, b.plan_id AS bp FROM r LEFT JOIN p a ON a.plan_id = r.plan_id LEFT JOIN p b ON b.goal_id = r.goal_id AND b.day_index = r.day_index),
@@ -518,13 +534,13 @@ SELECT k AS quiz_id, i AS pos, CASE WHEN ok AND i > 0 THEN concat('x', i) ELSE c
   CASE WHEN i = 2 THEN NULL WHEN NOT ok THEN 'A. yes' WHEN k % 3 = 0 THEN CASE k % 4 WHEN 0 THEN 'two' WHEN 1 THEN 'two' ELSE 'one' END WHEN k % 4 = 1 THEN 'B. no' ELSE 'A. yes' END AS correct_answer,
   CASE WHEN i < 2 THEN NULL WHEN NOT ok THEN topic WHEN k % 2 = 1 THEN 'ref' ELSE CASE k % 4 WHEN 0 THEN 'two' WHEN 2 THEN 'Z' END END AS reference_answer,
   CASE WHEN ok AND i = 1 THEN 'since' ELSE 'why' END AS explanation, CASE WHEN ok THEN 'repaired' ELSE 'fallback' END AS origin FROM o""",
-    "grade_choices": f"WITH {_GR} SELECT * FROM gr",
-    "quiz_scores": f"WITH {_GR}, s AS (SELECT quiz_id, CAST((2 * sum(score) + count(*)) // (2 * count(*)) AS INT) AS score FROM gr GROUP BY quiz_id) SELECT quiz_id, score, {_band('score')} AS summary FROM s",
+    "grade_choices": f"WITH {_GR} SELECT * EXCLUDE (short) FROM gr",
+    "quiz_scores": f"WITH {_GR}, s AS (SELECT quiz_id, CAST(coalesce((2 * sum(score) FILTER (WHERE NOT short) + count(*) FILTER (WHERE NOT short)) // (2 * nullif(count(*) FILTER (WHERE NOT short), 0)), 0) AS INT) AS score FROM gr GROUP BY quiz_id) SELECT quiz_id, score, '{fv.CHOICES_ONLY_SUMMARY}' AS summary FROM s",
     "score_short_answers": f"""WITH {_NT}, r AS (SELECT plan_id, task_no, {d.strip("CASE task_no WHEN 1 THEN '  ' WHEN 2 THEN concat(' it is ', description) WHEN 3 THEN 'short' ELSE topic END")} AS a,
   CASE WHEN task_no % 2 = 0 THEN description ELSE '?' END AS ref, topic FROM nt),
 w AS (SELECT *, regexp_extract_all(ref, '[A-Za-z0-9]{{2,}}') AS k1, regexp_extract_all(topic, '[A-Za-z0-9]{{2,}}') AS k2 FROM r),
 s AS (SELECT plan_id, task_no, CASE WHEN a = '' THEN 0 WHEN len(list_filter(CASE WHEN len(k1) > 0 THEN k1 ELSE k2 END, lambda x: contains(a, x))) > 0 THEN CASE WHEN length(a) >= 12 THEN 80 ELSE 65 END
-  WHEN length(a) >= 28 THEN 60 WHEN length(a) >= 10 THEN 40 ELSE 20 END AS score FROM w) SELECT *, score >= 60 AS is_correct FROM s""",
+  WHEN length(a) >= 28 THEN 60 WHEN length(a) >= 10 THEN 40 ELSE 20 END AS score FROM w) SELECT *, score >= 60 AS is_correct, {_short_feedback} AS feedback FROM s""",
     "repair_grades": f"""WITH {_RG} SELECT quiz_id, question_id, CASE WHEN n % 3 = 0 THEN true ELSE score >= 60 END AS is_correct, score, CASE WHEN n = 2 THEN 'ok' ELSE {d.q(fv.GRADED_DEFAULT_FEEDBACK)} END AS feedback, correct_answer FROM kn
 UNION ALL SELECT quiz_id, question_id, is_correct, score, feedback, correct_answer FROM gr WHERE quiz_id NOT IN (SELECT quiz_id FROM mn)""",
     "repair_grade_totals": f"""WITH {_RG}, f AS (SELECT quiz_id, CAST((2 * sum(score) + count(*)) // (2 * count(*)) AS INT) AS score FROM gr WHERE quiz_id NOT IN (SELECT quiz_id FROM mn) GROUP BY quiz_id)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,9 +14,8 @@ from coursemine.sources import corpus as co, tables as tb
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder, or below a local one when none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="coursemine-")
+    """A fresh folder below the shared checkpoint folder, or below the warehouse, which is shared as well, when none is set."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
     return f"{base}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
 
 

@@ -11,7 +11,7 @@ from coursemine.fixtures import table, view
 from coursemine.functions import fixed_values as fv
 from coursemine.functions.text import fingerprint
 from coursemine.operators import conversations as cv
-from coursemine.sources import corpus as co
+from coursemine.sources import corpus as co, tables as tb
 from coursemine.streaming import incremental as ic
 
 LATIN_RULES = [
@@ -57,7 +57,9 @@ def q_fitted_messages(spark, sf):
 
 def q_classify_intent(spark, sf):
     m = turns(spark, sf).select("conv_id", "turn", F.col("text").alias("message"))
-    return cv.classify_intent(m, rules=LATIN_RULES, markers=LATIN_MARKERS).select("conv_id", "turn", "intent", F.md5("payload").alias("payload_md5"))
+    k = F.col("conv_id")
+    context = {"has_goal": k % 7 != 0, "has_plan": k % 3 != 0, "has_page": k % 2 == 0}
+    return cv.classify_intent(m, rules=LATIN_RULES, markers=LATIN_MARKERS, **context).select("conv_id", "turn", "intent", F.md5("payload").alias("payload_md5"))
 
 
 def q_session_index(spark, sf):
@@ -99,15 +101,6 @@ def q_upsert_cache(spark, sf):
     return ic.upsert_cache(_translations(spark, sf), two)
 
 
-def _memo_events(spark, sf):
-    e = table(spark, sf, "events")
-    return e.select(F.col("event_id").alias("request_id"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("second"))
-
-
-def q_memo_requests(spark, sf):
-    return ic.memo_requests(_memo_events(spark, sf), ttl=6 * 3600).select("request_id", "key", "served")
-
-
 def _replay(spark: SparkSession, df: DataFrame, order: F.Column, start, steps: int = 3) -> None:
     """Let the rows arrive in ``steps`` slices by ``order``; ``start(stream)`` runs once after each arrival."""
     path = scratch(spark, "arrivals")
@@ -124,14 +117,6 @@ def _replay(spark: SparkSession, df: DataFrame, order: F.Column, start, steps: i
         start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
-def q_memo_stream(spark, sf):
-    """Time-ordered micro-batches give the answers of the batch job."""
-    e = _memo_events(spark, sf)
-    out, check = scratch(spark, "memo"), scratch(spark, "check")
-    _replay(spark, e, F.col("second"), lambda stream: ic.memo_stream(stream, out, check, ttl=6 * 3600))
-    return spark.read.parquet(out).select("request_id", "key")
-
-
 def _job_events(spark, sf):
     v = view(spark, sf, "events")
     return v.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
@@ -151,7 +136,7 @@ def q_job_state_stream(spark, sf):
     out, check = scratch(spark, "jobs"), scratch(spark, "check")
     e = _job_events(spark, sf)
     _replay(spark, e, F.unix_timestamp("ts"), lambda stream: ic.job_state_stream(stream, out, check))
-    return _state_out(ic.read_table(spark, out))
+    return _state_out(tb.newest(spark, out, ["job_id"]))
 
 
 def q_job_progress(spark, sf):
@@ -172,12 +157,14 @@ def _arriving(spark, sf):
 
 
 def q_stream_ingest(spark, sf):
-    """All materials arrive in slices; chunks and failures end up in two keyed tables."""
-    a, b, check = scratch(spark, "chunks"), scratch(spark, "failures"), scratch(spark, "check")
-    process = lambda m: ic.ingest_batch(m, enrich=False)
-    _replay(spark, _arriving(spark, sf), F.col("material_id"), lambda stream: ic.stream_ingest(stream, a, b, check, process))
-    chunks = ic.read_table(spark, a).groupBy("material_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content_raw")).alias("chars"))
-    bad = ic.read_table(spark, b).select("material_id", F.lit(0).cast("bigint").alias("chunks"), F.lit(0).cast("bigint").alias("chars"), "error_message")
+    """All materials arrive in slices, are enriched and embedded; every one ends as chunks or as a failure."""
+    a, b, check = scratch(spark, "chunks"), scratch(spark, "status"), scratch(spark, "check")
+    _replay(spark, _arriving(spark, sf), F.col("material_id"), lambda stream: ic.stream_ingest(stream, a, b, check))
+    chunks = ic.stored_chunks(spark, a, b).groupBy("material_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content_raw")).alias("chars"), F.sum(F.size("key_terms")).alias("terms"),
+        F.sum(F.size("embedding")).alias("dims"))
+    none = F.lit(0).cast("bigint")
+    bad = ic.ingest_failures(spark, b).select("material_id", none.alias("chunks"), none.alias("chars"), none.alias("terms"), none.alias("dims"), "error_message")
     return chunks.withColumn("error_message", F.lit(None).cast("string")).unionByName(bad)
 
 
@@ -187,6 +174,11 @@ def q_ingest_batch(spark, sf):
     return stored.select("material_id", "chunk_index", "document_id", "source_lang", F.size("key_terms").alias("n_terms"), F.size("embedding").alias("dims"))
 
 
+def q_ingest_failures(spark, sf):
+    """Materials of which no chunk comes."""
+    return ic.ingest_batch(_arriving(spark, sf))[1]
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 # --- oracle -------------------------------------------------------------------
@@ -208,12 +200,8 @@ ft AS (SELECT *, CASE WHEN from_end > 4 AND folded THEN 'compress' WHEN chars >
 _PG = f"""pg0 AS (SELECT material_id, page_index, coalesce(nullif({d.strip('ocr_text')}, ''), nullif({d.strip('built_in_text')}, ''), '') AS t FROM {d.view('pages')}),
 pg AS (SELECT material_id, page_index, 'zh' AS target_lang, sha256(t) AS text_hash FROM pg0 WHERE t <> ''),
 tc AS (SELECT material_id, page_index, target_lang, CASE WHEN page_index % 4 = 0 THEN sha256(text_hash) ELSE text_hash END AS text_hash, 'fr' AS source_lang, concat('old ', page_index) AS translated_text FROM pg WHERE page_index % 3 <> 0)"""
-_MEMO = """mr AS (SELECT event_id AS request_id, concat(user_id, ':', event_type) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS second FROM events),
-ms AS (SELECT key, second, min(request_id) AS request_id, row_number() OVER (PARTITION BY key ORDER BY second) AS n FROM mr GROUP BY key, second),
-mc(key, n, made, hit) AS (SELECT key, n, second, request_id FROM ms WHERE n = 1
-  UNION ALL SELECT ms.key, ms.n, CASE WHEN mc.made > ms.second - 21600 THEN mc.made ELSE ms.second END, CASE WHEN mc.made > ms.second - 21600 THEN NULL ELSE ms.request_id END FROM mc JOIN ms ON ms.key = mc.key AND ms.n = mc.n + 1)"""
-_ACC = """CASE WHEN contains(text, 'que') OR contains(text, 'the ') THEN 'insert' WHEN contains(text, 'an') AND (contains(text, 'ou') OR contains(text, 'ing')) THEN 'adjust'
- WHEN contains(text, 'PDF') OR contains(text, 'page') THEN 'read_page' WHEN contains(text, 'ti') THEN 'review' WHEN contains(text, 'er') OR contains(text, 'le') THEN 'search' ELSE 'chat' END"""
+_ACC = """CASE WHEN conv_id % 7 = 0 THEN 'chat' WHEN contains(text, 'que') OR contains(text, 'the ') THEN 'insert' WHEN conv_id % 3 <> 0 AND contains(text, 'an') AND (contains(text, 'ou') OR contains(text, 'ing')) THEN 'adjust'
+ WHEN conv_id % 2 = 0 AND (contains(text, 'PDF') OR contains(text, 'page')) THEN 'read_page' WHEN conv_id % 3 <> 0 AND contains(text, 'ti') THEN 'review' WHEN contains(text, 'er') OR contains(text, 'le') THEN 'search' ELSE 'chat' END"""
 _AFTER = lambda m: d.strip(f"substr(text, instr(text, {d.q(m)}) + {len(m)})")
 _STATE = """je AS (SELECT job_id, event_id, ts, status, CASE status WHEN 'pending' THEN 0 WHEN 'success' THEN 100 WHEN 'running' THEN greatest(0, least(100, progress)) END AS progress,
   CASE WHEN event_id % 3 = 0 THEN concat('r', event_id) END AS result, CASE WHEN status = 'failed' THEN concat('e', event_id) END AS error FROM EV),
@@ -240,24 +228,29 @@ SELECT id, write_no, CASE WHEN length(t) > 20 THEN concat(substr(t, 1, 20), '...
     "translation_lookup": f"WITH {_PG} SELECT pg.material_id, pg.page_index, CASE WHEN tc.text_hash IS NULL THEN 'miss' ELSE 'hit' END AS outcome, translated_text FROM pg LEFT JOIN tc USING (material_id, page_index, target_lang, text_hash)",
     "upsert_cache": f"""WITH {_PG}, nw AS (SELECT material_id, page_index, target_lang, text_hash, 'en' AS source_lang, CASE WHEN page_index % 5 = 1 THEN 'second' ELSE 'first' END AS translated_text FROM pg WHERE page_index % 2 = 1)
 SELECT * FROM nw UNION ALL SELECT * FROM tc WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.material_id = tc.material_id AND nw.page_index = tc.page_index AND nw.text_hash = tc.text_hash)""",
-    "memo_requests": f"WITH RECURSIVE {_MEMO} SELECT request_id, mr.key, CASE WHEN hit IS NULL THEN 'cache' ELSE 'computed' END AS served FROM mr LEFT JOIN (SELECT hit FROM mc WHERE hit IS NOT NULL) ON hit = request_id",
-    "memo_stream": f"WITH RECURSIVE {_MEMO} SELECT hit AS request_id, key FROM mc WHERE hit IS NOT NULL",
     "job_state": f"WITH {_STATE}",
     "job_state_stream": f"WITH {_STATE}",
     "job_progress": f"""WITH e AS (SELECT job_id, event_id, event_id % 5 AS fi, event_id % 5 + 1 + event_id % 3 AS fc, {d.lst(_STAGES)}[event_id % {len(_STAGES)} + 1] AS stage, CASE WHEN event_id % 7 <> 0 THEN event_id % 40 END AS cp, event_id % 30 AS tp FROM {d.view('events')}),
 s AS (SELECT *, 10 + fi * 60 // fc AS st, greatest(1, (fi + 1) * 60 // fc - fi * 60 // fc) AS span,
   CASE WHEN stage = 'ocr_running' AND tp <> 0 AND cp IS NOT NULL THEN 0.08::DOUBLE + least(1.0::DOUBLE, cp / tp::DOUBLE) * 0.45::DOUBLE ELSE {_RATIO} END AS r FROM e)
 SELECT job_id, event_id, stage, CAST(greatest(0, least(100, st + floor(span * r))) AS INT) AS progress FROM s""",
-    "stream_ingest": f"""WITH {d.chunks_cte()} SELECT material_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars, NULL::VARCHAR AS error_message FROM chunks WHERE material_id % 25 <> 7 GROUP BY material_id
-UNION ALL SELECT material_id, 0, 0, 'No readable text in material' FROM {d.view('material')} WHERE material_id % 25 = 7""",
 }
 
 
-def _ingest() -> str:
+def _ingest() -> dict[str, str]:
     from coursemine.catalog.text_queries import enriched_cte
 
-    return f"""WITH {d.chunks_cte()}, src AS (SELECT material_id, chunk_index, content AS text, {d.clean('content')} AS rt FROM chunks WHERE material_id % 25 <> 7), {enriched_cte('src')}
-SELECT material_id, chunk_index, concat('material_', material_id, '_chunk_', chunk_index) AS document_id, source_lang, CAST(n_terms AS INT) AS n_terms, 384 AS dims FROM enr"""
+    enriched = f"""{d.chunks_cte()}, src AS (SELECT material_id, chunk_index, content AS text, {d.clean('content')} AS rt FROM chunks WHERE material_id % 25 <> 7), {enriched_cte('src')}"""
+    lost = f"SELECT material_id FROM {d.view('material')} WHERE material_id % 25 = 7 OR material_id NOT IN (SELECT material_id FROM chunks)"
+    return {
+        "ingest_batch": f"""WITH {enriched}
+SELECT material_id, chunk_index, concat('material_', material_id, '_chunk_', chunk_index) AS document_id, source_lang, CAST(n_terms AS INT) AS n_terms, 384 AS dims FROM enr""",
+        "ingest_failures": f"WITH {d.chunks_cte()} SELECT material_id, '{ic.NO_TEXT}' AS error_message FROM ({lost})",
+        "stream_ingest": f"""WITH {enriched}, n AS (SELECT material_id, CAST(sum(n_terms) AS BIGINT) AS terms FROM enr GROUP BY material_id)
+SELECT material_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars, any_value(terms) AS terms, 384 * count(*) AS dims, NULL::VARCHAR AS error_message
+FROM chunks JOIN n USING (material_id) WHERE material_id % 25 <> 7 GROUP BY material_id
+UNION ALL SELECT material_id, 0, 0, 0, 0, '{ic.NO_TEXT}' FROM ({lost})""",
+    }
 
 
-ORACLE["ingest_batch"] = _ingest()
+ORACLE.update(_ingest())

@@ -10,10 +10,8 @@ CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
 MIN_CHUNK_CHARS = 20
 PREVIEW_CHARS = 500
-DENSE_CANDIDATES = 30
 LEXICAL_CANDIDATES = 30
 QUERY_TERM_LIMIT = 24
-MAX_QUERY_CHARS = 500
 MAX_FORMULAS = 12
 MAX_FORMULA_CHARS = 500
 MAX_KEY_TERMS = 5
@@ -169,6 +167,13 @@ SCORE_BANDS = [
 CHOICE_RIGHT = "回答正确。"
 CHOICE_WRONG = "这一题需要回看标准选项对应的概念。"
 SHORT_UNSCORED = "主观题暂不自动批改，请对照参考答案自查；需要模型判断时可点击 AI 批改。"
+CHOICES_ONLY_SUMMARY = "已完成本地判题：客观题按标准答案判定，主观题仅展示参考答案。"
+SHORT_FEEDBACK = [
+    (80, "回答覆盖了主要意思，可以继续用题目巩固。"),
+    (60, "回答基本相关，但还可以补充关键步骤或具体例子。"),
+    (1, "回答还比较泛，需要回到任务主题补充核心概念。"),
+    (0, "暂未作答。"),
+]
 GRADED_DEFAULT_FEEDBACK = "已完成批改。"
 
 # --- conversations ------------------------------------------------------------
@@ -203,4 +208,3 @@ STAGE_RATIO = {
     "rag_ready": 1.0, "ocr_done": 0.52,
 }
 STAGE_RATIO_OTHER = 0.15
-CACHE_TTL_SECONDS = 1800

@@ -147,8 +147,18 @@ def classify_intent(
     text: str = "message",
     rules: list | None = None,
     markers: list[str] | None = None,
+    has_goal: Column | None = None,
+    has_plan: Column | None = None,
+    has_page: Column | None = None,
 ) -> DataFrame:
-    """Add intent and payload: the first rule of which every group of words has a hit."""
+    """Add intent and payload: the first rule of which every group of words has a hit.
+
+    All rules need a goal, "adjust" and "review" a plan and "read_page" a page being
+    read (boolean columns, true by default); a message that lacks one falls through to
+    the later rules.
+    """
+    yes = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
+    needs = {"adjust": yes(has_plan), "review": yes(has_plan), "read_page": yes(has_page)}
     rules = fv.INTENT_RULES if rules is None else rules
     markers = fv.INSERT_MARKERS if markers is None else markers
     c = F.col(text)
@@ -161,7 +171,7 @@ def classify_intent(
 
     intent = None
     for name, groups in rules:
-        test = F.lit(True)
+        test = yes(has_goal) & needs.get(name, F.lit(True))
         for group in groups:
             test = test & holds(group)
         intent = F.when(test, name) if intent is None else intent.when(test, name)

@@ -117,9 +117,8 @@ def token_table(chunks: DataFrame, scope: str = "goal_id") -> DataFrame:
 
 
 def _postings(tokens: DataFrame, scope: str) -> DataFrame:
-    """One row per chunk and token: kind w for words, f for formula tokens, n once per chunk for the statistics."""
+    """One row per chunk and token: kind w for words, f for formula tokens."""
     tagged = F.concat(
-        F.array(F.struct(F.lit("n").alias("kind"), F.lit("").alias("term"))),
         F.transform("tokens", lambda t: F.struct(F.lit("w").alias("kind"), t.alias("term"))),
         F.transform("formula_tokens", lambda t: F.struct(F.lit("f").alias("kind"), t.alias("term"))),
     )
@@ -149,17 +148,15 @@ def lexical_scores(
     ).select("query_id", scope, F.col("p.kind").alias("kind"), F.col("p.term").alias("term"))
     small = is_small(wanted, max_query_rows)
 
-    terms = wanted.select(scope, "kind", "term").distinct().unionByName(
-        queries.select(scope, F.lit("n").alias("kind"), F.lit("").alias("term")).distinct()
-    )
+    # Counts are combined in their task before any shuffle or join, so no task meets a whole
+    # scope or a frequent word.  Both key columns are counted so that these branches read the
+    # same shuffled token table as the scoring below.
+    chunk_count = F.greatest(F.count("material_id"), F.count("chunk_index"))
+    stats = tokens.groupBy(scope).agg(chunk_count.alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
     postings = _postings(tokens, scope)
-    hit = postings.join(F.broadcast(terms) if small else terms, [scope, "kind", "term"], "left_semi")
-    # both key columns are counted so that this branch reads the same shuffled token table as the scoring below
-    counted = hit.groupBy(scope, "kind", "term").agg(
-        F.greatest(F.count("material_id"), F.count("chunk_index")).alias("n"), F.sum("len").alias("total")
-    )
-    df = counted.filter(F.col("kind") == "w").select(scope, "kind", "term", F.col("n").alias("df"))
-    stats = counted.filter(F.col("kind") == "n").select(scope, "n", (F.col("total") / F.col("n")).alias("avg_len"))
+    terms = wanted.filter("kind = 'w'").select(scope, "kind", "term").distinct()
+    words = postings.join(F.broadcast(terms), [scope, "kind", "term"], "left_semi") if small else postings.filter("kind = 'w'")
+    df = words.groupBy(scope, "kind", "term").agg(chunk_count.alias("df"))
     weighted = (
         wanted.join(stats, scope)
         .join(df, [scope, "kind", "term"], "left")

@@ -177,14 +177,11 @@ def _block_best(query_ids: np.ndarray, a: np.ndarray, block: pd.DataFrame, keys:
     for start in range(0, len(a), 64):
         d = np.round(1.0 - a[start : start + 64] @ b.T, 6) + 0.0  # no negative zero
         kth = np.partition(d, n - 1, axis=1)[:, n - 1]
-        for query_id, row, limit in zip(query_ids[start : start + 64], d, kth):
-            near = np.flatnonzero(row < limit)
-            ties = np.flatnonzero(row == limit)[: n - len(near)]
-            at = np.concatenate([near, ties])
-            part = block[keys].iloc[at].reset_index(drop=True)
-            part.insert(0, "query_id", query_id)
-            part["distance"] = row[at]
-            yield part
+        at = [np.concatenate([near := np.flatnonzero(row < limit), np.flatnonzero(row == limit)[: n - len(near)]]) for row, limit in zip(d, kth)]
+        part = block[keys].iloc[np.concatenate(at)].reset_index(drop=True)
+        part.insert(0, "query_id", np.repeat(query_ids[start : start + 64], n))
+        part["distance"] = np.concatenate([row[i] for row, i in zip(d, at)])
+        yield part
 
 
 def dense_topk(
@@ -195,18 +192,15 @@ def dense_topk(
     scope: str = "goal_id",
     query_vector: str = "vector",
     vector: str = "embedding",
-    max_broadcast: int = 10_000,
     tile_vectors: int = 50_000,
     tile_queries: int = 2_000,
 ) -> DataFrame:
     """(query_id, *keys, distance, rank): the k nearest vectors in the query's scope by cosine distance.
 
-    Exact in both plans, and pairs are never materialized: NumPy multiplies
-    blocks and returns the k best of each block per query.  Up to
-    ``max_broadcast`` requests (counted first) are sent to the tasks that scan
-    the vectors, which are then not shuffled at all.  Larger request sets meet the
-    vectors in a grid of tiles per scope.  Ranking uses the distance rounded to
-    six digits, then the keys.
+    Exact, and pairs are never materialized: requests meet the vectors of their scope in
+    a grid of tiles, NumPy multiplies tile by tile, and at most k rows per request and
+    tile come out.  Most scopes are one tile; a scope with a third of all vectors is as
+    many as it needs.  Ranking uses the distance rounded to six digits, then the keys.
     """
     # fresh names on both sides: requests may be derived from the vectors themselves
     queries = queries.select("query_id", F.col(scope).alias("_scope"), F.col(query_vector).alias("_q"))
@@ -215,27 +209,10 @@ def dense_topk(
     fields += [T.StructField(c, vectors.schema[c].dataType) for c in keys]
     schema = T.StructType(fields + [T.StructField("distance", T.DoubleType())])
 
-    few = queries.limit(max_broadcast + 1).toPandas() if max_broadcast > 0 else None
-    if few is not None and len(few) <= max_broadcast:
-        near = _scan_nearest(few, vectors, keys, k, schema)
-    else:
-        near = _tile_nearest(queries, vectors, keys, k, schema, tile_vectors, tile_queries)
+    near = _tile_nearest(queries, vectors, keys, k, schema, tile_vectors, tile_queries)
     return top_per_key(near, ["query_id"], [F.col("distance"), *[F.col(c) for c in keys]], k)
 
 
-def _scan_nearest(few: pd.DataFrame, vectors: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
-    by_scope = {s: (g["query_id"].to_numpy(), _unit(g["_q"])) for s, g in few.groupby("_scope")}
-    sent = vectors.sparkSession.sparkContext.broadcast(by_scope)
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for s, block in frame.groupby("_scope"):
-                if s in sent.value:
-                    yield from _block_best(*sent.value[s], block, keys, k)
-
-    return vectors.mapInPandas(scan, schema)
-
-
 def _tile_nearest(
     queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, schema: T.StructType, tile_vectors: int, tile_queries: int
 ) -> DataFrame:

@@ -174,7 +174,9 @@ def allocate_tasks(plans: DataFrame, goals: DataFrame, note: Column | None = Non
 def repair_tasks(raw: DataFrame, plans: DataFrame, goals: DataFrame) -> DataFrame:
     """Untrusted tasks (plan_id, pos, title, description, estimated_minutes text, task_type) within the day's budget.
 
-    Plans without usable rows get the rule tasks.
+    Plans without usable rows get the rule tasks, and so does a plan with an unusable
+    value up to and including the first row behind the budget: minutes are read before
+    the budget is looked at.
     """
     first = top_per_key(raw, ["plan_id"], [F.col("pos")], 6, "task_no")
     budget = plans.join(goals.select("goal_id", "daily_minutes"), "goal_id").select("plan_id", "goal_id", "daily_minutes")
@@ -184,11 +186,13 @@ def repair_tasks(raw: DataFrame, plans: DataFrame, goals: DataFrame) -> DataFram
     timed = (
         first.join(budget, "plan_id").withColumn("_m", minutes).withColumn("_wrong", wrong)
         .withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0)))
-        .filter(F.col("_before") < F.col("daily_minutes"))
+        .withColumn("_earlier", F.lag("_before").over(Window.partitionBy("plan_id").orderBy("pos")))
+        .filter(F.col("_earlier").isNull() | (F.col("_earlier") < F.col("daily_minutes")))
     )
+    fits = F.col("_before") < F.col("daily_minutes")
     spoiled = timed.groupBy("plan_id").agg(F.bool_or("_wrong").alias("_bad"))
     text = lambda c, other: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(F.lit(other))
-    good = timed.join(spoiled.filter(~F.col("_bad")).select("plan_id"), "plan_id", "left_semi").select(
+    good = timed.filter(fits).join(spoiled.filter(~F.col("_bad")).select("plan_id"), "plan_id", "left_semi").select(
         "plan_id", "goal_id", "task_no", F.substring(text("title", "学习任务"), 1, 200).alias("title"),
         text("description", "完成指定学习内容。").alias("description"),
         F.least(F.col("_m"), F.col("daily_minutes") - F.col("_before")).cast("int").alias("estimated_minutes"),
@@ -250,15 +254,18 @@ def material_rollup(materials: DataFrame) -> DataFrame:
     )
 
 
-def list_children(table: DataFrame, parent: dict[str, object], order: list[Column], searchable: bool = False, file_type: str | None = None) -> DataFrame:
-    """Rows of one parent in the given order; optionally only searchable materials or one file type."""
-    for name, value in parent.items():
-        table = table.filter(F.col(name) == value)
+def list_children(table: DataFrame, parents: DataFrame, order: list[Column], searchable: bool = False, file_type: str | None = None) -> DataFrame:
+    """Rows of all ``parents`` (distinct key columns), sorted by parent and then the given order.
+
+    Optionally only searchable materials or one file type.
+    """
+    keys = parents.columns
+    table = table.join(parents.distinct(), keys, "left_semi")
     if searchable:
         table = table.filter((F.col("parse_status") == "ready") & (F.col("chunk_count") > 0))
     if file_type:
         table = table.filter(F.lower("file_type") == file_type)
-    return table.orderBy(*order)
+    return table.orderBy(*keys, *order)
 
 
 def resolve_scope(requests: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:

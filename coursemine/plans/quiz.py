@@ -107,7 +107,10 @@ def clean_answer(c: Column) -> Column:
 
 
 def grade_choices(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """One graded row per question; the last answer by ``seq`` counts, a missing one is blank."""
+    """One graded row per question; the last answer by ``seq`` counts, a missing one is blank.
+
+    Short answers are not judged here but shown their reference answer, if the questions have one.
+    """
     last = answers.groupBy(*QUIZ_KEY).agg(F.max_by("answer", "seq").alias("answer"))
     both = questions.join(last, QUIZ_KEY, "left").withColumn("answer", strip(F.coalesce("answer", F.lit(""))))
     choice = F.col("type") == "single_choice"
@@ -115,10 +118,16 @@ def grade_choices(questions: DataFrame, answers: DataFrame) -> DataFrame:
     feedback = F.when(~choice, fv.SHORT_UNSCORED).when(right, fv.CHOICE_RIGHT).otherwise(fv.CHOICE_WRONG)
     return both.select(
         *QUIZ_KEY, "type", right.alias("is_correct"), F.when(right, 100).otherwise(0).alias("score"),
-        feedback.alias("feedback"), "correct_answer",
+        feedback.alias("feedback"), right_answer(questions).alias("correct_answer"),
     )
 
 
+def right_answer(questions: DataFrame) -> Column:
+    """Correct answer of a choice, reference answer of a short answer; blank when absent."""
+    reference = F.col("reference_answer") if "reference_answer" in questions.columns else F.lit(None).cast("string")
+    return F.coalesce(F.when(F.col("type") == "single_choice", F.col("correct_answer")).otherwise(reference), F.lit(""))
+
+
 def score_summary(score: Column) -> Column:
     out = None
     for least, text in fv.SCORE_BANDS:
@@ -127,12 +136,15 @@ def score_summary(score: Column) -> Column:
 
 
 def quiz_scores(graded: DataFrame, all_types: bool = False) -> DataFrame:
-    """(quiz_id, score, summary): mean of the choice items, half up, 0 when there are none."""
+    """(quiz_id, score, summary): mean of the items, half up, 0 when there are none.
+
+    With choices only, the summary says so; with all types it goes by the score.
+    """
     counted = F.lit(True) if all_types else F.col("type") == "single_choice"
     sums = graded.groupBy("quiz_id").agg(F.sum(F.when(counted, F.col("score"))).alias("s"), F.count_if(counted).alias("n"))
     score = F.when(F.col("n") > 0, half_up_percent(F.col("s"), 100 * F.col("n"))).otherwise(0)
     out = sums.select("quiz_id", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int").alias("score"))
-    return out.withColumn("summary", score_summary(F.col("score")))
+    return out.withColumn("summary", score_summary(F.col("score")) if all_types else F.lit(fv.CHOICES_ONLY_SUMMARY))
 
 
 def keywords(c: Column) -> Column:
@@ -155,7 +167,10 @@ def short_answer_score(answer: Column, reference: Column, question: Column) -> C
 def score_short_answers(rows: DataFrame) -> DataFrame:
     staged = rows.withColumn("answer", strip(F.coalesce("answer", F.lit(""))))
     score = short_answer_score(F.col("answer"), F.coalesce("reference_answer", F.lit("")), F.coalesce("question", F.lit("")))
-    return staged.withColumn("score", score).withColumn("is_correct", F.col("score") >= 60)
+    feedback = None
+    for least, text in fv.SHORT_FEEDBACK:
+        feedback = F.when(F.col("score") >= least, text) if feedback is None else feedback.when(F.col("score") >= least, text)
+    return staged.withColumn("score", score).withColumn("is_correct", F.col("score") >= 60).withColumn("feedback", feedback)
 
 
 RAW_GRADE = (
@@ -174,7 +189,7 @@ def repair_grades(raw: DataFrame, questions: DataFrame, fallback: DataFrame) ->
     """
     r = raw.select("quiz_id", F.from_json("raw", RAW_GRADE).alias("r"))
     items = unnest(r, ["quiz_id"], F.col("r.items"), "pos", "i").select("quiz_id", "pos", F.col("i.question_id").alias("question_id"), "i")
-    known = items.join(questions.select(*QUIZ_KEY, F.col("correct_answer").alias("_right")), QUIZ_KEY)
+    known = items.join(questions.select(*QUIZ_KEY, right_answer(questions).alias("_right")), QUIZ_KEY)
     score = _clamped(F.coalesce(F.col("i.score"), F.lit("0")))
     given = lambda c: F.when(F.col(c) != "", F.col(c))
     fixed = known.withColumn("score", score).select(
@@ -190,4 +205,4 @@ def repair_grades(raw: DataFrame, questions: DataFrame, fallback: DataFrame) ->
     )
     rest = fallback.join(means, "quiz_id", "left_anti")
     items_out = fixed.unionByName(rest.select(*fixed.columns))
-    return items_out, totals.unionByName(quiz_scores(rest).select("quiz_id", "score", "summary"))
+    return items_out, totals.unionByName(quiz_scores(rest, all_types=True).select("quiz_id", "score", "summary"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coursemine.functions import fixed_values as fv
+from coursemine.operators.chunking import chunk_text
+from coursemine.operators.ranking import latest_per_key
 
 # child table → (parent table, key): the tree along which deletes cascade
 FOREIGN_KEYS = {
@@ -26,14 +27,17 @@ def without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def document_id() -> Column:
+    return F.concat(F.lit("material_"), F.col("material_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string"))
+
+
 def chunk_rows(chunks: DataFrame) -> DataFrame:
     """Stored form of new chunks (material_id, chunk_index, content)."""
     c = F.col("content")
     raw = F.coalesce(F.col("content_raw"), c) if "content_raw" in chunks.columns else c
     text = F.coalesce(F.col("retrieval_text"), c) if "retrieval_text" in chunks.columns else c
     return chunks.select(
-        "material_id", "chunk_index",
-        F.concat(F.lit("material_"), F.col("material_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("document_id"),
+        "material_id", "chunk_index", document_id().alias("document_id"),
         F.substring(c, 1, fv.PREVIEW_CHARS).alias("content_preview"), raw.alias("content_raw"), text.alias("retrieval_text"),
     )
 
@@ -54,35 +58,33 @@ def replace_chunks(target: DataFrame, new: DataFrame, materials: DataFrame) -> t
     return state, updated
 
 
-def bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+VERSION = "version"
 
 
-def write_replacing(spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int = 64) -> None:
-    """Replace the rows of each key in a Parquet table laid out by key bucket.
+def write_version(rows: DataFrame, path: str, number: int) -> None:
+    """Append rows as one version of the table; a repeated call overwrites that version and no other."""
+    rows.write.mode("overwrite").parquet(f"{path}/{VERSION}={number}")
 
-    Only buckets that hold an arriving key are rewritten, by dynamic partition
-    overwrite, so repeating the call after a failure gives the same table.
-    """
-    new = rows.withColumn("key_bucket", bucket(F.col(key), buckets))
-    out = new
-    old = table_at(spark, path)
-    if old is not None:
-        touched = new.select("key_bucket").distinct()  # at most ``buckets`` rows
-        kept = old.join(F.broadcast(touched), "key_bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")
-        out = kept.select(*new.columns).unionByName(new)
-    writer = out.repartition("key_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in out.columns if c != "key_bucket"]), F.lit(8)))
-    writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(path)
-
-
-def table_at(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at the path; none before the first write."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+
+def read_version(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/{VERSION}={number}")
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of all versions, with the column ``version``."""
+    return spark.read.parquet(path).withColumn(VERSION, F.col(VERSION).cast("long"))
+
+
+def newest(spark: SparkSession, path: str, keys: list[str], keep_version: bool = False) -> DataFrame:
+    """The row of the last version per key: one aggregate, combined before the shuffle."""
+    rows = latest_per_key(versions(spark, path), keys, [VERSION])
+    return rows if keep_version else rows.drop(VERSION)
+
+
+def compact(spark: SparkSession, path: str, to: str, keys: list[str]) -> None:
+    """Write the newest rows as the first version of another table; readers then switch to it."""
+    number = versions(spark, path).agg(F.max(VERSION)).first()[0] or 0
+    write_version(newest(spark, path, keys), to, number)
 
 
 def delete_scope(tables: dict[str, DataFrame], root: str, keys: DataFrame) -> dict[str, DataFrame]:
@@ -128,11 +130,10 @@ def backfill_schema(df: DataFrame, wanted: dict[str, tuple[str, Column | None]])
 def ingest_snippets(corpus: DataFrame, snippets: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
     """(corpus, errors): hand-written notes (note_id, goal_id, source_name, content, plan_id, day_index) as materials.
 
-    Note ids are shifted by ``first_id``; blank notes and notes too short for a
-    chunk become error rows.
+    Note ids are shifted by ``first_id``; notes that give no chunk become error rows.
     """
-    readable = F.length(F.regexp_replace("content", r"(?U)\A\s+|\s+\z", "")) >= fv.MIN_CHUNK_CHARS
-    errors = snippets.filter(~F.coalesce(readable, F.lit(False))).select("note_id", F.lit("No readable text in snippet").alias("error"))
+    readable = F.size(chunk_text(F.coalesce("content", F.lit("")))) > 0
+    errors = snippets.filter(~readable).select("note_id", F.lit("No readable text in snippet").alias("error"))
     notes = snippets.filter(readable).select(
         (F.col("note_id") + first_id).alias("material_id"), "goal_id", F.col("source_name").alias("filename"),
         F.lit("manual").alias("file_type"), F.col("content").alias("text"), "plan_id", "day_index",

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.text import strip, unnest
-from coursemine.operators.chunking import chunk_documents
+from coursemine.operators.chunking import chunk_documents, chunk_text
 from coursemine.operators.enrichment import enrich_chunks
 from coursemine.operators.vectors import hash_embed
-from coursemine.sources.tables import chunk_rows, table_at, write_replacing
+from coursemine.sources.tables import VERSION, document_id, newest, read_version, versions, write_version
 
 CACHE_KEY = ["material_id", "page_index", "target_lang", "text_hash"]
 
@@ -35,58 +34,6 @@ def upsert_cache(cache: DataFrame, rows: DataFrame, order: str = "seq") -> DataF
     return both.select(*CACHE_KEY, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-# --- answers cached for a time ------------------------------------------------
-
-
-def memo_requests(
-    requests: DataFrame, cache: DataFrame | None = None, ttl: int = fv.CACHE_TTL_SECONDS
-) -> DataFrame:
-    """Requests (request_id, key, second) with ``served``: computed, or cache.
-
-    An answer is good for ``ttl`` seconds after it was computed; serving it does
-    not renew it.  ``cache`` holds earlier computations (key, second).  Requests
-    are first reduced to one row per key and second, so what is folded per key
-    is bounded by the seconds a batch spans (86,400 for a day), not by the number
-    of requests.
-    """
-    each = requests.groupBy("key", "second").agg(F.min("request_id").alias("request_id"))
-    per_key = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("second", "request_id"))).alias("r"))
-    if cache is not None:
-        known = cache.groupBy("key").agg(F.max("second").alias("_cached"))
-        per_key = per_key.join(known, "key", "left")
-    else:
-        per_key = per_key.withColumn("_cached", F.lit(None).cast("bigint"))
-    start = F.struct(F.col("_cached").cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = F.coalesce(s["at"] > x["second"] - ttl, F.lit(False))
-        return F.when(fresh, s).otherwise(
-            F.struct(x["second"].cast("bigint").alias("at"), F.concat(s["ids"], F.array(x["request_id"].cast("bigint"))).alias("ids"))
-        )
-
-    done = unnest(per_key, [F.lit("computed").alias("_s")], F.aggregate("r", start, step, lambda s: s["ids"]), "_pos", "request_id").drop("_pos")
-    return requests.join(done, "request_id", "left").withColumn("served", F.coalesce("_s", F.lit("cache"))).drop("_s")
-
-
-def memo_stream(requests: DataFrame, computed_path: str, checkpoint: str, ttl: int = fv.CACHE_TTL_SECONDS) -> StreamingQuery:
-    """Streaming form: each micro-batch writes what it computed as one partition, which later batches read as cache.
-
-    A repeated batch ignores its own earlier output and overwrites it.
-    """
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earliest = batch.agg(F.min("second")).first()[0]
-        if earliest is None:
-            return
-        cache = table_at(spark, computed_path)
-        if cache is not None:
-            cache = cache.filter((F.col("batch") < number) & (F.col("second") > earliest - ttl))
-        out = memo_requests(batch, cache, ttl).filter("served = 'computed'").drop("served").withColumn("batch", F.lit(number))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(computed_path)
-
-    return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 # --- jobs ---------------------------------------------------------------------
 
 
@@ -118,9 +65,9 @@ def job_state(events: DataFrame) -> DataFrame:
 
 
 def job_state_stream(events: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Changed job states of each micro-batch replace their rows in the state table."""
+    """Changed job states of each micro-batch are appended; ``newest`` reads the last state per job."""
     def run(batch: DataFrame, number: int) -> None:
-        write_replacing(batch.sparkSession, table_path, batch, "job_id")
+        write_version(batch, table_path, number)
 
     return (
         job_state(events).writeStream.outputMode("update").foreachBatch(run)
@@ -145,40 +92,56 @@ def job_progress(events: DataFrame) -> DataFrame:
 
 # --- ingestion ----------------------------------------------------------------
 
+NO_TEXT = "No readable text in material"
+
 
-def ingest_batch(materials: DataFrame, enrich: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(stored chunks, failures) of arriving materials (material_id, text, …)."""
-    readable = strip(F.coalesce("text", F.lit(""))) != ""
-    failures = materials.filter(~readable).select("material_id", F.lit("No readable text in material").alias("error_message"))
-    chunks = chunk_documents(materials.filter(readable).select("material_id", "text"))
-    if not enrich:
-        return chunk_rows(chunks), failures
+def ingest_chunks(materials: DataFrame) -> DataFrame:
+    """Stored rows of all chunks of arriving materials (material_id, text, …), enriched and embedded, in one pass."""
+    chunks = chunk_documents(materials.select("material_id", "text"))
     full = hash_embed(enrich_chunks(chunks), "embedding_text", out="embedding")
-    stored = full.join(
-        chunk_rows(full).select("material_id", "chunk_index", "document_id", "content_preview", "content_raw"), ["material_id", "chunk_index"]
-    )
-    return stored.drop("content", "embedding_text"), failures
+    c = F.col("content")
+    rows = full.withColumn("document_id", document_id()).withColumn("content_preview", F.substring(c, 1, fv.PREVIEW_CHARS))
+    return rows.withColumn("content_raw", F.coalesce("content_raw", c) if "content_raw" in full.columns else c).drop("content", "embedding_text")
+
+
+def ingest_batch(materials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored chunks, failures) of arriving materials; every material is in one of the two."""
+    failed = F.size(chunk_text(F.coalesce("text", F.lit("")))) == 0
+    failures = materials.filter(failed).select("material_id", F.lit(NO_TEXT).alias("error_message"))
+    return ingest_chunks(materials), failures
 
 
 def stream_ingest(
     materials: DataFrame,
     chunk_path: str,
-    failure_path: str,
+    status_path: str,
     checkpoint: str,
-    process: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = ingest_batch,
+    process: Callable[[DataFrame], DataFrame] = ingest_chunks,
 ) -> StreamingQuery:
-    """Arriving materials replace their chunks; failing ones go to a side table and the rest continue.
+    """Arriving materials replace their chunks; those without a chunk fail and the rest continue.
 
-    Both writes are keyed by material, so a batch repeated after a lost executor
-    or driver leaves the same tables.
+    A micro-batch writes its chunks once, as a version of its own, and then one status
+    row per material, counted from what was written.  Readers go by the newest status
+    (``stored_chunks``, ``ingest_failures``), so a batch that dies between the two writes
+    is not seen, and its repetition overwrites both versions.
     """
     def run(batch: DataFrame, number: int) -> None:
-        stored, failures = process(batch)
-        write_replacing(batch.sparkSession, chunk_path, stored, "material_id")
-        write_replacing(batch.sparkSession, failure_path, failures, "material_id")
+        write_version(process(batch), chunk_path, number)
+        written = read_version(batch.sparkSession, chunk_path, number)
+        counts = written.groupBy("material_id").agg(F.count(F.lit(1)).alias("chunks"))
+        status = batch.select("material_id").distinct().join(counts, "material_id", "left")
+        failed = F.when(F.col("chunks").isNull(), NO_TEXT)
+        write_version(status.select("material_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), failed.alias("error_message")), status_path, number)
 
     return materials.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("key_bucket")
+def stored_chunks(spark: SparkSession, chunk_path: str, status_path: str) -> DataFrame:
+    """Chunks of each material as of its newest status."""
+    status = newest(spark, status_path, ["material_id"], keep_version=True).select("material_id", VERSION)
+    return versions(spark, chunk_path).join(status, ["material_id", VERSION], "left_semi").drop(VERSION)
+
+
+def ingest_failures(spark: SparkSession, status_path: str) -> DataFrame:
+    """Materials whose newest status is a failure."""
+    return newest(spark, status_path, ["material_id"]).filter(F.col("error_message").isNotNull()).select("material_id", "error_message")

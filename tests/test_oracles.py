@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 SELECTED = [
     "chunk_documents", "chunk_pages", "extract_formulas", "tokenize_lexical", "hash_embed", "lexical_topk", "hybrid_search", "dense_topk_tiled",
     "extract_outline", "page_ranges", "expand_plans", "repair_tasks", "weak_points", "grade_choices", "repair_questions", "compress_history",
-    "fit_context", "memo_stream", "job_state", "replace_chunks", "delete_scope", "page_catalog",
+    "fit_context", "stream_ingest", "job_state", "replace_chunks", "delete_scope", "page_catalog",
 ]
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are absent")
 
