@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from coursemine.catalog import duck as d
 from coursemine.catalog.text_queries import chunks
@@ -45,7 +45,8 @@ def math_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def math_requests(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier")
-    text = F.concat(F.lit("solve $x_{"), (F.col("s_suppkey") % 50).cast("string"), F.lit("}^2$ + alpha / 2"))
+    more = F.when(F.col("s_suppkey") % 4 == 0, "}^2$ + alpha / 2").when(F.col("s_suppkey") % 4 == 1, "}$ = b").when(F.col("s_suppkey") % 4 == 2, "}$").otherwise("} + q$")
+    text = F.concat(F.lit("solve $x_{"), (F.col("s_suppkey") % 50).cast("string"), more)
     return rt.rewrite_queries(
         s.select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 5).cast("int").alias("goal_id"), text.alias("query"))
     )
@@ -97,8 +98,9 @@ def q_mean_pool(spark, sf):
 
 
 def q_embed_with(spark, sf):
-    v = vx.embed_with(view(spark, sf, "material").select("material_id", "text"), vx.blake_encoder())
-    return v.select("material_id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+    """An encoder in Python against the same hashing in SQL, value by value."""
+    v = vx.embed_with(view(spark, sf, "material").select("material_id", "text"), vx.hash_encoder(vx.md5_hash), number=T.DoubleType())
+    return tx.unnest(v, ["material_id"], F.col("vector"), "bucket", "x").filter("x <> 0").select("material_id", "bucket", F.round("x", 6).alias("weight"))
 
 
 def q_build_queries(spark, sf):
@@ -118,8 +120,30 @@ def q_build_queries(spark, sf):
     return out.unionByName(one(rt.chat_queries(last, plans, goals), "chat", F.col("conv_id"), null))
 
 
+def _conditioned(v: DataFrame) -> DataFrame:
+    """Vectors with a plan, a day and a source type."""
+    k = F.col("chunk_id")
+    return v.withColumn("plan_id", k % 7).withColumn("day_index", (k % 3).cast("int")).withColumn("source_type", F.when(k % 2 == 0, "pdf").otherwise("manual"))
+
+
+def _own_scopes(spark, sf) -> DataFrame:
+    """The centroids as requests, each with conditions of its own."""
+    q = F.col("query_id")
+    return centroids(spark, sf).select(
+        "query_id", "goal_id", "vector", F.when(q % 4 == 0, (q % 10).cast("int")).alias("material_id"), F.when(q % 4 == 1, q % 7).alias("plan_id"),
+        F.when(q % 3 == 0, (q % 3).cast("int")).alias("day_index"), F.when(q % 5 == 2, "pdf").when(q % 5 == 3, "slides").alias("source_type"),
+    )
+
+
 def q_scope_filter(spark, sf):
-    return rt.scope_filter(view(spark, sf, "vec"), material_id=3).select("chunk_id", "material_id", "goal_id")
+    """Chunks that each request may see under all four conditions."""
+    return rt.scope_filter(_conditioned(view(spark, sf, "vec")), _own_scopes(spark, sf))
+
+
+def q_dense_topk_own_scopes(spark, sf):
+    """Requests with conditions of their own in one search."""
+    v = _conditioned(view(spark, sf, "vec"))
+    return vx.dense_topk(_own_scopes(spark, sf), v, ["chunk_id"], 5, conditions=rt.SCOPE_COLUMNS, tile_vectors=100)
 
 
 def q_dense_topk(spark, sf):
@@ -210,6 +234,7 @@ QUERIES = {
     "build_queries": q_build_queries,
     "scope_filter": q_scope_filter,
     "dense_topk": q_dense_topk,
+    "dense_topk_own_scopes": q_dense_topk_own_scopes,
     "dense_topk_tiled": q_dense_topk_tiled,
     "bm25_score": q_bm25_score,
     "formula_bonus": q_formula_bonus,
@@ -232,6 +257,11 @@ _UNIT = d.hash_cte(d.view("material"), "material_id", "text")
 _CENTROIDS = f"""el AS (SELECT goal_id, material_id, chunk_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM {_V}),
 mp AS (SELECT goal_id, material_id, pos, avg(x::DOUBLE) AS m FROM el GROUP BY ALL),
 cent AS (SELECT goal_id * 10 + material_id AS query_id, goal_id, list(m ORDER BY pos) AS qv FROM mp GROUP BY ALL)"""
+_OWN = f"""vc AS (SELECT *, chunk_id % 7 AS plan_id, chunk_id % 3 AS day_index, CASE WHEN chunk_id % 2 = 0 THEN 'pdf' ELSE 'manual' END AS source_type FROM {_V}),
+rq AS (SELECT *, CASE WHEN query_id % 4 = 0 THEN query_id % 10 END AS w_material, CASE WHEN query_id % 4 = 1 THEN query_id % 7 END AS w_plan,
+  CASE WHEN query_id % 3 = 0 THEN query_id % 3 END AS w_day, CASE query_id % 5 WHEN 2 THEN 'pdf' WHEN 3 THEN 'slides' END AS w_type FROM cent)"""
+_MEETS = """v.goal_id = rq.goal_id AND (w_material IS NULL OR w_material = v.material_id) AND (w_plan IS NULL OR w_plan = v.plan_id)
+  AND (w_day IS NULL OR w_day = v.day_index) AND (w_type IS NULL OR w_type = v.source_type)"""
 _DENSE = f"""WITH {_CENTROIDS},
 p AS (SELECT query_id, chunk_id, round(list_cosine_distance(qv::DOUBLE[], embedding::DOUBLE[]), 6) + 0.0::DOUBLE AS distance FROM cent JOIN {_V} v USING (goal_id))
 SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INT) AS rank FROM p QUALIFY rank <= 10"""
@@ -291,7 +321,7 @@ scored AS (SELECT *, round(CASE WHEN distance IS NULL THEN 0 ELSE 1.0::DOUBLE /
   + least(coalesce(lexical_score, 0), 8) / 8.0::DOUBLE * 0.3::DOUBLE, 6) AS score FROM merged),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, material_id, chunk_index) AS INT) AS rank FROM scored)"""
 _MATH = f"(SELECT p_size % 5 AS goal_id, chunk_id AS material_id, 0 AS chunk_index, text FROM {d.view('math')} m JOIN part ON p_partkey = chunk_id)"
-_MREQ = "(SELECT s_suppkey AS query_id, CAST(s_suppkey % 5 AS INT) AS goal_id, concat('solve $x_{', s_suppkey % 50, '}^2$ + alpha / 2') AS query FROM supplier)"
+_MREQ = "(SELECT s_suppkey AS query_id, CAST(s_suppkey % 5 AS INT) AS goal_id, concat('solve $x_{', s_suppkey % 50, CASE s_suppkey % 4 WHEN 0 THEN '}^2$ + alpha / 2' WHEN 1 THEN '}$ = b' WHEN 2 THEN '}$' ELSE '} + q$' END) AS query FROM supplier)"
 _FULL = f"WITH {_HYBRID}, hits AS (SELECT r.*, content, filename, concat(filename, '#chunk-', r.chunk_index) AS source FROM ranked r JOIN chunks c ON r.material_id = c.material_id AND r.chunk_index = c.chunk_index WHERE rank <= 10)"
 
 ORACLE = {
@@ -309,7 +339,10 @@ SELECT 'planner' AS consumer, goal_id, NULL::BIGINT AS key_a, NULL::BIGINT AS ke
 UNION ALL SELECT 'quiz', p.goal_id, p.plan_id, t.task_no, {d.strip("concat_ws(' ', t.title, t.status, p.topic, g.topics)")}, 4 FROM {d.view('task')} t JOIN p USING (plan_id) JOIN g ON g.goal_id = p.goal_id
 UNION ALL SELECT 'tasks', goal_id, plan_id, day_index, {d.strip('topic')}, 3 FROM p
 UNION ALL SELECT 'chat', cq.goal_id, conv_id, NULL, {d.strip("concat_ws(' ', nullif(message, ''), CASE WHEN topic IS NOT NULL THEN concat(topic, ' ', status) ELSE concat_ws(' ', g.title, g.topics) END)")}, 3 FROM cq LEFT JOIN g USING (goal_id) WHERE cq.goal_id IS NOT NULL""",
-    "scope_filter": f"SELECT chunk_id, material_id, goal_id FROM {_V} WHERE material_id = 3",
+    "scope_filter": f"WITH {_CENTROIDS}, {_OWN} SELECT rq.query_id, count(v.chunk_id) AS chunks FROM rq LEFT JOIN vc v ON {_MEETS} GROUP BY rq.query_id",
+    "dense_topk_own_scopes": f"""WITH {_CENTROIDS}, {_OWN},
+p AS (SELECT rq.query_id, chunk_id, round(list_cosine_distance(qv::DOUBLE[], embedding::DOUBLE[]), 6) + 0.0::DOUBLE AS distance FROM rq JOIN vc v ON {_MEETS})
+SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INT) AS rank FROM p QUALIFY rank <= 5""",
     "dense_topk": _DENSE,
     "dense_topk_tiled": _DENSE,
     "bm25_score": f"WITH {_BASE} SELECT query_id, material_id, chunk_index, round(bm25, 6) AS bm25 FROM bm",
@@ -360,4 +393,4 @@ cv_t AS (SELECT * FROM ev_t)"""
 
 ORACLE["enriched_search"] = _enriched_search()
 # every text with a token has a unit vector, whichever hash is used
-ORACLE["embed_with"] = f"""SELECT material_id, 384 AS dims, CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9_]+')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM {d.view('material')}"""
+ORACLE["embed_with"] = ORACLE["hash_embed"] + " WHERE round(w, 6) <> 0"

@@ -27,15 +27,22 @@ def entity_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "goal": view(spark, sf, "goal"), "plan": plan, "task": task,
         "quiz": view(spark, sf, "quiz_question").withColumnRenamed("quiz_id", "plan_id"),
         "review": plan.select(F.col("plan_id"), "goal_id"),
+        "adjustment": plan.filter("day_index % 3 = 1").select("plan_id", "goal_id"),
+        "job": view(spark, sf, "events").select("event_id", "job_id", (F.col("job_id") % 20).alias("goal_id")),
         "material": material.drop("text"), "chunk": chunks(spark, sf).select("material_id", "chunk_index"),
         "translation": view(spark, sf, "pages").select("material_id", "page_index"),
     }
 
 
+KEY_OF = {"goal": "goal_id", "plan": "plan_id", "task": "plan_id", "quiz": "plan_id", "review": "plan_id", "adjustment": "plan_id", "job": "job_id",
+          "material": "material_id", "chunk": "material_id", "translation": "material_id"}
+
+
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table and the sum of their keys, so that other rows of the same number show."""
     out = None
     for name, df in tables.items():
-        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(KEY_OF[name]), F.lit(0)).cast("bigint").alias("keys"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -49,12 +56,13 @@ def _materials(spark, sf):
 
 
 def q_read_text_corpus(spark, sf):
-    """Benchmark passages written out as text files by Spark, then read back as a corpus."""
+    """Benchmark passages written out by Spark as text files of up to 50 passages, then read back as a corpus."""
     path = scratch(spark, "corpus")
-    table(spark, sf, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    b = table(spark, sf, "benchmark").select(F.floor(F.col("item_id") / 50).alias("part"), "item_id", "text")
+    b.repartition("part").sortWithinPartitions("part", "item_id").select("part", "text").write.partitionBy("part").text(path)
     texts, _ = co.read_text_corpus(spark, path)
     return texts.select(
-        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), "file_type",
+        F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part"), "file_type",
         F.regexp_replace("text", "\n\\z", "").alias("text"),
     )
 
@@ -69,13 +77,26 @@ def q_detect_changed_files(spark, sf):
     return co.detect_changed_files(files, manifest)
 
 
-def q_read_ocr_pages(spark, sf):
+def _ocr_lines(spark, sf):
     """One JSONL line per turn; a line holds the OCR text of a page and its built-in text as a second page."""
     v = view(spark, sf, "pages")
     item = lambda c: F.struct(F.struct(F.coalesce(F.col(c), F.lit("")).alias("text")).alias("markdown"))
     line = F.to_json(F.struct(F.struct(F.array(item("ocr_text"), item("built_in_text")).alias("layoutParsingResults")).alias("result")))
-    lines = v.select("material_id", F.col("page_index").alias("line_no"), line.alias("line"))
-    blank = v.select("material_id", (F.col("page_index") + 100000).alias("line_no"), F.lit("  ").alias("line"))
+    return v.select("material_id", F.col("page_index").alias("line_no"), line.alias("line"))
+
+
+def q_read_ocr_files(spark, sf):
+    """OCR results written out as JSONL files, fifty conversations to a file, and read as pages."""
+    path = scratch(spark, "ocr")
+    lines = _ocr_lines(spark, sf).withColumn("part", F.floor(F.col("material_id") / 50))
+    lines.repartition("part").sortWithinPartitions("part", "material_id", "line_no").select("part", "line").write.partitionBy("part").text(path)
+    pages, _ = co.read_ocr_pages(spark, path, name=r"part=(\d+)/")
+    return pages
+
+
+def q_read_ocr_pages(spark, sf):
+    lines = _ocr_lines(spark, sf)
+    blank = lines.select("material_id", (F.col("line_no") + 100000).alias("line_no"), F.lit("  ").alias("line"))
     pages, _ = co.ocr_pages_from_lines(lines.unionByName(blank))
     return pages
 
@@ -159,6 +180,7 @@ QUERIES = {
     "read_text_corpus": q_read_text_corpus,
     "detect_changed_files": q_detect_changed_files,
     "read_ocr_pages": q_read_ocr_pages,
+    "read_ocr_files": q_read_ocr_files,
     "split_marked_pages": q_split_marked_pages,
     "page_catalog": q_page_catalog,
     "replace_chunks": q_replace_chunks,
@@ -179,24 +201,29 @@ _CUT400 = f"CASE WHEN t = '' THEN [] WHEN length(t) <= 400 THEN [t] ELSE list_tr
 _NAMES = {
     "goal": "SELECT goal_id FROM g WHERE NOT ({w})",
     "plan": "SELECT plan_id FROM p WHERE NOT ({w})",
-    "task": f"SELECT 1 FROM {d.view('task')} WHERE plan_id NOT IN (SELECT plan_id FROM p WHERE {{w}})",
-    "quiz": f"SELECT 1 FROM {d.view('quiz_question')} WHERE quiz_id NOT IN (SELECT plan_id FROM p WHERE {{w}})",
+    "adjustment": "SELECT plan_id FROM p WHERE day_index % 3 = 1 AND NOT ({w})",
+    "job": f"SELECT job_id FROM (SELECT *, job_id % 20 AS goal_id FROM {d.view('events')}) WHERE NOT ({{w}})",
+    "task": f"SELECT plan_id FROM {d.view('task')} WHERE plan_id NOT IN (SELECT plan_id FROM p WHERE {{w}})",
+    "quiz": f"SELECT quiz_id FROM {d.view('quiz_question')} WHERE quiz_id NOT IN (SELECT plan_id FROM p WHERE {{w}})",
     "review": "SELECT plan_id FROM p WHERE NOT ({w})",
-    "material": "SELECT 1 FROM m WHERE NOT ({w})",
-    "chunk": "SELECT 1 FROM chunks WHERE NOT ({w})",
-    "translation": f"SELECT 1 FROM {_P} WHERE material_id NOT IN (SELECT material_id FROM m WHERE {{w}})",
+    "material": "SELECT material_id FROM m WHERE NOT ({w})",
+    "chunk": "SELECT material_id FROM chunks WHERE NOT ({w})",
+    "translation": f"SELECT material_id FROM {_P} WHERE material_id NOT IN (SELECT material_id FROM m WHERE {{w}})",
 }
 
 
 def _counts(where: dict[str, str]) -> str:
     head = f"WITH {_CH}, g AS {d.view('goal')}, p AS {_PL}, m AS {_M}"
-    rows = " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS n FROM ({_NAMES[k].replace('{w}', w)})" for k, w in where.items())
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS keys FROM ({_NAMES[k].replace('{w}', w)}) AS x(k)" for k, w in where.items())
     return f"{head} {rows}"
 
 
 _G = "goal_id % 10 = 3"
 ORACLE = {
-    "read_text_corpus": "SELECT item_id, 'txt' AS file_type, text FROM benchmark",
+    "read_text_corpus": "SELECT CAST(item_id // 50 AS BIGINT) AS part, 'txt' AS file_type, string_agg(text, chr(10) ORDER BY item_id) AS text FROM benchmark GROUP BY ALL",
+    "read_ocr_files": f"""WITH i AS (SELECT material_id // 50 AS part, material_id, page_index AS ln, 0 AS pos, coalesce(ocr_text, '') AS t FROM {_P} UNION ALL SELECT material_id // 50, material_id, page_index, 1, coalesce(built_in_text, '') FROM {_P}),
+n AS (SELECT part AS material_id, CAST(row_number() OVER (PARTITION BY part ORDER BY material_id, ln, pos) AS INT) AS page_index, {d.strip('t')} AS markdown FROM i)
+SELECT CAST(material_id AS VARCHAR) AS material_id, page_index, markdown FROM n WHERE markdown <> ''""",
     "detect_changed_files": f"""SELECT filename AS path, CASE material_id % 10 WHEN 0 THEN 'new' WHEN 1 THEN 'new' WHEN 2 THEN 'stale' WHEN 3 THEN 'stale' WHEN 9 THEN 'stale' ELSE 'unchanged' END AS state,
 CASE WHEN material_id % 10 <> 9 THEN sha256(text) END AS sha256 FROM {_M}""",
     "read_ocr_pages": f"""WITH i AS (SELECT material_id, page_index AS ln, 0 AS pos, coalesce(ocr_text, '') AS t FROM {_P} UNION ALL SELECT material_id, page_index, 1, coalesce(built_in_text, '') FROM {_P}),

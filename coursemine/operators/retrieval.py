@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.functions import fixed_values as fv
-from coursemine.functions.terms import term_labels, usable_terms
+from coursemine.functions.terms import usable_terms
 from coursemine.functions.text import strip, unnest
 from coursemine.functions.tokens import formula_tokens, query_signals, tokenize_lexical
 from coursemine.operators.ranking import is_small, spread_join, top_per_key
@@ -75,19 +75,23 @@ def chat_queries(messages: DataFrame, plans: DataFrame, goals: DataFrame) -> Dat
     )
 
 
-def scope_filter(
-    chunks: DataFrame,
-    material_id: int | None = None,
-    plan_id: int | None = None,
-    day_index: int | None = None,
-    source_type: str | None = None,
-) -> DataFrame:
-    """Keep rows that meet every condition that is present; plain predicates, pushed to the scan."""
-    wanted = {"material_id": material_id, "plan_id": plan_id, "day_index": day_index, "source_type": source_type}
-    for name, value in wanted.items():
-        if value is not None and value != "":
-            chunks = chunks.filter(F.col(name) == value)
-    return chunks
+SCOPE_COLUMNS = ("material_id", "plan_id", "day_index", "source_type")
+
+
+def scope_filter(chunks: DataFrame, requests: DataFrame, scope: str = "goal_id") -> DataFrame:
+    """(query_id, chunks): how many chunks each request's own conditions leave, null standing for any.
+
+    Chunks are counted per combination of the conditions' values before they meet the
+    requests, so no request is paired with single chunks.  ``dense_topk`` applies the same
+    conditions row by row.
+    """
+    held = [c for c in SCOPE_COLUMNS if c in chunks.columns and c in requests.columns]
+    combos = chunks.groupBy(scope, *held).agg(F.count(F.lit(1)).alias("_n"))
+    combos = combos.select(F.col(scope).alias("_scope"), *[F.col(c).alias(f"_{c}") for c in held], "_n")
+    meets = F.col(scope) == F.col("_scope")
+    for c in held:
+        meets = meets & (F.col(c).isNull() | (F.col(c) == F.col(f"_{c}")))
+    return requests.join(combos, meets, "left").groupBy("query_id").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("chunks"))
 
 
 # --- lexical ------------------------------------------------------------------
@@ -272,7 +276,3 @@ def cited_files(hits: DataFrame, n: int = 2) -> DataFrame:
 def first_source(hits: DataFrame) -> DataFrame:
     label = F.when(F.coalesce("source", F.lit("")) != "", F.col("source")).otherwise(F.col("filename"))
     return hits.groupBy("query_id").agg(F.min_by(label, "rank").alias("source"))
-
-
-def hit_labels(hits: DataFrame, n: int = 5) -> DataFrame:
-    return hits.withColumn("labels", term_labels(F.col("key_terms"), n))

@@ -116,13 +116,14 @@ def embed_with(
     batch: int = 32,
     tries: int = 3,
     out: str = "vector",
+    number: T.DataType = T.FloatType(),
 ) -> DataFrame:
     """Vectors from a pluggable encoder: lists of texts in, lists of vectors out, null as "".
 
     Arrow batches are cut to ``batch`` texts per call.  A failing call is retried;
     after the last try the task fails, and Spark reruns it elsewhere.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(number))])
 
     def call(texts: list[str]) -> list[list[float]]:
         for attempt in range(tries):
@@ -144,16 +145,32 @@ def embed_with(
     return df.mapInPandas(run, schema)
 
 
-def blake_encoder(dims: int = fv.EMBED_DIMS) -> Callable[[list[str]], list[list[float]]]:
-    """Encoder for ``embed_with``: feature hashing on 64-bit BLAKE2b digests, which Spark SQL lacks."""
+def blake_hash(token: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
+
+
+def md5_hash(token: bytes) -> int:
+    """As ``token_hash``."""
+    return int(hashlib.md5(token).hexdigest()[:8], 16)
+
+
+def hash_encoder(hashed: Callable[[bytes], int] = blake_hash, dims: int = fv.EMBED_DIMS) -> Callable[[list[str]], list[list[float]]]:
+    """Encoder for ``embed_with``: signed feature hashing, by default on 64-bit BLAKE2b digests, which Spark SQL lacks.
+
+    Each distinct token of a batch is hashed once.
+    """
     def encode(texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dims))
+        out, known = np.zeros((len(texts), dims)), {}
         for row, text in zip(out, texts):
             ideographs = re.findall("[一-鿿]", text)
             pairs = [a + b for a, b in zip(ideographs, ideographs[1:])]
-            for token in re.findall("[a-z0-9_]+", text.lower()) + ideographs + pairs:
-                h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
-                row[h % dims] += -1.0 if h >> 8 & 1 else 1.0
+            tokens = re.findall("[a-z0-9_]+", text.lower()) + ideographs + pairs
+            for token in set(tokens).difference(known):
+                h = hashed(token.encode())
+                known[token] = h % dims, -1.0 if h >> 8 & 1 else 1.0
+            if tokens:
+                at, sign = zip(*map(known.__getitem__, tokens))
+                np.add.at(row, list(at), sign)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return list(out / np.where(norms == 0, 1.0, norms))
 
@@ -169,19 +186,25 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _block_best(query_ids: np.ndarray, a: np.ndarray, block: pd.DataFrame, keys: list[str], k: int) -> Iterator[pd.DataFrame]:
-    """The k nearest rows of the block for each unit query; equals are taken in key order, so copies add no rows."""
+def _block_best(query_ids: np.ndarray, a: np.ndarray, block: pd.DataFrame, keys: list[str], k: int, wanted: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The k nearest rows of the block for each unit query; equals are taken in key order, so copies add no rows.
+
+    Rows that miss a value which the query wants (columns of ``wanted``, null for any) are no candidates.
+    """
     block = block.sort_values(keys, ignore_index=True)
     b = _unit(block["_v"])
     n = min(k, len(b))
     for start in range(0, len(a), 64):
         d = np.round(1.0 - a[start : start + 64] @ b.T, 6) + 0.0  # no negative zero
+        for name in wanted.columns:
+            want = wanted[name].to_numpy(object)[start : start + 64, None]
+            d[(want != None) & (want != block[name].to_numpy(object)[None, :])] = np.inf  # noqa: E711
         kth = np.partition(d, n - 1, axis=1)[:, n - 1]
         at = [np.concatenate([near := np.flatnonzero(row < limit), np.flatnonzero(row == limit)[: n - len(near)]]) for row, limit in zip(d, kth)]
         part = block[keys].iloc[np.concatenate(at)].reset_index(drop=True)
         part.insert(0, "query_id", np.repeat(query_ids[start : start + 64], n))
         part["distance"] = np.concatenate([row[i] for row, i in zip(d, at)])
-        yield part
+        yield part[np.isfinite(part["distance"])]
 
 
 def dense_topk(
@@ -192,6 +215,7 @@ def dense_topk(
     scope: str = "goal_id",
     query_vector: str = "vector",
     vector: str = "embedding",
+    conditions: tuple[str, ...] = (),
     tile_vectors: int = 50_000,
     tile_queries: int = 2_000,
 ) -> DataFrame:
@@ -200,11 +224,14 @@ def dense_topk(
     Exact, and pairs are never materialized: requests meet the vectors of their scope in
     a grid of tiles, NumPy multiplies tile by tile, and at most k rows per request and
     tile come out.  Most scopes are one tile; a scope with a third of all vectors is as
-    many as it needs.  Ranking uses the distance rounded to six digits, then the keys.
+    many as it needs.  ``conditions`` are columns of both sides (a material, plan, day or
+    source type): a request sees only vectors with its values, null standing for any, and
+    they are looked at before the best are taken.  Ranking uses the distance rounded to six digits, then the keys.
     """
     # fresh names on both sides: requests may be derived from the vectors themselves
-    queries = queries.select("query_id", F.col(scope).alias("_scope"), F.col(query_vector).alias("_q"))
-    vectors = vectors.select(F.col(scope).alias("_scope"), *[F.col(c).alias(c) for c in keys], F.col(vector).alias("_v"))
+    asked = [F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(conditions)]
+    queries = queries.select("query_id", F.col(scope).alias("_scope"), F.col(query_vector).alias("_q"), *asked)
+    vectors = vectors.select(F.col(scope).alias("_scope"), *[F.col(c).alias(c) for c in keys], F.col(vector).alias("_v"), *asked)
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
     fields += [T.StructField(c, vectors.schema[c].dataType) for c in keys]
     schema = T.StructType(fields + [T.StructField("distance", T.DoubleType())])
@@ -234,7 +261,8 @@ def _tile_nearest(
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        parts = _block_best(left["query_id"].to_numpy(), _unit(left["_q"]), right, keys, k)
+        wanted = left[[c for c in left.columns if c.startswith("_c")]]
+        parts = _block_best(left["query_id"].to_numpy(), _unit(left["_q"]), right, keys, k, wanted)
         return pd.concat(list(parts), ignore_index=True)
 
     by = ["_scope", "_tq", "_tv"]

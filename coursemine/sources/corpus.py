@@ -26,14 +26,16 @@ def read_text_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """(materials, rejected): whole text of TXT/MD files, and the other files with a reason.
 
-    The path filter runs on the listing, before any content is read.
+    The listing is filtered by name, in any case, before content is read; for the other
+    files only their paths are read.
     """
     exts = TEXT_EXTENSIONS if exts is None else exts
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("file_type", extension(F.col("path")))
-    texts = files.filter(F.col("file_type").isin(*exts)).select(
-        "path", "file_type", decode_text(F.col("content")).alias("text")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    names = ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in exts)
+    texts = found.option("pathGlobFilter", "{" + names + "}").load(path).select(
+        "path", extension(F.col("path")).alias("file_type"), decode_text(F.col("content")).alias("text")
     )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", extension(F.col("path")).alias("file_type"))
     reason = F.when(
         F.col("file_type").isin(*fv.SUPPORTED_EXTENSIONS), "binary format: supply its extracted, page-marked text"
     ).otherwise(F.concat(F.lit("unsupported file type: "), F.col("file_type")))
@@ -78,11 +80,11 @@ def ocr_pages_from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages, failed.withColumn("reason", F.lit("no page text was extracted"))
 
 
-def read_ocr_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """OCR pages of JSONL files, one file per material, named by material id."""
+def read_ocr_pages(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.jsonl)?$") -> tuple[DataFrame, DataFrame]:
+    """OCR pages of JSONL files, one file per material; ``name`` finds the material's id in the path, the file's name by default."""
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     named = whole.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.jsonl)?$", 1).alias("material_id"),
+        F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("material_id"),
         F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"),
     )
     return ocr_pages_from_lines(named)
