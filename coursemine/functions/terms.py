@@ -146,17 +146,16 @@ def identity(c: Column) -> Column:
 
 def _keep_best(items: Column) -> Column:
     """Best score per identity; among equals the first.  Items carry (identity, score)."""
-    ordered = F.array_sort(
-        F.transform(items, lambda t, i: F.struct((-t["score"]).alias("down"), i.alias("at"), t.alias("t")))
+    # Sorted by identity, the best of each is the first of its run; then back to the order of scores.
+    by_identity = F.array_sort(
+        F.transform(items, lambda t, i: F.struct(t["identity"].alias("identity"), (-t["score"]).alias("down"), i.alias("at"), t.alias("t")))
     )
     leading = let(
-        ordered,
-        lambda by_score: F.filter(
-            by_score,
-            lambda x, i: ~F.exists(F.slice(by_score, 1, i), lambda y: y["t"]["identity"] == x["t"]["identity"]),
-        ),
+        by_identity,
+        lambda xs: F.filter(xs, lambda x, i: F.coalesce(F.get(xs, i - 1)["identity"] != x["identity"], F.lit(True))),
     )
-    return F.transform(leading, lambda x: x["t"])
+    ordered = F.array_sort(F.transform(leading, lambda x: F.struct(x["down"], x["at"], x["t"])))
+    return F.transform(ordered, lambda x: x["t"])
 
 
 def _rank(items: Column, k: int) -> Column:
@@ -199,6 +198,19 @@ def _candidate_item(term: Column, total: Column, kb: Column, latin: bool) -> Col
     )
 
 
+def _counted(items: Column) -> Column:
+    """Distinct strings in the order of their first places, as (at, p, n): sorted once, counted by run length."""
+    placed = F.array_sort(F.transform(items, lambda p, i: F.struct(p.alias("p"), i.alias("at"))))
+    first = lambda xs: F.filter(
+        F.transform(xs, lambda x, i: F.when(F.coalesce(F.get(xs, i - 1)["p"] != x["p"], F.lit(True)), F.struct(x["p"].alias("p"), x["at"].alias("at"), i.alias("from")))),
+        lambda x: x.isNotNull(),
+    )
+    sized = lambda xs: let(first(xs), lambda runs: F.transform(
+        runs, lambda r, i: F.struct(r["at"].alias("at"), r["p"].alias("p"), (F.coalesce(F.get(runs, i + 1)["from"], F.size(xs)) - r["from"]).alias("n"))
+    ))
+    return F.array_sort(let(placed, sized))
+
+
 def _latin_candidates(text: Column) -> Column:
     phrases = F.filter(
         F.transform(
@@ -207,18 +219,11 @@ def _latin_candidates(text: Column) -> Column:
         ),
         lambda p: p != "",
     )
-    scored = let(
-        phrases,
-        lambda ps: F.transform(
-            F.array_distinct(ps),
-            lambda p: F.struct(
-                p.alias("p"),
-                (
-                    F.lit(0.7)
-                    + F.least(F.size(F.filter(ps, lambda q: q == p)), F.lit(4)) * F.lit(0.25)
-                    + F.least(count_of(p, "[A-Za-z]+"), F.lit(3)) * F.lit(0.15)
-                ).alias("s"),
-            ),
+    scored = F.transform(
+        _counted(phrases),
+        lambda x: F.struct(
+            x["p"].alias("p"),
+            (F.lit(0.7) + F.least(x["n"], F.lit(4)) * F.lit(0.25) + F.least(count_of(x["p"], "[A-Za-z]+"), F.lit(3)) * F.lit(0.15)).alias("s"),
         ),
     )
     # counted in its first cleaned form; a second pass settles phrases that end in two lone letters
