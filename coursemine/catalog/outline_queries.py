@@ -99,10 +99,8 @@ def q_repair_outline(spark, sf):
             F.when(F.col("line_no") % 4 == 0, "1.5").when(F.col("line_no") % 4 == 1, "0.25").when(F.col("line_no") % 4 == 2, "high").alias("confidence"),
         ),
     )
-    raw = t.groupBy("material_id").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "item"))), lambda x: x["item"])).alias("raw")
-    )
-    return _items(ol.repair_outline(raw))
+    raw = t.select("material_id", F.col("line_no").alias("pos"), F.to_json("item").alias("raw"))
+    return _items(ol.repair_outline_items(raw))
 
 
 def q_outline_topics(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.window import WindowSpec
 
 from coursemine.functions import fixed_values as fv
 from coursemine.functions.text import collapse, count_of, let, lines, strip, unnest
@@ -95,14 +96,36 @@ def match_toc_lines(rows: DataFrame) -> DataFrame:
     return found.select("material_id", "line_no", "m.title", "m.level", "m.page")
 
 
-def page_ranges(items: DataFrame, key: str = "material_id") -> DataFrame:
-    """Fill page_end from the next known page_start and renumber; an outline has at most 80 items."""
-    w = Window.partitionBy(key).orderBy("order")
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(_positive(F.col("page_start")), ignorenulls=True).over(later)
+def _page_end(following: Column) -> Column:
     start = _positive(F.col("page_start"))
-    end = F.coalesce(F.col("page_end"), F.when((start.isNotNull()) & (following > start), following - 1))
-    return items.withColumn("_end", end.cast("int")).withColumn("order", F.row_number().over(w)).withColumn("page_end", F.col("_end")).drop("_end")
+    return F.coalesce(F.col("page_end"), F.when(start.isNotNull() & (following > start), following - 1)).cast("int")
+
+
+def _next_page(w: WindowSpec) -> Column:
+    return F.first(_positive(F.col("page_start")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+
+
+def page_ranges(items: DataFrame, key: str = "material_id", block: int = 1024) -> DataFrame:
+    """Fill page_end from the next known page_start and renumber, for any number of items per key.
+
+    The next page is looked up inside a block of the order, else it is the first known
+    page of the later blocks, so no task sees a whole key.
+    """
+    start, order = _positive(F.col("page_start")), F.col("order")
+    items = items.withColumn("_at", F.floor(order / block))
+    firsts = items.groupBy(key, "_at").agg(F.min_by(start, F.when(start.isNotNull(), order)).alias("_first"))
+    later = Window.partitionBy(key).orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select(key, "_at", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    following = F.coalesce(_next_page(Window.partitionBy(key, "_at").orderBy("order")), F.col("_later"))
+    ended = items.join(firsts, [key, "_at"]).withColumn("page_end", _page_end(following))
+    return number_in_key(ended, [key], F.col("_at"), [order], "_n").withColumn("order", F.col("_n")).drop("_n", "_at", "_later")
+
+
+def _short_page_ranges(items: DataFrame) -> DataFrame:
+    """As ``page_ranges`` for outlines, which have at most 80 items."""
+    w = Window.partitionBy("material_id").orderBy("order")
+    ended = items.withColumn("_end", _page_end(_next_page(w))).withColumn("order", F.row_number().over(w))
+    return ended.withColumn("page_end", F.col("_end")).drop("_end")
 
 
 def _first_titles(items: DataFrame, least: int, order: str = "line_no", distinct: bool = True) -> DataFrame:
@@ -118,7 +141,7 @@ def _first_titles(items: DataFrame, least: int, order: str = "line_no", distinct
 
 
 def _shape(items: DataFrame) -> DataFrame:
-    return page_ranges(items).select("material_id", *ITEM_COLUMNS)
+    return _short_page_ranges(items).select("material_id", *ITEM_COLUMNS)
 
 
 def extract_outline(rows: DataFrame, max_lines: int = 900, source: str = "text_toc") -> DataFrame:
@@ -203,12 +226,21 @@ def infer_headings(rows: DataFrame, max_lines: int = 3000) -> DataFrame:
     return _shape(_first_titles(items, 3))
 
 
-RAW_ITEM = "array<struct<title:string,level:string,page_start:string,page_end:string,confidence:string>>"
+RAW_ITEM = "struct<title:string,level:string,page_start:string,page_end:string,confidence:string>"
 
 
 def repair_outline(raw: DataFrame) -> DataFrame:
     """Untrusted items (material_id, raw JSON array) → cleaned items."""
-    rows = unnest(raw, ["material_id"], F.from_json("raw", RAW_ITEM), "pos", "i").filter(F.col("i").isNotNull())
+    return _repaired(unnest(raw, ["material_id"], F.from_json("raw", f"array<{RAW_ITEM}>"), "pos", "i"))
+
+
+def repair_outline_items(raw: DataFrame) -> DataFrame:
+    """The same from one row per item (material_id, pos, raw JSON object), for outlines too long for one text."""
+    return _repaired(raw.select("material_id", "pos", F.from_json("raw", RAW_ITEM).alias("i")))
+
+
+def _repaired(rows: DataFrame) -> DataFrame:
+    rows = rows.filter(F.col("i").isNotNull())
     cleaned = rows.withColumn("title", clean_title(F.coalesce(F.col("i.title"), F.lit("")))).filter(valid_title(F.col("title")))
     as_int = lambda c: F.col(f"i.{c}").try_cast("int")
     items = cleaned.select(
