@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.functions.text import let
 from coursemine.llm.common import cut, strip_ascii, whole, words
+from coursemine.operators.ranking import is_small
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -24,6 +25,7 @@ SYMBOLS = r"[#*$%&|<>]"
 HOST_LIMIT = 0.5
 # Weight of the prior, in documents, where the hosts do not tell (one host, or no variation).
 PRIOR_WEIGHT = 10.0
+BROADCAST_HOSTS = 100_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -112,4 +114,6 @@ def keep_good(docs: DataFrame, host: Column, text: str = "text", **options: floa
     failed = measure(whole(text))["base_failed"]
     flagged = docs.select(host.alias("host"), failed.alias("failed"))
     bad = host_verdicts(flagged, "host", "failed", **options).filter(~F.col("host_kept")).select(F.col("host").alias("__bad_host"))
+    # Rejected hosts up to a number go to every task, so texts are not shuffled by host; beyond it hot hosts are split.
+    bad = F.broadcast(bad) if is_small(bad, BROADCAST_HOSTS) else bad
     return docs.filter(~failed).join(bad, host.eqNullSafe(F.col("__bad_host")), "left_anti")
