@@ -26,7 +26,7 @@ SHARE = 1.5
 MOST_COPIES = 2
 SEED = 20
 # Units per block, and open units per node of the reduction tree.
-BLOCK = 20_000
+BLOCK = 5_000
 FAN_IN = 1_000
 # Sources up to this many go to every task; beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 100_000
