@@ -15,6 +15,7 @@ own result; with an empty benchmark all documents are clean.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from coursemine.llm.common import cut
-from coursemine.llm.windows import Memo, bitmap, may_match, rolling, word_code
+from coursemine.llm.windows import MEMO, Memo, bitmap, may_match, rolling, word_code
 from coursemine.operators.ranking import is_small
 
 WINDOW = 6
@@ -39,7 +40,8 @@ mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton to
 s sec min h hr second seconds minute minutes hour hours day days week weeks month months year years
 dollar dollars cent cents euro euros percent degree degrees mph kmh kph w kw v hz
 """.split())
-NUMBER = re.compile(r"[$€£]?\d[\d.,:/]*%?")
+NUMBER = re.compile(r"\d[\d.,:/]*")
+EDGES = string.punctuation + "“”‘’„«»‹›…–—¿¡€£°"
 NONE, NUM, UNIT, NAME = 0, 1, 2, 3
 BREAK = b"\x1e"
 SCHEMA = "hits array<struct<at: int, hash: bigint, slot_at: array<int>, slots: array<string>>>"
@@ -47,52 +49,64 @@ SCHEMA = "hits array<struct<at: int, hash: bigint, slot_at: array<int>, slots: a
 
 def _describe(token: bytes) -> tuple[int, int, bool]:
     """Code inside a sentence, code at its start, whether a sentence ends here."""
-    text = token.decode()
     if token == BREAK:
         return NONE, NONE, True
-    core = re.sub(r"^[^\w$€£]+|[^\w%]+$", "", text)
-    ends = text[-1] in ".!?:"
+    text = token.decode()
+    core, ends = text.strip(EDGES), text[-1] in ".!?:"
     if not core:
         return NONE, NONE, ends
     low = core.lower()
-    if NUMBER.fullmatch(core):
+    if core[0].isdigit() and NUMBER.fullmatch(core):
         return NUM, NUM, ends
     if low in UNITS:
         return UNIT, UNIT, ends
     plain = word_code(low.encode()) | 4  # above the placeholders
-    return (NAME if core[0].isupper() else plain), plain, ends
+    # Words all in capitals are shouting or acronyms, not names.
+    named = core[0].isupper() and (len(core) == 1 or not core.isupper())
+    return (NAME if named else plain), plain, ends
 
 
 class Canonical:
-    """Template tokens of texts."""
+    """Template tokens of texts; each distinct token is described once and has a row in three tables."""
 
     def __init__(self) -> None:
-        self.memo = Memo(_describe)
-
-    def codes(self, text: str) -> tuple[np.ndarray, list[bytes]]:
-        """Template codes and the token behind each; a run of name tokens is one placeholder."""
+        self._start()
+
+    def _start(self) -> None:
+        self.rows = Memo(self._add)
+        self.inside, self.first, self.ends = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, bool)
+
+    def _add(self, token: bytes) -> int:
+        row = len(self.rows)
+        if row == len(self.ends):
+            self.inside, self.first, self.ends = (np.resize(x, 2 * row) for x in (self.inside, self.first, self.ends))
+        self.inside[row], self.first[row], self.ends[row] = _describe(token)
+        return row
+
+    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Template codes, the position of the token behind each, all tokens; a run of name tokens is one placeholder."""
+        if len(self.rows) > MEMO:
+            self._start()
         tokens = text.encode().replace(b"\n", b" \x1e ").split()
-        if not tokens:
-            return np.zeros(0, np.uint64), []
-        inside, first, ends = zip(*map(self.memo.__getitem__, tokens))
-        starts = np.concatenate([[True], np.array(ends[:-1], bool)])
-        codes = np.where(starts, np.array(first, np.uint64), np.array(inside, np.uint64))
-        keep = codes != NONE
-        same_name = (codes == NAME) & np.concatenate([[False], codes[:-1] == NAME])
-        at = np.flatnonzero(keep & ~same_name)
-        return codes[at], [tokens[i] for i in at.tolist()]
+        rows = np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
+        starts = np.ones(len(rows), bool)
+        starts[1:] = self.ends[rows[:-1]]
+        codes = np.where(starts, self.first[rows], self.inside[rows])
+        dropped = codes == NONE
+        dropped[1:] |= (codes[1:] == NAME) & (codes[:-1] == NAME)
+        at = np.flatnonzero(~dropped)
+        return codes[at], at, tokens
 
     def windows(self, text: str, bits_set: np.ndarray | None = None) -> list[dict]:
-        codes, tokens = self.codes(text)
+        codes, behind, tokens = self.codes(text)
         hashes = rolling(codes, WINDOW)
         at = may_match(hashes, bits_set) if bits_set is not None else np.arange(len(hashes))
-        slot = np.concatenate([[0], np.cumsum(codes <= NAME)])
-        at = at[slot[at + WINDOW] - slot[at] <= WINDOW - MIN_LITERAL] if len(at) else at
         out = []
         for i in at.tolist():
-            places = [j for j in range(i, i + WINDOW) if codes[j] <= NAME]
-            values = [re.sub(r"^\W+|\W+$", "", tokens[j].decode()).lower() for j in places]
-            out.append({"at": i, "hash": int(hashes[i]), "slot_at": places, "slots": values})
+            places = (i + np.flatnonzero(codes[i:i + WINDOW] <= NAME)).tolist()
+            if len(places) <= WINDOW - MIN_LITERAL:
+                values = [tokens[behind[j]].decode().strip(EDGES).lower() for j in places]
+                out.append({"at": i, "hash": int(hashes[i]), "slot_at": places, "slots": values})
         return out
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from coursemine.llm.common import cut
 from coursemine.llm.decontamination import _arrow_kind
-from coursemine.llm.windows import Memo, bitmap, may_match, rolling, word_code
+from coursemine.llm.windows import MEMO, Memo, bitmap, may_match, rolling, word_code
 
 GRAM = 3
 # Diagonals this far apart belong together; share of a template's k-grams that a span needs; its longest length in templates.
@@ -76,7 +76,7 @@ def _grams(bits, kind: pa.DataType):
         ("at", pa.int64()), ("hash", pa.int64()), ("gram", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bits_set = Memo(word_code), bits.value
+        memo, bits_set = Memo(word_code, MEMO), bits.value
         for b in batches:
             counts, hits = [], []
             for text in b.column(1):

@@ -45,13 +45,13 @@ def may_match(hashes: np.ndarray, bits_set: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """Numbers for words, computed once per distinct word; starts anew when it has grown too large."""
+    """Values for words, computed once per distinct word; a bounded one starts anew when it has grown too large."""
 
-    def __init__(self, compute) -> None:
-        self.compute = compute
+    def __init__(self, compute, bound: int | None = None) -> None:
+        self.compute, self.bound = compute, bound
 
     def __missing__(self, word: bytes):
-        if len(self) >= MEMO:
+        if self.bound and len(self) >= self.bound:
             self.clear()
         value = self[word] = self.compute(word)
         return value
