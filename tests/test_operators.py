@@ -73,7 +73,7 @@ def test_embed_with_retries_and_nulls(spark):
 
 
 def test_blake_encoder():
-    v = vx.blake_encoder(16)(["b b", ""])
+    v = vx.hash_encoder(dims=16)(["b b", ""])
     h = int.from_bytes(hashlib.blake2b(b"b", digest_size=8).digest(), "little")
     want = np.zeros(16)
     want[h % 16] = 1.0 if (h >> 8) % 2 == 0 else -1.0
