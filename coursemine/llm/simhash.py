@@ -191,22 +191,32 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# ---- near copies by similarity: SimHash to find them, a wide SimHash of the shingles to confirm ----
+# ---- near copies by similarity: fingerprints find candidates, the sets of shingles decide ----
 
 # Five-word shingles and Jaccard similarity of near copies; bits of distinct words that may
-# differ (measured: over 9 of 10 pairs at 0.8 and nearly all above lie within); 64-bit words
-# of the wide fingerprint, and half its standard error in bits, granted to every pair.
+# differ among candidates; 64-bit words of the wide fingerprint of the shingles.
 COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
 COPY_RADIUS = 7
 WIDE_WORDS = 4
-GRANTED = 3
+# Wide fingerprints may differ by what the similarity gives on average and over six standard
+# errors more: this only spares pairs that are far apart the comparison of their sets.
+GRANTED = 36
+# Pairs likely enough to be copies that others need not be compared where these connect.
+CLOSE_SIMILARITY = 0.9
+# Candidates also share the BAND least hashes of one of BANDS orders of the shingles: at
+# similarity s a pair meets with probability 1 - (1 - s^3)^12, 0.9998 at 0.8.
+BAND, BANDS = 3, 12
+# Doubtful pairs a document is compared with in the first round; MORE times as many in each further one.
+DOUBTFUL = 8
+MORE = 4
 _SALTS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(WIDE_WORDS)], np.uint64)
+_ORDERS = mixed(np.arange(1, BAND * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def wide_radius(similarity: float) -> int:
+def wide_radius(similarity: float, granted: int = GRANTED) -> int:
     """Bits that the wide fingerprints of two equally large sets of such a Jaccard similarity differ in, on average, and what is granted."""
-    return round(64 * WIDE_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + GRANTED
+    return round(64 * WIDE_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + granted
 
 
 def _majority(hashes: np.ndarray, n_words: int) -> bytes:
@@ -218,32 +228,202 @@ def _majority(hashes: np.ndarray, n_words: int) -> bytes:
     return np.packbits(2 * counts > n, bitorder="little").tobytes()
 
 
-def copy_prints(text: str | None) -> tuple[int, bytes]:
-    """Fingerprint of the distinct longer words (all words where there are none), wide fingerprint of the five-word shingles.
+def _hashes(parts) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles."""
+    return np.sort(_hashes(set(shingles(text or "", COPY_SHINGLE))))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def copy_prints(text: str | None) -> dict:
+    """node: hash of the set of shingles; fp, wide: fingerprints of the distinct longer words and of the set; bands: hashes of its least members.
 
     Shingles change with every edit and words hardly, so words find near copies within a
-    few bits; short words are left out as all texts of a language share them.
+    few bits; short words are left out as all texts of a language share them.  A passage
+    put in changes many words at once; such copies meet in a band.
     """
-    t = (text or "").encode().lower()
-    distinct = set(t.split())
+    distinct = set((text or "").encode().lower().split())
     long_words = [w for w in distinct if len(w) > 4] or list(distinct)
-    hashes = lambda parts: np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64)
-    parts = set(shingles(text or "", COPY_SHINGLE))
-    return int.from_bytes(_majority(hashes(long_words), 1), "little", signed=True), _majority(hashes(parts), WIDE_WORDS)
+    parts = shingle_set(text)
+    least = np.full(len(_ORDERS), np.uint64(2**64 - 1))
+    for at in range(0, len(parts), 16384):
+        least = np.minimum(least, (parts[at:at + 16384, None] * _ORDERS).min(0))
+    bands = [xxhash.xxh64_intdigest(m.tobytes(), k) - (1 << 63) for k, m in enumerate(least.reshape(BANDS, BAND))] if len(parts) else []
+    return {
+        "node": xxhash.xxh64_intdigest(parts.tobytes()) - (1 << 63), "bands": bands,
+        "fp": int.from_bytes(_majority(_hashes(long_words), 1), "little", signed=True), "wide": _majority(parts, WIDE_WORDS),
+    }
+
+
+PRINTS = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64()))])
+# What a pair that leaves a shard is: to be compared; the same, and others were left out for it; left out in this round.
+OPEN, CLOSE, PUT_OFF = 0, 1, 2
+
+
+def _candidate_shard(node, fp, wide, group, refused, asks, tree: bool, radius: int, close: int, loose: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """(u, v, kind), u < v, for the candidates of a shard in order of its nodes.
+
+    Left out are pairs of one group, refused ones, pairs that close ones connect, and what
+    goes beyond ``most`` for a node; of the last, a spanning forest leaves as put off.
+    """
+    n = len(node)
+    found = BkTree() if tree else None
+    at: dict[int, list[int]] = {}
+    if tree:
+        for i, x in enumerate(fp):
+            found.add(x)
+            at.setdefault(x, []).append(i)
+    seen = np.arange(n)
+    for i in np.flatnonzero(asks).tolist():
+        if tree:
+            others = np.array([j for x in found.within(fp[i], radius) for j in at[x] if j > i], np.int64)
+        else:
+            others = np.arange(i + 1, n)
+        others = others[group[others] != group[i]]
+        if not len(others):
+            continue
+        d = np.bitwise_count(wide[others] ^ wide[i]).sum(1, dtype=np.int64)
+        near = d <= loose
+        if refused[i] is not None:
+            near &= ~np.isin(node[others], refused[i])
+        others, d = others[near], d[near]
+        order = np.lexsort((node[others], d))
+        left = most
+        for j, bits in zip(others[order].tolist(), d[order].tolist()):
+            if group[i] == group[j]:
+                continue
+            if bits <= close:
+                group[group == group[j]] = group[i]
+                kind = CLOSE
+            elif left:
+                left -= 1
+                kind = OPEN
+            elif seen[i] != seen[j]:
+                kind = PUT_OFF
+            else:
+                continue
+            if seen[i] != seen[j]:
+                seen[seen == seen[j]] = seen[i]
+            yield int(node[i]), int(node[j]), kind
+
+
+def _candidate_task(radius: int, close: int, loose: int, most: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["shard", "node"])
+        shard, node, group = (rows[c].to_numpy(np.int64) for c in ("shard", "node", "member_of"))
+        group = np.where(group == 0, node, group)
+        fp, asks, tree = rows["fp"].to_numpy(np.int64).view(np.uint64).tolist(), rows["asks"].to_numpy(bool), rows["tree"].to_numpy(bool)
+        wide = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
+        refused = rows["refused"].tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        out = {
+            pair for a, b in zip(cuts, cuts[1:])
+            for pair in _candidate_shard(node[a:b], fp[a:b], wide[a:b], group[a:b].copy(), refused[a:b], asks[a:b], tree[a], radius, close, loose, most)
+        }
+        both = np.array(sorted(out), np.int64).reshape(-1, 3)
+        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1], "kind": both[:, 2]})
+
+    return run
+
+
+def candidates(nodes: DataFrame, loose: int, most: int) -> DataFrame:
+    """u, v, kind: pairs of nodes (node, fp, wide, bands, member_of, refused) to compare.
+
+    They meet within ``COPY_RADIUS`` bits of the words, found by BK-trees of shards as in
+    ``link``, or in a band; large shards are split by query.
+    """
+    trees = _shards("fp", COPY_RADIUS, COPY_RADIUS + 2)
+    n_trees = len(list(combinations(range(COPY_RADIUS + 2), 2)))
+    rows = nodes.select("node", "fp", "wide", "member_of", "refused", F.posexplode(F.concat(trees, F.col("bands"))).alias("pos", "shard"))
+    rows = rows.withColumn("tree", F.col("pos") < n_trees).drop("pos")
+    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = rows.join(sizes, "shard").withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.select(
+        "shard", "tree", "node", "fp", "wide", "member_of", "refused", (F.pmod(F.xxhash64("node"), F.col("slices")) == F.col("slice")).alias("asks"),
+        F.pmod(F.xxhash64("shard", "slice"), F.lit(total // TASK_ROWS + 1)).alias("task"),
+    )
+    task = _candidate_task(COPY_RADIUS, wide_radius(CLOSE_SIMILARITY, 0), loose, most)
+    return rows.groupBy("task").applyInPandas(task, "u long, v long, kind long").groupBy("u", "v").agg(F.min("kind").alias("kind"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "parts"])
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` with ``same``: whether the sets of shingles, made of the texts (id, h, t) anew, are as similar as asked."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    needed = cut(nodes.join(needed, "node").select("node", F.col("first")["id"].alias("_id"), F.col("first")["h"].alias("_h")))
+    side = F.broadcast(needed) if is_small(needed, BROADCAST_ROWS) else needed
+    found = texts.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "t")
+    sets = cut(found.mapInArrow(_sets, "node long, parts binary").groupBy("node").agg(F.first("parts").alias("parts")))
+
+    @F.arrow_udf("boolean")
+    def same(left: pa.Array, right: pa.Array) -> pa.Array:
+        read = lambda x: np.frombuffer(x.as_py(), np.uint64)
+        return pa.array([jaccard(read(a), read(b)) >= similarity for a, b in zip(left, right)], pa.bool_())
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("parts").alias(f"{c}_parts")) for c in ("u", "v"))
+    return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "kind", same("u_parts", "v_parts").alias("same")))
+
+
+def copy_links(nodes: DataFrame, texts: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """u, v: links that connect all candidates whose sets of shingles are ``similarity`` alike; every link has been compared.
+
+    A round leaves out pairs that likely copies connect, and what goes beyond a bound a
+    node.  Where a likely copy was none or pairs were put off, another round takes what
+    still lies in different groups, without the pairs refused before.
+    """
+    loose, most = wide_radius(similarity), DOUBTFUL
+    asked = nodes.select("node", "fp", "wide", "bands", F.lit(0).cast("long").alias("member_of"), F.lit(None).cast("array<long>").alias("refused"))
+    links = refused = None
+    while True:
+        pairs = cut(candidates(asked, loose, most))
+        judged = _compared(pairs.filter(F.col("kind") != PUT_OFF), nodes, texts, similarity)
+        put_off = pairs.filter(F.col("kind") == PUT_OFF).select("u", "v")
+        new, against = judged.filter("same").select("u", "v"), judged.filter(~F.col("same"))
+        open_at = cut(put_off.unionByName(against.filter(F.col("kind") == CLOSE).select("u", "v")))
+        links = new if links is None else links.unionByName(new)
+        refused = against.select("u", "v") if refused is None else refused.unionByName(against.select("u", "v"))
+        if not open_at.take(1):
+            return links
+        groups = components(links).select(F.col("u").alias("node"), F.col("v").alias("member_of"))
+        around = components(pairs.select("u", "v").unionByName(links)).select(F.col("u").alias("node"), F.col("v").alias("near"))
+        around = cut(around.join(groups, "node", "left").withColumn("member_of", F.coalesce("member_of", "node")))
+        mixed_up = around.groupBy("near").agg(F.min("member_of").alias("a"), F.max("member_of").alias("b")).filter("a <> b").select("near")
+        again = around.join(open_at.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("near").distinct()
+        again = cut(around.join(again.join(mixed_up, "near"), "near").select("node", "member_of"))
+        if not again.take(1):
+            return links
+        told = refused.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("refused"))
+        asked = cut(nodes.select("node", "fp", "wide", "bands").join(again, "node").join(told, "node", "left").select("node", "fp", "wide", "bands", "member_of", "refused"))
+        most *= MORE
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """One row of each group of near copies: of the smallest key (null first), its other columns as they are."""
-    @F.arrow_udf("struct<fp: bigint, wide: binary>")
+    """One row of each group of near copies, documents linked by a Jaccard similarity of ``similarity`` or more: of the smallest key (null first), its other columns as they are."""
+    @F.arrow_udf("struct<node: bigint, fp: bigint, wide: binary, bands: array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
-        kind = pa.struct([("fp", pa.int64()), ("wide", pa.binary())])
-        return pa.array([dict(zip(("fp", "wide"), copy_prints(t.as_py()))) for t in texts], kind)
+        return pa.array([copy_prints(t.as_py()) for t in texts], PRINTS)
 
     text_hash = F.xxhash64(F.lit(7), F.col(text))
     prints = docs.select(F.col(key).alias("id"), text_hash.alias("h"), run(F.col(text)).alias("p"))
-    prints = cut(prints.select("id", "h", "p.fp", "p.wide", F.xxhash64("p.fp", "p.wide").alias("node")))
-    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min(F.struct("id", "h")).alias("first")))
-    found = components(link(nodes, COPY_RADIUS, wide_radius=wide_radius(similarity))).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    prints = cut(prints.select("id", "h", "p.*"))
+    nodes = cut(prints.groupBy("node").agg(
+        F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("bands").alias("bands"), F.min(F.struct("id", "h")).alias("first")))
+    texts = docs.select(F.col(key).alias("id"), text_hash.alias("h"), F.col(text).alias("t"))
+    found = components(copy_links(nodes, texts, similarity)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     rooted = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     members = rooted.join(kept, "root").select("node", "kept")
