@@ -7,9 +7,14 @@ placeholders of item and document are aligned; a true re-parameterisation maps e
 value of the item to one value of the document.  A document is contaminated by an item
 when consistent diagonals together cover enough of the item's template.
 
-Defined results: null and empty texts have no tokens and are clean; an item with fewer
-tokens than a window is never found; repeated rows and repeated items each have their
-own result; with an empty benchmark all documents are clean.
+A word at a sentence start may be a name, and a copy in lower case hides names: items are
+looked for in three readings (such words as words, as names; no names at all), documents
+in the first two.  Windows with few plain words must agree in the values of their
+placeholders as well.  An item shorter than a window is one window of its own length.
+
+Defined results: null and empty texts have no tokens and are clean; an item of fewer than
+``SHORTEST`` tokens is never found; repeated rows and repeated items each have their own
+result; with an empty benchmark all documents are clean.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from coursemine.llm.windows import MEMO, Memo, bitmap, may_match, rolling, word_
 from coursemine.operators.ranking import is_small
 
 WINDOW = 6
-# Plain words that a window must have; a window of placeholders alone says nothing.
+SHORTEST = 3
+# Windows with fewer plain words match only with equal values; a window of placeholders alone says nothing.
 MIN_LITERAL = 3
 COVERAGE = 0.5
 CONSISTENCY = 0.8
@@ -40,30 +46,38 @@ mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton to
 s sec min h hr second seconds minute minutes hour hours day days week weeks month months year years
 dollar dollars cent cents euro euros percent degree degrees mph kmh kph w kw v hz
 """.split())
-NUMBER = re.compile(r"\d[\d.,:/]*")
+NUMBER = re.compile(r"\d[\d.,:/]*(?:am|pm|st|nd|rd|th)?")
+NUMBER_WORDS = frozenset("""
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen
+""".split())
+# A number with its unit in one token, as 5kg.
+GLUED = re.compile(rf"(?<![\w.,:/])(\d[\d.,:/]*)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\w)".encode(), re.I)
 EDGES = string.punctuation + "“”‘’„«»‹›…–—¿¡€£°"
 NONE, NUM, UNIT, NAME = 0, 1, 2, 3
 BREAK = b"\x1e"
-SCHEMA = "hits array<struct<at: int, hash: bigint, slot_at: array<int>, slots: array<string>>>"
+# Readings of a text: words at a sentence start are words, or names where they have a capital; nothing is a name.
+WORDS, NAMES, LOWER = 0, 1, 2
+SCHEMA = "hits array<struct<at: int, width: int, reading: int, hash: bigint, slot_at: array<int>, slots: array<string>>>"
 
 
-def _describe(token: bytes) -> tuple[int, int, bool]:
-    """Code inside a sentence, code at its start, whether a sentence ends here."""
+def _describe(token: bytes) -> tuple[int, int, int, int, int, bool]:
+    """Codes inside a sentence, at its start, there as a name, without names, of the value; whether a sentence ends here."""
     if token == BREAK:
-        return NONE, NONE, True
+        return NONE, NONE, NONE, NONE, NONE, True
     text = token.decode()
     core, ends = text.strip(EDGES), text[-1] in ".!?:"
     if not core:
-        return NONE, NONE, ends
+        return NONE, NONE, NONE, NONE, NONE, ends
     low = core.lower()
-    if core[0].isdigit() and NUMBER.fullmatch(core):
-        return NUM, NUM, ends
-    if low in UNITS:
-        return UNIT, UNIT, ends
     plain = word_code(low.encode()) | 4  # above the placeholders
+    if core[0].isdigit() and NUMBER.fullmatch(low) or low in NUMBER_WORDS:
+        return NUM, NUM, NUM, NUM, plain, ends
+    if low in UNITS:
+        return UNIT, UNIT, UNIT, UNIT, plain, ends
     # Words all in capitals are shouting or acronyms, not names.
     named = core[0].isupper() and (len(core) == 1 or not core.isupper())
-    return (NAME if named else plain), plain, ends
+    return (NAME if named else plain), plain, (NAME if named else plain), plain, plain, ends
 
 
 class Canonical:
@@ -74,53 +88,102 @@ class Canonical:
 
     def _start(self) -> None:
         self.rows = Memo(self._add)
-        self.inside, self.first, self.ends = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, bool)
+        self.inside, self.first, self.named, self.lower, self.value = (np.zeros(1024, np.uint64) for _ in range(5))
+        self.ends = np.zeros(1024, bool)
 
     def _add(self, token: bytes) -> int:
         row = len(self.rows)
+        tables = ("inside", "first", "named", "lower", "value", "ends")
         if row == len(self.ends):
-            self.inside, self.first, self.ends = (np.resize(x, 2 * row) for x in (self.inside, self.first, self.ends))
-        self.inside[row], self.first[row], self.ends[row] = _describe(token)
+            for name in tables:
+                setattr(self, name, np.resize(getattr(self, name), 2 * row))
+        for name, x in zip(tables, _describe(token)):
+            getattr(self, name)[row] = x
         return row
 
-    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Template codes, the position of the token behind each, all tokens; a run of name tokens is one placeholder."""
+    def readings(self, text: str, kinds: tuple[int, ...] = (WORDS,)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """Per reading: template codes, value codes, whether a code differs from the first reading, the position of the token behind each, all tokens; a run of name tokens is one placeholder."""
         if len(self.rows) > MEMO:
             self._start()
-        tokens = text.encode().replace(b"\n", b" \x1e ").split()
+        tokens = GLUED.sub(rb"\1 \2", text.encode().replace(b"\n", b" \x1e ")).split()
         rows = np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
         starts = np.ones(len(rows), bool)
         starts[1:] = self.ends[rows[:-1]]
-        codes = np.where(starts, self.first[rows], self.inside[rows])
-        dropped = codes == NONE
-        dropped[1:] |= (codes[1:] == NAME) & (codes[:-1] == NAME)
-        at = np.flatnonzero(~dropped)
-        return codes[at], at, tokens
-
-    def windows(self, text: str, bits_set: np.ndarray | None = None) -> list[dict]:
-        codes, behind, tokens = self.codes(text)
-        hashes = rolling(codes, WINDOW)
-        at = may_match(hashes, bits_set) if bits_set is not None else np.arange(len(hashes))
-        out = []
-        for i in at.tolist():
-            places = (i + np.flatnonzero(codes[i:i + WINDOW] <= NAME)).tolist()
-            if len(places) <= WINDOW - MIN_LITERAL:
-                values = [tokens[behind[j]].decode().strip(EDGES).lower() for j in places]
-                out.append({"at": i, "hash": int(hashes[i]), "slot_at": places, "slots": values})
+        plain = np.where(starts, self.first[rows], self.inside[rows])
+        for kind in kinds:
+            codes = plain if kind == WORDS else self.lower[rows] if kind == LOWER else np.where(starts, self.named[rows], self.inside[rows])
+            dropped = codes == NONE
+            dropped[1:] |= (codes[1:] == NAME) & (codes[:-1] == NAME)
+            at = np.flatnonzero(~dropped)
+            yield codes[at], self.value[rows[at]], (codes != plain)[at], at, tokens
+
+    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Template codes, the position of the token behind each, all tokens."""
+        codes, _, _, at, tokens = next(self.readings(text))
+        return codes, at, tokens
+
+    def items(self, text: str) -> list[tuple[int, list[dict]]]:
+        """(length, windows) of every distinct reading of an item; a short one is one window."""
+        out, known = [], set()
+        for kind, reading in enumerate(self.readings(text, (WORDS, NAMES, LOWER))):
+            codes = reading[0]
+            if codes.tobytes() not in known and len(codes) >= SHORTEST:
+                known.add(codes.tobytes())
+                out.append((len(codes), _windows(*reading, kind, min(WINDOW, len(codes)))))
         return out
 
+    def windows(self, text: str, bits_set: np.ndarray, widths: list[int]) -> list[dict]:
+        """Windows of a document that an item may have; of the second reading, those that it changes."""
+        return [
+            w for kind, reading in enumerate(self.readings(text, (WORDS, NAMES)))
+            for width in widths for w in _windows(*reading, kind, width, bits_set, kind != WORDS)
+        ]
+
+
+def _windows(codes: np.ndarray, values: np.ndarray, other: np.ndarray, behind: np.ndarray, tokens: list[bytes], kind: int, width: int,
+             bits_set: np.ndarray | None = None, changed: bool = False) -> list[dict]:
+    if len(codes) < width or changed and not other.any():
+        return []
+    within = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.stack([np.arange(len(x) - width + 1), np.arange(width, len(x) + 1)])], axis=0)[0]
+    hashes = rolling(codes, width)
+    few = within(codes > NAME) < min(MIN_LITERAL, width)
+    if few.any():
+        hashes = np.where(few, rolling(values, width), hashes)
+    at = may_match(hashes, bits_set) if bits_set is not None else np.arange(len(hashes))
+    if changed:
+        at = at[within(other)[at] > 0]
+    out = []
+    for i in at.tolist():
+        places = (i + np.flatnonzero(codes[i:i + width] <= NAME)).tolist()
+        slots = [tokens[behind[j]].decode().strip(EDGES).lower() for j in places]
+        out.append({"at": i, "width": width, "reading": kind, "hash": int(hashes[i]), "slot_at": places, "slots": slots})
+    return out
+
+
+HITS = pa.list_(pa.struct([
+    ("at", pa.int32()), ("width", pa.int32()), ("reading", pa.int32()), ("hash", pa.int64()), ("slot_at", pa.list_(pa.int32())), ("slots", pa.list_(pa.string()))]))
+
+
+def _items_of(kind: pa.DataType):
+    """item, length, hits: a row for each reading of each item."""
+    schema = pa.schema([("item", kind), ("length", pa.int32()), ("hits", HITS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canonical = Canonical()
+        for b in batches:
+            found = [(i, *reading) for i, t in enumerate(b.column(1)) for reading in canonical.items(t.as_py() or "")]
+            columns = [b.column(0).take(pa.array([i for i, _, _ in found], pa.int64())), pa.array([n for _, n, _ in found], pa.int32()), pa.array([w for _, _, w in found], HITS)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
 
-def _windows_of(bits, key: str, kind: pa.DataType, length: bool):
-    fields = [(key, kind), *([("length", pa.int32())] if length else []), ("hits", pa.list_(pa.struct([
-        ("at", pa.int32()), ("hash", pa.int64()), ("slot_at", pa.list_(pa.int32())), ("slots", pa.list_(pa.string()))])))]
 
+def _windows_of(bits, widths: list[int], key: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canonical, bits_set = Canonical(), bits.value if bits is not None else None
+        canonical, bits_set = Canonical(), bits.value
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column(1)]
-            columns = [b.column(0), *([pa.array([len(canonical.codes(t)[0]) for t in texts], pa.int32())] if length else [])]
-            columns.append(pa.array([canonical.windows(t, bits_set) for t in texts], fields[-1][1]))
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+            hits = pa.array([canonical.windows(t.as_py() or "", bits_set, widths) for t in b.column(1)], HITS)
+            yield pa.RecordBatch.from_arrays([b.column(0), hits], schema=pa.schema([(key, kind), ("hits", HITS)]))
 
     return run
 
@@ -137,20 +200,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
     spark = docs.sparkSession
     kind = benchmark.schema[item].dataType.simpleString()
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t"))
-    items = items.mapInArrow(_windows_of(None, "item", _arrow_kind(items, "item"), True), f"item {kind}, length int, {SCHEMA}")
+    items = items.mapInArrow(_items_of(_arrow_kind(items, "item")), f"item {kind}, length int, {SCHEMA}")
     items = cut(items.withColumn("item_row", F.monotonically_increasing_id()).select(
         "item_row", "item", "length", F.explode("hits").alias("w")).select("item_row", "item", "length", "w.*"))
-    bits = spark.sparkContext.broadcast(bitmap(items))
+    bits, widths = spark.sparkContext.broadcast(bitmap(items)), [r["width"] for r in items.select("width").distinct().collect()]
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    rows = rows.mapInArrow(_windows_of(bits, "id", _arrow_kind(rows, "id"), False), f"id {kind}, {SCHEMA}")
+    rows = rows.mapInArrow(_windows_of(bits, widths, "id", _arrow_kind(rows, "id")), f"id {kind}, {SCHEMA}")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     found = rows.select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    side = items.select("item_row", "item", "length", F.col("hash").alias("_hash"), F.col("at").alias("q"), F.col("slots").alias("item_slots"))
+    side = items.select("item_row", "item", "length", F.col("hash").alias("_hash"), F.col("width").alias("_width"), F.col("at").alias("q"), F.col("slots").alias("item_slots"))
     side = F.broadcast(side) if is_small(items, BROADCAST_WINDOWS) else side
-    joined = found.join(side, (F.col("hash") == F.col("_hash")) & (F.size("slots") == F.size("item_slots")))
+    joined = found.join(side, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")) & (F.size("slots") == F.size("item_slots")))
     # Positions and slot pairs per diagonal: both bounded by the item's length.
-    diagonals = joined.groupBy("row", "item_row", "item", "length", (F.col("at") - F.col("q")).alias("diagonal")).agg(
+    diagonals = joined.groupBy("row", "item_row", "item", "length", "width", "reading", (F.col("at") - F.col("q")).alias("diagonal")).agg(
         F.collect_set("q").alias("q"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("pairs"),
     )
@@ -159,8 +222,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
     renamed = F.exists("pairs", lambda p: p["i"] != p["d"])
     good = diagonals.filter(consistent >= CONSISTENCY).withColumn("renamed", renamed)
     covered = F.array_distinct(F.flatten(F.transform(
-        F.flatten(F.collect_list("q")), lambda q: F.sequence(q, q + (WINDOW - 1)))))
-    per_item = good.groupBy("row", "item_row", "item", "length").agg((F.size(covered) / F.first("length")).alias("coverage"), F.max("renamed").alias("renamed"))
+        F.flatten(F.collect_list("q")), lambda q: F.sequence(q, q + F.col("width") - 1))))
+    per_item = good.groupBy("row", "item_row", "item", "length", "width").agg((F.size(covered) / F.first("length")).alias("coverage"), F.max("renamed").alias("renamed"))
     verdicts = per_item.filter(F.col("coverage") >= coverage).groupBy("row").agg(
         F.array_sort(F.collect_set("item")).alias("items"), F.max("coverage").alias("coverage"), F.max("renamed").alias("renamed"))
     out = rows.select("row", F.col("id").alias(key)).join(verdicts, "row", "left")
