@@ -39,9 +39,12 @@ MIN_CLASS = 2
 CONSTANT_SHARE = 0.5
 BROADCAST_HOSTS = 100_000
 # Elements by what they mean for the main text.
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|textarea|select|title"
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("""
+math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover
+mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml
+""".split())
 ARTICLE = frozenset("article main".split())
 BOILERPLATE = frozenset("nav header footer aside form button menu dialog fieldset head".split())
 BOILERPLATE_NAMES = frozenset("""
@@ -51,7 +54,8 @@ promo promotion recommended related respond share sharing sidebar signup social
 """.split())
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>]|\Z).*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^"'>]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|(?P<text>[^<]+|<)""",
     re.I | re.S,
 )
