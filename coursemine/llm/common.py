@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
 
 import numpy as np
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # White space of the word rule, for SQL trims and for Java patterns.
@@ -46,10 +46,12 @@ def remainder(n: int, doc_id: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: spark.checkpoint.dir, or a local folder when nothing is set, as in tests."""
+    """Where intermediate tables go: spark.checkpoint.dir; a temporary folder only where it is unset and all runs in one process."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.conf.get("coursemine.local.checkpoint", None) or tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("coursemine.local.checkpoint", found)
     if sc.getCheckpointDir() is None:
@@ -70,12 +72,12 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def unpack(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=kind)
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored or checkpointed table that nothing will read again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

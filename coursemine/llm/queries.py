@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from coursemine.fixtures import table
 from coursemine.llm import (
-    decontamination, html_extraction, language_id, language_model, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash,
+    decontamination, html_extraction, language_id, language_model, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash, whitening,
 )
 from coursemine.llm.common import remainder
 
@@ -125,10 +125,16 @@ def q_language_model(spark, sf):
     )
 
 
+def q_whitening(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return whitening.components(vectors, whitening.fit(vectors))
+
+
 QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules,
     "op5_simhash": q_simhash, "op9_mixing": q_mixing,
     "op3_decontamination": q_decontamination, "op10_licenses": q_licenses,
     "op2_language_model": q_language_model, "op6_html_extraction": q_html_extraction,
     "op4_quality_classifier": q_quality_classifier, "op7_language_id": q_language_id,
+    "op12_whitening": q_whitening,
 }
 ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES}
