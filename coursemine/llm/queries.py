@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from coursemine.fixtures import table
 from coursemine.llm import (
-    decontamination, html_extraction, language_id, language_model, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash, whitening,
+    decontamination, html_extraction, language_id, language_model, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash, spelling, whitening,
 )
 from coursemine.llm.common import remainder
 
@@ -130,11 +130,52 @@ def q_whitening(spark, sf):
     return whitening.components(vectors, whitening.fit(vectors))
 
 
+def q_spelling(spark, sf):
+    return spelling.variants(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+SQL_SPELLING = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+runs AS (
+  SELECT concat(doc_id, ':') AS head, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents)),
+counted AS (SELECT head, run, count(*) AS n FROM runs GROUP BY ALL),
+sums AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(head || run) + 1),
+           lambda i: CASE WHEN unicode(substring(head || run, i, 1)) < 128 THEN [unicode(substring(head || run, i, 1))::BIGINT]
+                          ELSE [195::BIGINT, unicode(substring(head || run, i, 1))::BIGINT - 64] END))),
+           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM counted, crc_table),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2)
+                    ELSE run END AS word, n FROM sums)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (
+  SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+near AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS best FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN best END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+chain AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, root FROM forms f JOIN (
+  SELECT c.word, c.root FROM chain c JOIN forms g ON c.root = g.word WHERE g.form IS NULL) USING (word)"""
+
 QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules,
     "op5_simhash": q_simhash, "op9_mixing": q_mixing,
     "op3_decontamination": q_decontamination, "op10_licenses": q_licenses,
     "op2_language_model": q_language_model, "op6_html_extraction": q_html_extraction,
     "op4_quality_classifier": q_quality_classifier, "op7_language_id": q_language_id,
-    "op12_whitening": q_whitening,
+    "op12_whitening": q_whitening, "op13_spelling": q_spelling,
 }
-ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES}
+ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES, "op13_spelling": SQL_SPELLING}
