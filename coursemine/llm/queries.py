@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from coursemine.fixtures import table
 from coursemine.llm import (
-    decontamination, html_extraction, language_id, language_model, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash, spelling, whitening,
+    decontamination, fingerprints, html_extraction, language_id, language_model, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash, spelling, whitening,
 )
-from coursemine.llm.common import remainder
+from coursemine.llm.common import cut, remainder
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -130,6 +130,11 @@ def q_whitening(spark, sf):
     return whitening.components(vectors, whitening.fit(vectors))
 
 
+def q_fingerprints(spark, sf):
+    rows = cut(fingerprints.edited(table(spark, sf, "documents").select("doc_id", "text")))
+    return rows.join(fingerprints.classes(rows), "fingerprint").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
+
+
 def q_spelling(spark, sf):
     return spelling.variants(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -176,6 +181,6 @@ QUERIES = {"op1_line_dedup": q_line_dedup, "op8_quality_rules": q_quality_rules,
     "op3_decontamination": q_decontamination, "op10_licenses": q_licenses,
     "op2_language_model": q_language_model, "op6_html_extraction": q_html_extraction,
     "op4_quality_classifier": q_quality_classifier, "op7_language_id": q_language_id,
-    "op12_whitening": q_whitening, "op13_spelling": q_spelling,
+    "op11_fingerprints": q_fingerprints, "op12_whitening": q_whitening, "op13_spelling": q_spelling,
 }
 ORACLE = {"op1_line_dedup": SQL_LINE_DEDUP, "op8_quality_rules": SQL_QUALITY_RULES, "op13_spelling": SQL_SPELLING}
