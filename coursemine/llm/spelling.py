@@ -244,8 +244,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     )
     task = F.pmod(F.xxhash64("shard", "part"), F.lit(4 * total // TASK_ROWS + 1))
     dealt = rows.select(
-        task.alias("task"), "first", "short", "word", "n", F.lit(True).alias("asks"), (F.col("own") == F.col("part")).alias("held"))
-    found = dealt.groupBy("task", "first", "short").applyInPandas(_search, "word string, near long, less long, other string")
+        task.alias("task"), "first", "short", "part", "word", "n", F.lit(True).alias("asks"), (F.col("own") == F.col("part")).alias("held"))
+    found = dealt.groupBy("task", "first", "short", "part").applyInPandas(_search, "word string, near long, less long, other string")
     least = found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct("less", "other")).alias("best"))
     return least.select("word", "n_near", (-F.col("best.less")).alias("form_n"), F.col("best.other").alias("best"))
 
