@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.llm.common import cut, mixed
 from coursemine.llm.components import components
+from coursemine.llm.windows import Memo
 from coursemine.operators.ranking import is_small
 
 RADIUS = 4
@@ -191,41 +192,35 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# ---- near copies by similarity: fingerprints find candidates, the sets of shingles decide ----
+# ---- near copies by similarity: fingerprints find candidates, sketches judge them, the sets of shingles decide what is in doubt ----
 
 # Five-word shingles and Jaccard similarity of near copies; bits of distinct words that may
-# differ among candidates; 64-bit words of the wide fingerprint of the shingles.
+# differ among candidates of the trees.
 COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
-COPY_RADIUS = 7
-WIDE_WORDS = 4
-# Wide fingerprints may differ by what the similarity gives on average and over six standard
-# errors more: this only spares pairs that are far apart the comparison of their sets.
-GRANTED = 36
-# Pairs likely enough to be copies that others need not be compared where these connect.
-CLOSE_SIMILARITY = 0.9
+COPY_RADIUS = 2
 # Candidates also share the BAND least hashes of one of BANDS orders of the shingles: at
-# similarity s a pair meets with probability 1 - (1 - s^3)^12, 0.9998 at 0.8.
-BAND, BANDS = 3, 12
-# Doubtful pairs a document is compared with in the first round; MORE times as many in each further one.
-DOUBTFUL = 8
-MORE = 4
-_SALTS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(WIDE_WORDS)], np.uint64)
+# similarity s a pair meets with probability 1 - (1 - s^4)^12, 0.998 at 0.8.
+BAND, BANDS = 4, 12
+# A sketch is the least shingle hash of each of so many bins, in eight bits; the second
+# number holds for documents whose doubtful pairs are too many for the first.
+BINS, MORE_BINS = 256, 4096
+# A sketch decides alone where its estimate is so many standard errors, and SLACK for equal
+# bytes of different hashes, from the similarity asked for.
+ERRORS, SLACK = 4.0, 0.01
+# Doubtful pairs that a document may have in one shard before the finer sketch is asked.
+DOUBTFUL = 2
+# Nodes of a shard in a part; parts meet pairwise.
+PART = 4096
 _ORDERS = mixed(np.arange(1, BAND * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def wide_radius(similarity: float, granted: int = GRANTED) -> int:
-    """Bits that the wide fingerprints of two equally large sets of such a Jaccard similarity differ in, on average, and what is granted."""
-    return round(64 * WIDE_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + granted
-
-
-def _majority(hashes: np.ndarray, n_words: int) -> bytes:
-    """Bits set in over half of the hashes; each further word of bits mixes the hash anew."""
-    counts, n = np.zeros(64 * n_words, np.int64), len(hashes)
-    for at in range(0, n, 16384):
-        part = np.stack([mixed(hashes[at:at + 16384] + s) for s in _SALTS[:n_words]], 1)
-        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > n, bitorder="little").tobytes()
+def _majority(hashes: np.ndarray) -> int:
+    """Signed 64 bits, set where over half of the hashes have them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _hashes(parts) -> np.ndarray:
@@ -242,8 +237,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def sketch(parts: np.ndarray, bins: int) -> bytes:
+    """A byte per bin of the sorted hashes: 0 for an empty one, else of its least member."""
+    at = (parts >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out = np.zeros(bins, np.uint8)
+    out[at[first]] = 1 + mixed(parts[first]) % np.uint64(255)
+    return out.tobytes()
+
+
 def copy_prints(text: str | None) -> dict:
-    """node: hash of the set of shingles; fp, wide: fingerprints of the distinct longer words and of the set; bands: hashes of its least members.
+    """node: hash of the set of shingles; n: its size; fp: fingerprint of the distinct longer words; bands: hashes of the set's
+    least members; sketch.
 
     Shingles change with every edit and words hardly, so words find near copies within a
     few bits; short words are left out as all texts of a language share them.  A passage
@@ -257,75 +262,84 @@ def copy_prints(text: str | None) -> dict:
         least = np.minimum(least, (parts[at:at + 16384, None] * _ORDERS).min(0))
     bands = [xxhash.xxh64_intdigest(m.tobytes(), k) - (1 << 63) for k, m in enumerate(least.reshape(BANDS, BAND))] if len(parts) else []
     return {
-        "node": xxhash.xxh64_intdigest(parts.tobytes()) - (1 << 63), "bands": bands,
-        "fp": int.from_bytes(_majority(_hashes(long_words), 1), "little", signed=True), "wide": _majority(parts, WIDE_WORDS),
+        "node": xxhash.xxh64_intdigest(parts.tobytes()) - (1 << 63), "n": len(parts), "fp": _majority(_hashes(long_words)),
+        "bands": bands, "sketch": sketch(parts, BINS),
     }
 
 
-PRINTS = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64()))])
-# What a pair that leaves a shard is: to be compared; the same, and others were left out for it; left out in this round.
-OPEN, CLOSE, PUT_OFF = 0, 1, 2
+PRINTS = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+# What a pair that leaves a shard is: alike beyond doubt; to be compared; left for the finer sketch.
+SURE, OPEN, PUT_OFF = 0, 1, 2
+
 
+def _judged(sketches: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Estimated similarities of node i to others, and whether these are beyond doubt at least ``similarity``, or may be.
 
-def _candidate_shard(node, fp, wide, group, refused, asks, tree: bool, radius: int, close: int, loose: int, most: int) -> Iterator[tuple[int, int, int]]:
-    """(u, v, kind), u < v, for the candidates of a shard in order of its nodes.
+    Bins are a sample of the union of both sets without repetition, so the error of an
+    estimate vanishes where the bins hold nearly all of the union.
+    """
+    a, b = sketches[i], sketches[others]
+    filled = ((a > 0) | (b > 0)).sum(1)
+    alike = ((a == b) & (a > 0)).sum(1) / np.maximum(filled, 1)
+    union = (n[i] + n[others]) / (1 + alike)
+    error = ERRORS * np.sqrt(similarity * (1 - similarity) / np.maximum(filled, 1) * np.maximum(1 - filled / union, 0)) + SLACK
+    return alike, alike - error >= similarity, alike + error >= similarity
+
+
+def _candidate_shard(node, fp, n, group, sketches, tree: bool, similarity: float, most: int | None) -> Iterator[tuple[int, int, int]]:
+    """(u, v, kind), u < v, for the candidates of a shard, whose nodes come in order of their sizes.
 
-    Left out are pairs of one group, refused ones, pairs that close ones connect, and what
-    goes beyond ``most`` for a node; of the last, a spanning forest leaves as put off.
+    Left out are pairs of one group and pairs that sure ones connect; doubtful pairs beyond
+    ``most`` of a node are put off, and a spanning forest of these leaves.
     """
-    n = len(node)
-    found = BkTree() if tree else None
-    at: dict[int, list[int]] = {}
+    bits = np.packbits(sketches & 1, axis=1).view("<u8")
+    bins = sketches.shape[1]
+    # the low bits of a bin differ in half of the cases where its members do
+    far = bins * (1 - similarity) / 2 + ERRORS * np.sqrt(bins * (1 - similarity) / 2) + 1
+    found, at = BkTree(), {}
     if tree:
         for i, x in enumerate(fp):
             found.add(x)
             at.setdefault(x, []).append(i)
-    seen = np.arange(n)
-    for i in np.flatnonzero(asks).tolist():
-        if tree:
-            others = np.array([j for x in found.within(fp[i], radius) for j in at[x] if j > i], np.int64)
-        else:
-            others = np.arange(i + 1, n)
+    around = Memo(lambda x: np.sort(np.concatenate([at[y] for y in found.within(x, COPY_RADIUS)])), 500)
+    last = np.searchsorted(n, n / similarity * (1 + 1e-9), side="right")
+    seen = np.arange(len(node))
+    told = lambda i, j, kind: (int(min(node[i], node[j])), int(max(node[i], node[j])), kind)
+    apart = len(np.unique(group))
+    for i in range(len(node)):
+        if apart == 1:
+            return
+        others = around[fp[i]] if tree else np.arange(i + 1, last[i])
+        others = others[(others > i) & (others < last[i])]
         others = others[group[others] != group[i]]
+        others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64) <= far]
         if not len(others):
             continue
-        d = np.bitwise_count(wide[others] ^ wide[i]).sum(1, dtype=np.int64)
-        near = d <= loose
-        if refused[i] is not None:
-            near &= ~np.isin(node[others], refused[i])
-        others, d = others[near], d[near]
-        order = np.lexsort((node[others], d))
-        left = most
-        for j, bits in zip(others[order].tolist(), d[order].tolist()):
-            if group[i] == group[j]:
-                continue
-            if bits <= close:
-                group[group == group[j]] = group[i]
-                kind = CLOSE
-            elif left:
-                left -= 1
-                kind = OPEN
+        alike, sure, maybe = _judged(sketches, n, i, others, similarity)
+        for j in others[sure][np.unique(group[others[sure]], return_index=True)[1]].tolist():
+            apart -= 1
+            yield told(i, j, SURE)
+        group[np.isin(group, group[others[sure]])] = group[i]
+        open_at = maybe & (group[others] != group[i])
+        for rank, k in enumerate(np.flatnonzero(open_at)[np.argsort(-alike[open_at], kind="stable")].tolist()):
+            j = others[k]
+            if most is None or rank < most:
+                yield told(i, j, OPEN)
             elif seen[i] != seen[j]:
-                kind = PUT_OFF
-            else:
-                continue
-            if seen[i] != seen[j]:
                 seen[seen == seen[j]] = seen[i]
-            yield int(node[i]), int(node[j]), kind
+                yield told(i, j, PUT_OFF)
 
 
-def _candidate_task(radius: int, close: int, loose: int, most: int):
+def _candidate_task(similarity: float, most: int | None):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["shard", "node"])
-        shard, node, group = (rows[c].to_numpy(np.int64) for c in ("shard", "node", "member_of"))
-        group = np.where(group == 0, node, group)
-        fp, asks, tree = rows["fp"].to_numpy(np.int64).view(np.uint64).tolist(), rows["asks"].to_numpy(bool), rows["tree"].to_numpy(bool)
-        wide = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
-        refused = rows["refused"].tolist()
+        rows = rows.sort_values(["shard", "n", "node"])
+        shard, node, n, group = (rows[c].to_numpy(np.int64) for c in ("shard", "node", "n", "member_of"))
+        fp, tree = rows["fp"].to_numpy(np.int64).view(np.uint64).tolist(), rows["tree"].to_numpy(bool)
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
         cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
         out = {
             pair for a, b in zip(cuts, cuts[1:])
-            for pair in _candidate_shard(node[a:b], fp[a:b], wide[a:b], group[a:b].copy(), refused[a:b], asks[a:b], tree[a], radius, close, loose, most)
+            for pair in _candidate_shard(node[a:b], fp[a:b], n[a:b], group[a:b].copy(), sketches[a:b], tree[a], similarity, most)
         }
         both = np.array(sorted(out), np.int64).reshape(-1, 3)
         return pd.DataFrame({"u": both[:, 0], "v": both[:, 1], "kind": both[:, 2]})
@@ -333,25 +347,26 @@ def _candidate_task(radius: int, close: int, loose: int, most: int):
     return run
 
 
-def candidates(nodes: DataFrame, loose: int, most: int) -> DataFrame:
-    """u, v, kind: pairs of nodes (node, fp, wide, bands, member_of, refused) to compare.
+def candidates(nodes: DataFrame, similarity: float, most: int | None, bins: int = BINS) -> DataFrame:
+    """u, v, kind: pairs of nodes (node, n, fp, bands, sketch, member_of) that are alike or to be compared.
 
     They meet within ``COPY_RADIUS`` bits of the words, found by BK-trees of shards as in
-    ``link``, or in a band; large shards are split by query.
+    ``link``, or in a band.  Shards of one node are dropped before sketches travel; a
+    shard of more than ``PART`` nodes is cut into parts that meet pairwise.
     """
     trees = _shards("fp", COPY_RADIUS, COPY_RADIUS + 2)
     n_trees = len(list(combinations(range(COPY_RADIUS + 2), 2)))
-    rows = nodes.select("node", "fp", "wide", "member_of", "refused", F.posexplode(F.concat(trees, F.col("bands"))).alias("pos", "shard"))
-    rows = rows.withColumn("tree", F.col("pos") < n_trees).drop("pos")
+    rows = nodes.select("node", F.posexplode(F.concat(trees, F.col("bands"))).alias("pos", "shard"))
+    rows = rows.select("node", (F.col("pos") < n_trees).alias("tree"), "shard")
     sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    rows = rows.join(sizes, "shard").withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rows = rows.select(
-        "shard", "tree", "node", "fp", "wide", "member_of", "refused", (F.pmod(F.xxhash64("node"), F.col("slices")) == F.col("slice")).alias("asks"),
-        F.pmod(F.xxhash64("shard", "slice"), F.lit(total // TASK_ROWS + 1)).alias("task"),
-    )
-    task = _candidate_task(COPY_RADIUS, wide_radius(CLOSE_SIMILARITY, 0), loose, most)
+    rows = cut(rows.join(sizes, "shard").withColumn("parts", F.ceil(F.col("size") / PART).cast("int")))
+    own = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int")
+    rows = rows.select("node", "tree", "shard", "size", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("node", "tree", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"))
+    total = rows.count()
+    rows = rows.join(nodes.select("node", "n", "fp", "sketch", "member_of"), "node")
+    rows = rows.withColumn("task", F.pmod(F.xxhash64(F.lit("task"), "shard"), F.lit(total * bins // (BINS * TASK_ROWS) + 1)))
+    task = _candidate_task(similarity, most)
     return rows.groupBy("task").applyInPandas(task, "u long, v long, kind long").groupBy("u", "v").agg(F.min("kind").alias("kind"))
 
 
@@ -361,13 +376,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "parts"])
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` with ``same``: whether the sets of shingles, made of the texts (id, h, t) anew, are as similar as asked."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def _texts_of(needed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, parts: the sets of shingles of the needed nodes, made of the texts (id, h, t) anew."""
     needed = cut(nodes.join(needed, "node").select("node", F.col("first")["id"].alias("_id"), F.col("first")["h"].alias("_h")))
     side = F.broadcast(needed) if is_small(needed, BROADCAST_ROWS) else needed
     found = texts.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "t")
-    sets = cut(found.mapInArrow(_sets, "node long, parts binary").groupBy("node").agg(F.first("parts").alias("parts")))
+    return found.mapInArrow(_sets, "node long, parts binary").groupBy("node").agg(F.first("parts").alias("parts"))
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose sets of shingles are as similar as asked."""
+    sets = cut(_texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, texts))
 
     @F.arrow_udf("boolean")
     def same(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -375,45 +394,39 @@ def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
         return pa.array([jaccard(read(a), read(b)) >= similarity for a, b in zip(left, right)], pa.bool_())
 
     left, right = (sets.select(F.col("node").alias(c), F.col("parts").alias(f"{c}_parts")) for c in ("u", "v"))
-    return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "kind", same("u_parts", "v_parts").alias("same")))
+    return pairs.join(left, "u").join(right, "v").filter(same("u_parts", "v_parts")).select("u", "v")
 
 
 def copy_links(nodes: DataFrame, texts: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """u, v: links that connect all candidates whose sets of shingles are ``similarity`` alike; every link has been compared.
+    """u, v: links that connect all candidates whose sets of shingles are ``similarity`` alike.
 
-    A round leaves out pairs that likely copies connect, and what goes beyond a bound a
-    node.  Where a likely copy was none or pairs were put off, another round takes what
-    still lies in different groups, without the pairs refused before.
+    A sketch decides where its error leaves no doubt, the sets themselves decide the rest.
+    Documents with more doubtful pairs than ``DOUBTFUL`` in a shard meet once more, with
+    finer sketches, without the pairs that are connected by then and without a bound.
     """
-    loose, most = wide_radius(similarity), DOUBTFUL
-    asked = nodes.select("node", "fp", "wide", "bands", F.lit(0).cast("long").alias("member_of"), F.lit(None).cast("array<long>").alias("refused"))
-    links = refused = None
-    while True:
-        pairs = cut(candidates(asked, loose, most))
-        judged = _compared(pairs.filter(F.col("kind") != PUT_OFF), nodes, texts, similarity)
-        put_off = pairs.filter(F.col("kind") == PUT_OFF).select("u", "v")
-        new, against = judged.filter("same").select("u", "v"), judged.filter(~F.col("same"))
-        open_at = cut(put_off.unionByName(against.filter(F.col("kind") == CLOSE).select("u", "v")))
-        links = new if links is None else links.unionByName(new)
-        refused = against.select("u", "v") if refused is None else refused.unionByName(against.select("u", "v"))
-        if not open_at.take(1):
-            return links
-        groups = components(links).select(F.col("u").alias("node"), F.col("v").alias("member_of"))
-        around = components(pairs.select("u", "v").unionByName(links)).select(F.col("u").alias("node"), F.col("v").alias("near"))
-        around = cut(around.join(groups, "node", "left").withColumn("member_of", F.coalesce("member_of", "node")))
-        mixed_up = around.groupBy("near").agg(F.min("member_of").alias("a"), F.max("member_of").alias("b")).filter("a <> b").select("near")
-        again = around.join(open_at.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("near").distinct()
-        again = cut(around.join(again.join(mixed_up, "near"), "near").select("node", "member_of"))
-        if not again.take(1):
-            return links
-        told = refused.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("refused"))
-        asked = cut(nodes.select("node", "fp", "wide", "bands").join(again, "node").join(told, "node", "left").select("node", "fp", "wide", "bands", "member_of", "refused"))
-        most *= MORE
+    pairs = cut(candidates(nodes.withColumn("member_of", F.col("node")), similarity, DOUBTFUL))
+    links = cut(pairs.filter(F.col("kind") == SURE).select("u", "v").unionByName(
+        _compared(pairs.filter(F.col("kind") == OPEN).select("u", "v"), nodes, texts, similarity)))
+    again = cut(pairs.filter(F.col("kind") == PUT_OFF).select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    if not again.take(1):
+        return links
+
+    @F.arrow_udf("binary")
+    def fine(parts: pa.Array) -> pa.Array:
+        return pa.array([sketch(np.frombuffer(x.as_py(), np.uint64), MORE_BINS) for x in parts], pa.binary())
+
+    groups = components(links).select(F.col("u").alias("node"), F.col("v").alias("member_of"))
+    sketches = _texts_of(again, nodes, texts).select("node", fine("parts").alias("sketch"))
+    asked = nodes.drop("sketch").join(sketches, "node").join(groups, "node", "left")
+    asked = cut(asked.withColumn("member_of", F.coalesce("member_of", "node")))
+    pairs = cut(candidates(asked, similarity, None, MORE_BINS))
+    more = _compared(pairs.filter(F.col("kind") == OPEN).select("u", "v"), nodes, texts, similarity)
+    return links.unionByName(pairs.filter(F.col("kind") == SURE).select("u", "v")).unionByName(more)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = COPY_SIMILARITY) -> DataFrame:
     """One row of each group of near copies, documents linked by a Jaccard similarity of ``similarity`` or more: of the smallest key (null first), its other columns as they are."""
-    @F.arrow_udf("struct<node: bigint, fp: bigint, wide: binary, bands: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, n: bigint, fp: bigint, bands: array<bigint>, sketch: binary>")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([copy_prints(t.as_py()) for t in texts], PRINTS)
 
@@ -421,7 +434,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", s
     prints = docs.select(F.col(key).alias("id"), text_hash.alias("h"), run(F.col(text)).alias("p"))
     prints = cut(prints.select("id", "h", "p.*"))
     nodes = cut(prints.groupBy("node").agg(
-        F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("bands").alias("bands"), F.min(F.struct("id", "h")).alias("first")))
+        F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(F.struct("id", "h")).alias("first")))
     texts = docs.select(F.col(key).alias("id"), text_hash.alias("h"), F.col(text).alias("t"))
     found = components(copy_links(nodes, texts, similarity)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     rooted = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

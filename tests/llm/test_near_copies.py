@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from coursemine.llm import simhash
 
 
@@ -34,6 +36,46 @@ def test_links_follow_the_similarity(spark):
     assert kept == want
 
 
+def edited_group(rng, size, shared):
+    """Copies of one text of which any two have about ``shared`` in common: each has edits of its own."""
+    base = words(rng, 400)
+    edits = round(400 * (1 - (2 * shared / (1 + shared)) ** 0.5) / 5 * 1.09)
+    rows = []
+    for i in range(size):
+        t = list(base)
+        for at in rng.sample(range(400), edits):
+            t[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("shared", [0.55, 0.8, 0.95])
+def test_pairs_of_a_group_stay_in_proportion(spark, shared):
+    """What leaves the shards per document does not grow with the group, and the result is that of all pairs."""
+    per_document = []
+    for size in (150, 600):
+        rng = random.Random(size)
+        rows = edited_group(rng, size, shared)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        made = []
+        judged = simhash.candidates
+        simhash.candidates = lambda *a, **b: made.append(simhash.cut(judged(*a, **b))) or made[-1]
+        try:
+            kept = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
+        finally:
+            simhash.candidates = judged
+        per_document.append(sum(m.count() for m in made) / size)
+        if size == 150:
+            sets = [simhash.shingle_set(t) for _, t in rows]
+            group = list(range(size))
+            for i in range(size):
+                for j in range(i):
+                    if group[i] != group[j] and simhash.jaccard(sets[i], sets[j]) >= 0.8:
+                        group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+            assert kept == set(group)
+    assert per_document[1] < 24 and per_document[1] < 2 * per_document[0] + 1
+
+
 def test_groups_of_many_doubtful_pairs(spark, monkeypatch):
     """Pairs put off and pairs refused leave the result as if all had been compared."""
     monkeypatch.setattr(simhash, "DOUBTFUL", 1)
