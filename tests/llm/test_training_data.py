@@ -126,23 +126,26 @@ def test_language_model_counts_and_normalization(spark, docs):
     assert all(r["score"] < 0 and r["perplexity"] > 1 for r in rows)
 
 
-def test_predictive_probabilities_sum_to_one(spark, docs):
+def test_predictive_probabilities_sum_to_one(spark, docs, monkeypatch):
+    """In every context, over the words it has had, all others and the unknown one; hot words are cut into slices as well."""
+    monkeypatch.setattr(language_model, "SHARD", 600)
     model = language_model.train(docs)
-    g = model.totals
-    seen, parents = collections.Counter(), 0.0
-    by_context = collections.defaultdict(float)
-    words_by_context = collections.defaultdict(list)
+    assert model.totals.hot_counts
+    samples, unpack = model.samples, language_model.unpack
+    of_word, seen, seen_parents = {}, collections.defaultdict(float), collections.defaultdict(float)
     for r in model.shards.collect():
-        parent = 10.0 ** language_model.unpack(r["parents"], "<f4").astype(float)
-        parents += parent.sum()
-        word, k, p = language_model.unpack(r["word"]), language_model.unpack(r["context"]), 10.0 ** language_model.unpack(r["logs"], "<f4").astype(float)
-        for a, b, c in zip(word, k, p):
-            by_context[b] += c
-            words_by_context[b].append(parent[a])
-    assert abs(parents + g.unseen() - 1) < 0.1
-    for k, total in list(by_context.items())[:20]:
-        rest = g.unseen_given(np.array([k]), 1.0)[0] * (parents + g.unseen() - sum(words_by_context[k]))
-        assert abs(total + rest - 1) < 0.15
+        words = unpack(r["words"], "<u8").tolist()
+        parents = unpack(r["parents"], "<f4").astype(float).reshape(len(samples), -1)
+        of_word |= dict(zip(words, parents.T))
+        for a, k, log in zip(unpack(r["word"]), unpack(r["context"]), unpack(r["logs"], "<f4").astype(float)):
+            seen[k] += 10.0 ** log
+            seen_parents[k] = seen_parents[k] + parents[:, a]
+    unseen = np.array([g.unseen() for g in samples])
+    everything = sum(of_word.values()) + unseen
+    assert np.abs(everything - 1).max() < 1e-4
+    for k, total in seen.items():
+        rest = language_model.back_off(samples, np.array([k]), (everything - seen_parents[k])[:, None])[0]
+        assert abs(total + rest - 1) < 1e-3
 
 
 def test_seating_of_small_counts():
