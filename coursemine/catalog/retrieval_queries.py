@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from coursemine.catalog import duck as d
+from coursemine.catalog.source_queries import scratch
 from coursemine.catalog.text_queries import chunks
 from coursemine.fixtures import table, view
 from coursemine.functions import text as tx, tokens as tk
 from coursemine.functions.terms import TERM_TYPE
-from coursemine.operators import chunking, conversations as cv, enrichment as en, retrieval as rt, vectors as vx
+from coursemine.operators import chunking, conversations as cv, enrichment as en, postings as ps, retrieval as rt, vectors as vx
 
 
 def searchable(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,6 +179,34 @@ def q_lexical_topk_salted(spark, sf):
     )
 
 
+def stored_index(spark: SparkSession, sf: str) -> str:
+    """Folder of stored postings: all materials, and those of several chunks once more, as if they had been edited."""
+    path, t = scratch(spark, "postings"), tokens(spark, sf)
+    materials = view(spark, sf, "material").select("goal_id", "material_id")
+    ps.write_postings(t, materials, path, 0)
+    edited = materials.join(t.filter("chunk_index = 1").select("material_id"), "material_id", "left_semi")
+    ps.write_postings(t.join(edited.select("material_id"), "material_id", "left_semi"), edited, path, 1)
+    return path
+
+
+def narrow_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests, each for the first material of its goal that has a chunk."""
+    first = chunks(spark, sf).groupBy("goal_id").agg(F.min("material_id").alias("material_id"))
+    return requests(spark, sf).join(first, "goal_id")
+
+
+def q_lexical_topk_stored(spark, sf):
+    return ps.stored_topk(requests(spark, sf), stored_index(spark, sf))
+
+
+def q_lexical_topk_narrow(spark, sf):
+    return rt.lexical_topk(narrow_requests(spark, sf), tokens(spark, sf))
+
+
+def q_lexical_topk_stored_narrow(spark, sf):
+    return ps.stored_topk(narrow_requests(spark, sf), stored_index(spark, sf))
+
+
 def q_merge_hits(spark, sf):
     return merged_hits(spark, sf)
 
@@ -240,6 +269,9 @@ QUERIES = {
     "formula_bonus": q_formula_bonus,
     "lexical_topk": q_lexical_topk,
     "lexical_topk_salted": q_lexical_topk_salted,
+    "lexical_topk_stored": q_lexical_topk_stored,
+    "lexical_topk_narrow": q_lexical_topk_narrow,
+    "lexical_topk_stored_narrow": q_lexical_topk_stored_narrow,
     "merge_hits": q_merge_hits,
     "hybrid_search": q_hybrid_search,
     "rerank_topk": q_rerank_topk,
@@ -304,6 +336,10 @@ lex AS (SELECT query_id, material_id, chunk_index, round(coalesce(bm25, 0) + coa
 lexk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, material_id, chunk_index) AS INT) AS rank FROM lex WHERE lexical_score > 0 QUALIFY rank <= 30)"""
 _CH = d.chunks_cte()
 _BASE = f"{_CH}, {_tokens('chunks', 'content')}, {_requests(d.view('query'))}, {_BM25}"
+# As _BASE, with a material in the place of the goal.
+_NARROW = f"""{_CH}, {_tokens('chunks', 'content')}, {_requests(d.view('query'))},
+reqn AS (SELECT query_id, m AS goal_id, lt, ft FROM req JOIN (SELECT goal_id, min(material_id) AS m FROM chunks GROUP BY goal_id) USING (goal_id)),
+toksn AS (SELECT material_id AS goal_id, material_id, chunk_index, ts, ft FROM toks), {_BM25.replace('FROM toks', 'FROM toksn').replace('FROM req', 'FROM reqn')}"""
 _HYBRID = f"""{_BASE},
 {d.hash_cte('chunks', 'goal_id, material_id, chunk_index', 'content', 'cv')},
 {d.hash_cte('req', 'query_id, goal_id', 'semantic_query', 'qv')},
@@ -349,6 +385,9 @@ SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_
     "formula_bonus": f"WITH mc AS {_MATH}, {_tokens('mc', 'text')}, {_requests(_MREQ)}, {_BM25} SELECT query_id, material_id, chunk_index, round(bonus, 6) AS bonus FROM fb",
     "lexical_topk": f"WITH {_BASE} SELECT query_id, material_id, chunk_index, lexical_score, rank FROM lexk",
     "lexical_topk_salted": f"WITH {_BASE} SELECT query_id, material_id, chunk_index, lexical_score, rank FROM lexk",
+    "lexical_topk_stored": f"WITH {_BASE} SELECT query_id, material_id, chunk_index, lexical_score, rank FROM lexk",
+    "lexical_topk_narrow": f"WITH {_NARROW} SELECT query_id, material_id, chunk_index, lexical_score, rank FROM lexk",
+    "lexical_topk_stored_narrow": f"WITH {_NARROW} SELECT query_id, material_id, chunk_index, lexical_score, rank FROM lexk",
     "merge_hits": f"WITH {_HYBRID} SELECT query_id, material_id, chunk_index, distance, lexical_score, retrieval_source FROM merged",
     "hybrid_search": f"WITH {_HYBRID} SELECT query_id, material_id, chunk_index, distance, lexical_score, retrieval_source, score, rank FROM ranked WHERE rank <= 10",
     "rerank_topk": f"""WITH {_HYBRID}, s AS (SELECT query_id, material_id, chunk_index, CASE WHEN chunk_index % 3 <> 2 THEN round((material_id * 7 + chunk_index * 13) % 101 / 101.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS rerank_score FROM ranked WHERE rank <= 30)

@@ -19,6 +19,8 @@ MAX_OUTLINE_ITEMS = 80
 EMBED_DIMS = 384
 BM25_K1 = 1.4
 BM25_B = 0.75
+# What a formula term of the request adds to a chunk that has it, and at most.
+FORMULA_HIT, FORMULA_MOST = 1.2, 4.8
 SUPPORTED_EXTENSIONS = ["pdf", "docx", "pptx", "txt", "md"]
 
 # --- query tokens -------------------------------------------------------------

@@ -120,7 +120,7 @@ def token_table(chunks: DataFrame, scope: str = "goal_id") -> DataFrame:
     return table.repartition(*CHUNK_KEY)
 
 
-def _postings(tokens: DataFrame, scope: str) -> DataFrame:
+def posting_rows(tokens: DataFrame, scope: str) -> DataFrame:
     """One row per chunk and token: kind w for words, f for formula tokens."""
     tagged = F.concat(
         F.transform("tokens", lambda t: F.struct(F.lit("w").alias("kind"), t.alias("term"))),
@@ -131,6 +131,26 @@ def _postings(tokens: DataFrame, scope: str) -> DataFrame:
     )
 
 
+def wanted_terms(queries: DataFrame, scope: str, *more: str) -> DataFrame:
+    """One row per request and term, of kind w or f."""
+    tagged = F.concat(
+        F.transform("lexical_terms", lambda t: F.struct(F.lit("w").alias("kind"), t.alias("term"))),
+        F.transform("formula_terms", lambda t: F.struct(F.lit("f").alias("kind"), t.alias("term"))),
+    )
+    rows = queries.select("query_id", scope, *more, F.explode(tagged).alias("p"))
+    return rows.select("query_id", scope, *more, F.col("p.kind").alias("kind"), F.col("p.term").alias("term"))
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def bm25_part(weight: Column, length: Column, mean: Column) -> Column:
+    """What a matching term adds to a chunk of the length; it falls as chunks get longer."""
+    k1, b = fv.BM25_K1, fv.BM25_B
+    return weight * (k1 + 1) / (1 + k1 * (1 - b + b * length / F.greatest(mean, F.lit(1.0))))
+
+
 def lexical_scores(
     queries: DataFrame, tokens: DataFrame, scope: str = "goal_id", max_query_rows: int = 500_000
 ) -> DataFrame:
@@ -140,16 +160,7 @@ def lexical_scores(
     those of the scope.  The query side is broadcast only after its size has been
     checked; beyond the bound, postings are salted so a frequent term is spread.
     """
-    wanted = queries.select(
-        "query_id",
-        scope,
-        F.explode(
-            F.concat(
-                F.transform("lexical_terms", lambda t: F.struct(F.lit("w").alias("kind"), t.alias("term"))),
-                F.transform("formula_terms", lambda t: F.struct(F.lit("f").alias("kind"), t.alias("term"))),
-            )
-        ).alias("p"),
-    ).select("query_id", scope, F.col("p.kind").alias("kind"), F.col("p.term").alias("term"))
+    wanted = wanted_terms(queries, scope)
     small = is_small(wanted, max_query_rows)
 
     # Counts are combined in their task before any shuffle or join, so no task meets a whole
@@ -157,7 +168,7 @@ def lexical_scores(
     # same shuffled token table as the scoring below.
     chunk_count = F.greatest(F.count("material_id"), F.count("chunk_index"))
     stats = tokens.groupBy(scope).agg(chunk_count.alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    postings = _postings(tokens, scope)
+    postings = posting_rows(tokens, scope)
     terms = wanted.filter("kind = 'w'").select(scope, "kind", "term").distinct()
     words = postings.join(F.broadcast(terms), [scope, "kind", "term"], "left_semi") if small else postings.filter("kind = 'w'")
     df = words.groupBy(scope, "kind", "term").agg(chunk_count.alias("df"))
@@ -166,18 +177,17 @@ def lexical_scores(
         .join(df, [scope, "kind", "term"], "left")
         .select(
             "query_id", scope, "kind", "term", "avg_len",
-            F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+            idf(F.col("n"), F.col("df")).alias("idf"),
         )
     )
     if small:
         matched = postings.join(F.broadcast(weighted), [scope, "kind", "term"])
     else:
         matched = spread_join(postings, weighted, [scope, "kind", "term"], F.struct(*CHUNK_KEY))
-    k1, b = fv.BM25_K1, fv.BM25_B
-    part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0))))
+    part = bm25_part(F.col("idf"), F.col("len"), F.col("avg_len"))
     scored = matched.groupBy("query_id", *CHUNK_KEY).agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "w", part)), F.lit(0.0)).alias("bm25"),
-        F.least(F.count_if(F.col("kind") == "f") * F.lit(1.2), F.lit(4.8)).alias("bonus"),
+        F.least(F.count_if(F.col("kind") == "f") * F.lit(fv.FORMULA_HIT), F.lit(fv.FORMULA_MOST)).alias("bonus"),
     )
     return scored.withColumn("lexical_score", F.round(F.col("bm25") + F.col("bonus"), 6)).filter("lexical_score > 0")
 
@@ -197,12 +207,27 @@ def formula_bonus(queries: DataFrame, tokens: DataFrame, scope: str = "goal_id")
 def lexical_topk(
     queries: DataFrame, tokens: DataFrame, limit: int = fv.LEXICAL_CANDIDATES, scope: str = "goal_id"
 ) -> DataFrame:
-    """Best chunks per query; requests with a plan, day or source-type filter get none."""
+    """Best chunks per query; requests with a plan, day or source-type filter get none.
+
+    A request with a material sees its chunks alone: candidates and statistics are the material's.
+    """
+    wide, narrow = one_scope(queries)
+    hits = lexical_scores(wide, tokens, scope)
+    if narrow is not None:
+        own = lambda df: df.withColumn("_own", F.struct(scope, "material_id"))
+        hits = hits.unionByName(lexical_scores(own(narrow), own(tokens), "_own"))
+    hits = hits.select("query_id", *CHUNK_KEY, "lexical_score")
+    return top_per_key(hits, ["query_id"], [F.col("lexical_score").desc(), *[F.col(c) for c in CHUNK_KEY]], limit)
+
+
+def one_scope(queries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Requests that search their whole scope, and those that search one material, None where no request can have one."""
     for name in ("plan_id", "day_index", "source_type"):
         if name in queries.columns:
             queries = queries.filter(F.col(name).isNull())
-    hits = lexical_scores(queries, tokens, scope).select("query_id", *CHUNK_KEY, "lexical_score")
-    return top_per_key(hits, ["query_id"], [F.col("lexical_score").desc(), *[F.col(c) for c in CHUNK_KEY]], limit)
+    if "material_id" not in queries.columns:
+        return queries, None
+    return queries.filter(F.col("material_id").isNull()), queries.filter(F.col("material_id").isNotNull())
 
 
 # --- fusion -------------------------------------------------------------------
