@@ -80,8 +80,8 @@ def _page_hashes(spark, sf):
 
 
 def _translations(spark, sf):
-    """Cached translations: none for every third page, outdated ones for every fourth."""
-    p = _page_hashes(spark, sf).filter("page_index % 3 <> 0")
+    """Cached translations, outdated ones for every fourth page."""
+    p = _page_hashes(spark, sf)
     return p.withColumn("text_hash", F.when(F.col("page_index") % 4 == 0, F.sha2("text_hash", 256)).otherwise(F.col("text_hash"))).select(
         *ic.CACHE_KEY, F.lit("fr").alias("source_lang"), F.concat(F.lit("old "), F.col("page_index").cast("string")).alias("translated_text")
     )
@@ -93,12 +93,26 @@ def q_translation_lookup(spark, sf):
     return a.unionByName(misses.select("material_id", "page_index", F.lit("miss").alias("outcome"), F.lit(None).cast("string").alias("translated_text")))
 
 
-def q_upsert_cache(spark, sf):
-    rows = _page_hashes(spark, sf).filter("page_index % 2 = 1").withColumn("source_lang", F.lit("en"))
-    two = rows.withColumn("seq", F.lit(1)).withColumn("translated_text", F.lit("first")).unionByName(
-        rows.filter("page_index % 5 = 1").withColumn("seq", F.lit(2)).withColumn("translated_text", F.lit("second"))
+def _written(spark, sf):
+    """Translations as they are written: two for every page, the second one later on some and earlier on the others."""
+    rows = _page_hashes(spark, sf).withColumn("source_lang", F.lit("en"))
+    late = F.when(F.col("page_index") % 5 == 1, 2).otherwise(0)
+    return rows.withColumn("seq", F.lit(1)).withColumn("translated_text", F.lit("first")).unionByName(
+        rows.withColumn("seq", late).withColumn("translated_text", F.lit("second"))
     )
-    return ic.upsert_cache(_translations(spark, sf), two)
+
+
+def q_upsert_cache(spark, sf):
+    return ic.upsert_cache(_translations(spark, sf), _written(spark, sf))
+
+
+def q_upsert_cache_stream(spark, sf):
+    """The rows arrive in slices that mix first and second translations; the older cache is the first version."""
+    out, check = scratch(spark, "cache"), scratch(spark, "check")
+    rows = _written(spark, sf).select(*ic.CACHE_KEY, "source_lang", "translated_text", "seq")
+    tb.write_version(_translations(spark, sf).withColumn("seq", F.lit(None).cast("int")).select(*rows.columns), out, 0)
+    _replay(spark, rows, F.pmod(F.xxhash64(*ic.CACHE_KEY, "seq"), F.lit(1000)), lambda stream: ic.upsert_cache_stream(stream, out, check))
+    return ic.cached(spark, out)
 
 
 def _replay(spark: SparkSession, df: DataFrame, order: F.Column, start, steps: int = 3) -> None:
@@ -199,7 +213,7 @@ fd AS (SELECT *, coalesce(max(CASE WHEN from_end > 4 THEN chars END) OVER (PARTI
 ft AS (SELECT *, CASE WHEN from_end > 4 AND folded THEN 'compress' WHEN chars > 1000 THEN 'clamp' ELSE 'keep' END AS action FROM fd)"""
 _PG = f"""pg0 AS (SELECT material_id, page_index, coalesce(nullif({d.strip('ocr_text')}, ''), nullif({d.strip('built_in_text')}, ''), '') AS t FROM {d.view('pages')}),
 pg AS (SELECT material_id, page_index, 'zh' AS target_lang, sha256(t) AS text_hash FROM pg0 WHERE t <> ''),
-tc AS (SELECT material_id, page_index, target_lang, CASE WHEN page_index % 4 = 0 THEN sha256(text_hash) ELSE text_hash END AS text_hash, 'fr' AS source_lang, concat('old ', page_index) AS translated_text FROM pg WHERE page_index % 3 <> 0)"""
+tc AS (SELECT material_id, page_index, target_lang, CASE WHEN page_index % 4 = 0 THEN sha256(text_hash) ELSE text_hash END AS text_hash, 'fr' AS source_lang, concat('old ', page_index) AS translated_text FROM pg)"""
 _ACC = """CASE WHEN conv_id % 7 = 0 THEN 'chat' WHEN contains(text, 'que') OR contains(text, 'the ') THEN 'insert' WHEN conv_id % 3 <> 0 AND contains(text, 'an') AND (contains(text, 'ou') OR contains(text, 'ing')) THEN 'adjust'
  WHEN conv_id % 2 = 0 AND (contains(text, 'PDF') OR contains(text, 'page')) THEN 'read_page' WHEN conv_id % 3 <> 0 AND contains(text, 'ti') THEN 'review' WHEN contains(text, 'er') OR contains(text, 'le') THEN 'search' ELSE 'chat' END"""
 _AFTER = lambda m: d.strip(f"substr(text, instr(text, {d.q(m)}) + {len(m)})")
@@ -226,7 +240,9 @@ ORACLE = {
   FROM events WHERE event_id % 17 <> 0 AND event_id % 13 <> 0)
 SELECT id, write_no, CASE WHEN length(t) > 20 THEN concat(substr(t, 1, 20), '...') ELSE t END AS title, context_type, '2024' AS created_at, updated_at FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY write_no DESC) = 1""",
     "translation_lookup": f"WITH {_PG} SELECT pg.material_id, pg.page_index, CASE WHEN tc.text_hash IS NULL THEN 'miss' ELSE 'hit' END AS outcome, translated_text FROM pg LEFT JOIN tc USING (material_id, page_index, target_lang, text_hash)",
-    "upsert_cache": f"""WITH {_PG}, nw AS (SELECT material_id, page_index, target_lang, text_hash, 'en' AS source_lang, CASE WHEN page_index % 5 = 1 THEN 'second' ELSE 'first' END AS translated_text FROM pg WHERE page_index % 2 = 1)
+    "upsert_cache": f"""WITH {_PG}, nw AS (SELECT material_id, page_index, target_lang, text_hash, 'en' AS source_lang, CASE WHEN page_index % 5 = 1 THEN 'second' ELSE 'first' END AS translated_text FROM pg)
+SELECT * FROM nw UNION ALL SELECT * FROM tc WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.material_id = tc.material_id AND nw.page_index = tc.page_index AND nw.text_hash = tc.text_hash)""",
+    "upsert_cache_stream": f"""WITH {_PG}, nw AS (SELECT material_id, page_index, target_lang, text_hash, 'en' AS source_lang, CASE WHEN page_index % 5 = 1 THEN 'second' ELSE 'first' END AS translated_text FROM pg)
 SELECT * FROM nw UNION ALL SELECT * FROM tc WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.material_id = tc.material_id AND nw.page_index = tc.page_index AND nw.text_hash = tc.text_hash)""",
     "job_state": f"WITH {_STATE}",
     "job_state_stream": f"WITH {_STATE}",

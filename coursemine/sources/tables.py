@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coursemine.functions import fixed_values as fv
@@ -75,6 +76,34 @@ def versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn(VERSION, F.col(VERSION).cast("long"))
 
 
+CLAIM = "stream string, batch long, version long"
+
+
+def claim_version(batch: DataFrame, path: str, number: int) -> int:
+    """The version that micro-batch ``number`` of the running stream writes to the table.
+
+    It is the one the same batch had when it ran before, else the next after all of the
+    table, so that a stream that begins again with a new checkpoint neither overwrites
+    nor loses to older versions.  A table has one writer at a time.
+    """
+    spark, claims = batch.sparkSession, f"{path}/_claims"
+    stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+    last = -1
+    try:
+        held = spark.read.schema(CLAIM).parquet(claims)
+        own, last = held.agg(F.max(F.when((F.col("stream") == stream) & (F.col("batch") == number), F.col("version"))), F.max("version")).first()
+        if own is not None:
+            return own
+    except AnalysisException:  # no claim yet
+        pass
+    try:
+        last = max(last, versions(spark, path).agg(F.max(VERSION)).first()[0] or 0)
+    except AnalysisException:  # no version yet
+        pass
+    spark.createDataFrame([(stream, number, last + 1)], CLAIM).coalesce(1).write.mode("append").parquet(claims)
+    return last + 1
+
+
 def newest(spark: SparkSession, path: str, keys: list[str], keep_version: bool = False) -> DataFrame:
     """The row of the last version per key: one aggregate, combined before the shuffle."""
     rows = latest_per_key(versions(spark, path), keys, [VERSION])
@@ -82,7 +111,11 @@ def newest(spark: SparkSession, path: str, keys: list[str], keep_version: bool =
 
 
 def compact(spark: SparkSession, path: str, to: str, keys: list[str]) -> None:
-    """Write the newest rows as the first version of another table; readers then switch to it."""
+    """Write the newest rows as the first version of another table; readers then switch to it.
+
+    For tables whose rows are replaced key by key.  A material's chunks are replaced
+    together and may become fewer: those are compacted by ``compact_ingested``.
+    """
     number = versions(spark, path).agg(F.max(VERSION)).first()[0] or 0
     write_version(newest(spark, path, keys), to, number)
 

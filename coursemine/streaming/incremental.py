@@ -10,8 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from coursemine.functions import fixed_values as fv
 from coursemine.operators.chunking import chunk_documents, chunk_text
 from coursemine.operators.enrichment import enrich_chunks
+from coursemine.operators.ranking import latest_per_key
 from coursemine.operators.vectors import hash_embed
-from coursemine.sources.tables import VERSION, document_id, newest, read_version, versions, write_version
+from coursemine.sources.tables import VERSION, claim_version, document_id, newest, read_version, versions, write_version
 
 CACHE_KEY = ["material_id", "page_index", "target_lang", "text_hash"]
 
@@ -34,6 +35,22 @@ def upsert_cache(cache: DataFrame, rows: DataFrame, order: str = "seq") -> DataF
     return both.select(*CACHE_KEY, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def upsert_cache_stream(rows: DataFrame, cache_path: str, checkpoint: str, order: str = "seq") -> StreamingQuery:
+    """Arriving translations are appended, the newest row per key of each micro-batch; ``cached`` reads the cache.
+
+    The order of writing, not that of arrival, decides, so late and repeated rows do no harm.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        write_version(latest_per_key(batch, CACHE_KEY, [order]), cache_path, claim_version(batch, cache_path, number))
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cached(spark: SparkSession, cache_path: str, order: str = "seq") -> DataFrame:
+    """The cache as last written; rows without a number, as of a cache that was there before, are the oldest."""
+    return latest_per_key(versions(spark, cache_path), CACHE_KEY, [order, VERSION]).drop(order, VERSION)
+
+
 # --- jobs ---------------------------------------------------------------------
 
 
@@ -67,7 +84,7 @@ def job_state(events: DataFrame) -> DataFrame:
 def job_state_stream(events: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
     """Changed job states of each micro-batch are appended; ``newest`` reads the last state per job."""
     def run(batch: DataFrame, number: int) -> None:
-        write_version(batch, table_path, number)
+        write_version(batch, table_path, claim_version(batch, table_path, number))
 
     return (
         job_state(events).writeStream.outputMode("update").foreachBatch(run)
@@ -126,6 +143,7 @@ def stream_ingest(
     is not seen, and its repetition overwrites both versions.
     """
     def run(batch: DataFrame, number: int) -> None:
+        number = claim_version(batch, status_path, number)
         write_version(process(batch), chunk_path, number)
         written = read_version(batch.sparkSession, chunk_path, number)
         counts = written.groupBy("material_id").agg(F.count(F.lit(1)).alias("chunks"))
@@ -142,6 +160,16 @@ def stored_chunks(spark: SparkSession, chunk_path: str, status_path: str) -> Dat
     return versions(spark, chunk_path).join(status, ["material_id", VERSION], "left_semi").drop(VERSION)
 
 
+def compact_ingested(spark: SparkSession, chunk_path: str, status_path: str, to_chunks: str, to_status: str) -> None:
+    """Live chunks and newest statuses as the first version of two other tables, to which readers and the stream then switch.
+
+    Chunks that a material no longer has stay out; the statuses, which make chunks visible, are written last.
+    """
+    number = versions(spark, status_path).agg(F.max(VERSION)).first()[0] or 0
+    write_version(stored_chunks(spark, chunk_path, status_path), to_chunks, number)
+    write_version(newest(spark, status_path, ["material_id"]), to_status, number)
+
+
 def ingest_failures(spark: SparkSession, status_path: str) -> DataFrame:
     """Materials whose newest status is a failure."""
     return newest(spark, status_path, ["material_id"]).filter(F.col("error_message").isNotNull()).select("material_id", "error_message")

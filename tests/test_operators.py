@@ -204,6 +204,38 @@ def test_a_batch_that_dies_half_way_is_repeated(spark, tmp_path):
     assert seen() == ([(2, long.strip()), (3, long.strip())], [(1,)])
 
 
+def test_compaction_keeps_replaced_chunks_out(spark, tmp_path):
+    a, b, c, d = (str(tmp_path / n) for n in ("chunks", "status", "chunks2", "status2"))
+    long = "A sentence that is long enough. "
+    plain = lambda m: tb.chunk_rows(ic.chunk_documents(m.select("material_id", "text")))
+    for number, text in enumerate((long * 100, long * 30)):
+        arrivals = str(tmp_path / f"in{number}")
+        _materials(spark, [(1, text), (2, long if number == 0 else "short")]).write.parquet(arrivals)
+        # each with a checkpoint of its own, as after a lost one: versions go on
+        stream = spark.readStream.schema("material_id bigint, text string").parquet(arrivals)
+        ic.stream_ingest(stream, a, b, str(tmp_path / f"check{number}"), plain).awaitTermination()
+    want = rows(ic.stored_chunks(spark, a, b), "material_id", "chunk_index")
+    assert want == rows(ic.chunk_documents(_materials(spark, [(1, long * 30)])), "material_id", "chunk_index")
+    assert len(want) < tb.versions(spark, a).filter("version = 0 and material_id = 1").count()
+    ic.compact_ingested(spark, a, b, c, d)
+    assert rows(ic.stored_chunks(spark, c, d), "material_id", "chunk_index") == want
+    assert rows(ic.ingest_failures(spark, d), "material_id") == rows(ic.ingest_failures(spark, b), "material_id") == [(2,)]
+    assert tb.versions(spark, c).count() == len(want)
+
+
+def test_versions_go_on_with_a_new_checkpoint(spark, tmp_path):
+    """Late and repeated translations, and a second stream with a checkpoint of its own."""
+    cache = str(tmp_path / "cache")
+    schema = "material_id int, page_index int, target_lang string, text_hash string, translated_text string, seq int"
+    for number, pairs in enumerate(([("a", 1), ("a", 3), ("b", 1)], [("a", 2), ("b", 2), ("b", 2), ("c", 1)])):
+        arrivals = str(tmp_path / f"in{number}")
+        spark.createDataFrame([(1, 1, "zh", k, f"{k}{s}", s) for k, s in pairs], schema).write.parquet(arrivals)
+        ic.upsert_cache_stream(spark.readStream.schema(schema).parquet(arrivals), cache, str(tmp_path / f"check{number}")).awaitTermination()
+    assert rows(ic.cached(spark, cache), "text_hash", "translated_text") == [("a", "a3"), ("b", "b2"), ("c", "c1")]
+    numbers = [r["version"] for r in tb.versions(spark, cache).select("version").distinct().orderBy("version").collect()]
+    assert len(numbers) == 2 and numbers[1] == numbers[0] + 1
+
+
 def test_tasks_stay_within_the_day(spark):
     plans = spark.createDataFrame([(1, 1, "t"), (2, 1, "t")], "plan_id int, goal_id int, topic string")
     goals = spark.createDataFrame([(1, 60)], "goal_id int, daily_minutes int")
