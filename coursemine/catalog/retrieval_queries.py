@@ -225,12 +225,26 @@ def q_rerank_topk(spark, sf):
     return out.select("query_id", *rt.CHUNK_KEY, F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
+def shared_words(pairs: list[tuple[str, str]]) -> list[float]:
+    """Share of a request's words that a text has: a scorer in plain Python."""
+    words = [(set(q.split(" ")), set(t.split(" "))) for q, t in pairs]
+    return [len(q & t) / len(q) for q, t in words]
+
+
+def q_rerank_scored(spark, sf):
+    """Candidates scored pair by pair and ordered anew."""
+    hits = ranked_hits(spark, sf, 30).join(chunks(spark, sf).select(*rt.CHUNK_KEY, "content"), rt.CHUNK_KEY)
+    hits = hits.join(view(spark, sf, "query").select("query_id", "query"), "query_id")
+    out = rt.rerank_topk(hits, rt.score_pairs(hits, shared_words), 5)
+    return out.select("query_id", *rt.CHUNK_KEY, F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 def q_scoped_else_global(spark, sf):
     v = view(spark, sf, "vec").select("goal_id", F.col("material_id").alias("day_index"), "chunk_id", "embedding")
     q = vx.mean_pool(v, ["goal_id"]).select(F.col("goal_id").alias("query_id"), "goal_id", (F.col("goal_id") % 12).alias("day_index"), "vector")
     in_day = lambda df: df.withColumn("day_scope", F.concat_ws(":", "goal_id", "day_index"))
     scoped = vx.dense_topk(in_day(q), in_day(v), ["chunk_id"], 3, scope="day_scope")
-    return rt.scoped_else_global(q, scoped, vx.dense_topk(q, v, ["chunk_id"], 3))
+    return rt.scoped_else_global(q, scoped, lambda rest: vx.dense_topk(rest, v, ["chunk_id"], 3))
 
 
 def q_useful_hits(spark, sf):
@@ -275,6 +289,7 @@ QUERIES = {
     "merge_hits": q_merge_hits,
     "hybrid_search": q_hybrid_search,
     "rerank_topk": q_rerank_topk,
+    "rerank_scored": q_rerank_scored,
     "scoped_else_global": q_scoped_else_global,
     "useful_hits": q_useful_hits,
     "first_snippet": q_first_snippet,
@@ -392,6 +407,10 @@ SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_
     "hybrid_search": f"WITH {_HYBRID} SELECT query_id, material_id, chunk_index, distance, lexical_score, retrieval_source, score, rank FROM ranked WHERE rank <= 10",
     "rerank_topk": f"""WITH {_HYBRID}, s AS (SELECT query_id, material_id, chunk_index, CASE WHEN chunk_index % 3 <> 2 THEN round((material_id * 7 + chunk_index * 13) % 101 / 101.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS rerank_score FROM ranked WHERE rank <= 30)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, material_id, chunk_index) AS INT) AS rank FROM s QUALIFY rank <= 5""",
+    "rerank_scored": f"""WITH {_HYBRID}, w AS (SELECT r.query_id, r.material_id, r.chunk_index, list_distinct(string_split(q.query, ' ')) AS qw, list_distinct(string_split(c.content, ' ')) AS cw
+  FROM ranked r JOIN chunks c USING (material_id, chunk_index) JOIN {d.view('query')} q ON q.query_id = r.query_id WHERE rank <= 30),
+s AS (SELECT query_id, material_id, chunk_index, len(list_intersect(qw, cw))::DOUBLE / len(qw) AS score FROM w)
+SELECT query_id, material_id, chunk_index, round(score, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, material_id, chunk_index) AS INT) AS rank FROM s QUALIFY rank <= 5""",
     "scoped_else_global": f"""WITH el AS (SELECT goal_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM {_V}),
 mp AS (SELECT goal_id, pos, avg(x::DOUBLE) AS m FROM el GROUP BY ALL),
 cent AS (SELECT goal_id AS query_id, goal_id, goal_id % 12 AS day_index, list(m ORDER BY pos) AS qv FROM mp GROUP BY ALL),

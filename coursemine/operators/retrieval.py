@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from coursemine.functions import fixed_values as fv
 from coursemine.functions.terms import usable_terms
 from coursemine.functions.text import strip, unnest
 from coursemine.functions.tokens import formula_tokens, query_signals, tokenize_lexical
 from coursemine.operators.ranking import is_small, spread_join, top_per_key
+from coursemine.operators.vectors import retried
 
 CHUNK_KEY = ["material_id", "chunk_index"]
 
@@ -254,17 +258,41 @@ def hybrid_rank(hits: DataFrame, k: int) -> DataFrame:
 
 
 def rerank_topk(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """Order by supplied pair scores (query_id, chunk, rerank_score); a missing score counts 0."""
+    """Order by pair scores (query_id, chunk, rerank_score), of a table or of ``score_pairs``; a missing score counts 0."""
     joined = hits.drop("rank").join(scores, ["query_id", *CHUNK_KEY], "left").withColumn(
         "rerank_score", F.coalesce("rerank_score", F.lit(0.0))
     )
     return top_per_key(joined, ["query_id"], [F.col("rerank_score").desc(), *[F.col(c) for c in CHUNK_KEY]], k)
 
 
-def scoped_else_global(queries: DataFrame, scoped: DataFrame, everywhere: DataFrame) -> DataFrame:
-    """Hits of the narrow search; queries without any take those of the wide one."""
-    empty = queries.select("query_id").join(scoped.select("query_id").distinct(), "query_id", "left_anti")
-    wide = everywhere.join(empty, "query_id", "left_semi").withColumn("scope_used", F.lit("global"))
+def score_pairs(
+    hits: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]], query: str = "query", text: str = "content",
+    batch: int = 8, tries: int = 3,
+) -> DataFrame:
+    """(query_id, chunk, rerank_score) from a pluggable scorer: lists of (request, text) in, lists of scores out, null as "".
+
+    Pairs are dealt out by request, so that a request's texts come one after the other, in
+    batches of at most ``batch`` pairs; a request has no more pairs than candidates.  A
+    failing call is retried; after the last try the task fails, and Spark reruns it elsewhere.
+    """
+    rows = hits.select("query_id", *CHUNK_KEY, F.coalesce(query, F.lit("")).alias("_q"), F.coalesce(text, F.lit("")).alias("_t"))
+    rows = rows.repartition("query_id").sortWithinPartitions("query_id", *CHUNK_KEY)
+    schema = T.StructType([*rows.drop("_q", "_t").schema.fields, T.StructField("rerank_score", T.DoubleType())])
+    call = retried(scorer, tries)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pairs = list(zip(frame["_q"], frame["_t"]))
+            scores = [float(s) for i in range(0, len(pairs), batch) for s in call(pairs[i : i + batch])]
+            yield frame.drop(columns=["_q", "_t"]).assign(rerank_score=scores)
+
+    return rows.mapInPandas(run, schema)
+
+
+def scoped_else_global(queries: DataFrame, scoped: DataFrame, everywhere: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Hits of the narrow search; queries without any, and only these, are searched ``everywhere``."""
+    empty = queries.join(scoped.select("query_id").distinct(), "query_id", "left_anti")
+    wide = everywhere(empty).withColumn("scope_used", F.lit("global"))
     return scoped.withColumn("scope_used", F.lit("day")).unionByName(wide)
 
 

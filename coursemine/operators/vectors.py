@@ -109,6 +109,20 @@ def mean_pool(df: DataFrame, group: list[str], vector: str = "embedding") -> Dat
     )
 
 
+def retried(call: Callable[[list], list], tries: int) -> Callable[[list], list]:
+    """The same call, repeated after a failure; after the last try the failure goes on."""
+    def run(items: list) -> list:
+        for attempt in range(tries):
+            try:
+                return call(items)
+            except Exception:
+                if attempt == tries - 1:
+                    raise
+        return []
+
+    return run
+
+
 def embed_with(
     df: DataFrame,
     encode: Callable[[list[str]], list[list[float]]],
@@ -124,15 +138,7 @@ def embed_with(
     after the last try the task fails, and Spark reruns it elsewhere.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(number))])
-
-    def call(texts: list[str]) -> list[list[float]]:
-        for attempt in range(tries):
-            try:
-                return encode(texts)
-            except Exception:
-                if attempt == tries - 1:
-                    raise
-        return []
+    call = retried(encode, tries)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -277,3 +277,32 @@ def test_goal_rules(spark):
 def test_short_answers(spark):
     df = spark.createDataFrame([("", "矩阵 范数", ""), ("矩阵", "矩阵 说明", ""), ("矩阵的最大列和就是它的一范数", "矩阵", ""), ("x" * 28, "矩阵", ""), ("abc", "核心", "abc 定义")], "answer string, reference_answer string, question string")
     assert [r["score"] for r in qz.score_short_answers(df).collect()] == [0, 65, 80, 60, 65]
+
+
+def test_pair_scores_are_retried_and_equal_brute_force(spark, tmp_path):
+    hits = spark.createDataFrame([(q, m, 0, f"a b w{q}" if q else None, f"b w{m} c" if m else None) for q in range(5) for m in range(30)], "query_id int, material_id bigint, chunk_index int, query string, content string")
+    marks = str(tmp_path)
+
+    def shaky(pairs):
+        import os
+        import uuid
+
+        assert len(pairs) <= 7
+        first = f"{marks}/{hash(tuple(pairs))}"
+        if not os.path.exists(first):
+            open(first, "w").close()
+            raise RuntimeError(str(uuid.uuid4()))
+        return [len(set(q.split()) & set(t.split())) for q, t in pairs]
+
+    got = rt.score_pairs(hits, shaky, batch=7)
+    want = [(r["query_id"], r["material_id"], 0, float(len(set((r["query"] or "").split()) & set((r["content"] or "").split())))) for r in hits.collect()]
+    assert rows(got, "query_id", "material_id", "chunk_index", "rerank_score") == sorted(want)
+
+
+def test_only_requests_without_hits_search_everywhere(spark):
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    scoped = spark.createDataFrame([(2, 7)], "query_id int, chunk_id int")
+    seen = []
+    got = rt.scoped_else_global(asked, scoped, lambda rest: seen.extend(r[0] for r in rest.collect()) or rest.withColumn("chunk_id", F.lit(9)))
+    assert sorted(seen) == [1, 3]
+    assert rows(got, "query_id", "chunk_id", "scope_used") == [(1, 9, "global"), (2, 7, "day"), (3, 9, "global")]
