@@ -10,6 +10,8 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from coursemine.operators.ranking import top_per_key
+
 # White space of the word rule, for SQL trims and for Java patterns.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -45,6 +47,35 @@ def remainder(n: int, doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n).cast("int")
 
 
+def _sample_order(key: str) -> Column:
+    return F.xxhash64(F.lit("fit"), F.col(key))
+
+
+def group_sizes(df: DataFrame, group: str, key: str) -> dict:
+    """Rows and least hash of a key of each non-null group, for ``hash_sample``; the groups must be few."""
+    place = F.shiftrightunsigned(_sample_order(key), 11)
+    found = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"))
+    return {r[0]: (r["n"], r["least"]) for r in found.collect()}
+
+
+def hash_sample(df: DataFrame, group: str, key: str, sizes: dict, k: int, tie: Column | None = None) -> DataFrame:
+    """At most k rows of each group in the order of a hash of the key; null groups go.
+
+    ``sizes`` are the ``group_sizes``.  Rows whose hash lies above the share that twice k makes of
+    the group go before the shuffle, so the task of a group gets some 2k rows, however large the group
+    and however many the input tasks.  Rows of one key share a hash: a group with much-repeated keys may
+    yield fewer than k, but never none.
+    """
+    wanted = 2 * k + 40
+    limits = [(g, max(int(min(1.0, wanted / n) * 2**53), least)) for g, (n, least) in sizes.items()]
+    limits = df.sparkSession.createDataFrame(limits, f"_group {df.schema[group].dataType.simpleString()}, _limit long")
+    near = df.join(F.broadcast(limits), F.col(group) == F.col("_group")).withColumn("_order", _sample_order(key))
+    place = F.shiftrightunsigned("_order", 11)
+    near = near.filter(place <= F.col("_limit"))
+    by = [place, F.col("_order"), F.col(key), *([] if tie is None else [tie])]
+    return top_per_key(near, [group], by, k, "_rank").select(*df.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: spark.checkpoint.dir; a temporary folder only where it is unset and all runs in one process."""
     sc = spark.sparkContext

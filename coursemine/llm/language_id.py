@@ -1,14 +1,21 @@
 """Language identification by compression.
 
-Per language, a sample of labelled texts forms a raw-content zstandard dictionary.  A
-text is compressed with each of them; the language of the smallest result is the
-prediction, and it is rejected when the next one is hardly larger.  What is compressed
-are the distinct words of the whole text in lower case: repetition within the text, which
-any dictionary would serve equally well, then says nothing, and symbols do not count.
+Per language, the words found in most of a sample of whole labelled texts form a
+raw-content zstandard dictionary.  A text is compressed with each of them; the language of
+the smallest result is the prediction, and it is rejected when the next one is hardly
+larger.  What is compressed are the distinct words of the whole text in lower case:
+repetition within the text, which any dictionary would serve equally well, then says
+nothing, and symbols do not count.
+
+A larger dictionary shortens any text, so languages are compared on dictionaries of equal
+size only.  Every dictionary is cut to a power of two of bytes; the winner among the
+largest is cut to the next smaller size and compared there with the languages that have
+no more, and so on.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go
-to the language with more labelled documents; an empty training table makes everything
-``und``; repeated rows each have their own result.
+to the language with the larger dictionary, then with more labelled documents; a language
+whose sampled texts hold fewer than ``SMALLEST`` bytes of words is not learned; an empty
+training table makes everything ``und``; repeated rows each have their own result.
 """
 
 from __future__ import annotations
@@ -19,12 +26,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from coursemine.llm.common import group_sizes, hash_sample
 from coursemine.operators.ranking import top_per_key
 
-# Bounds of the fit: documents per language, bytes per dictionary, most frequent languages.
+# Bounds of the fit: documents per language, bytes per dictionary, bytes of all dictionaries
+# together.  With so many languages that these are exceeded all dictionaries are shorter.
 PER_LANGUAGE = 200
 DICTIONARY_BYTES = 65_536
-LANGUAGES = 500
+TOTAL_BYTES = 1 << 24
+SMALLEST = 16
 LEVEL = 6
 # A prediction is rejected when the next language needs less than this share more bytes.
 MARGIN = 0.01
@@ -35,47 +45,79 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SCHEMA = "struct<lang: string, score: double, accepted: boolean>"
 
 
-def distinct_words(text: str) -> bytes:
+def distinct_words(text: str) -> list[str]:
     found = LETTERS.findall(text.lower())
-    return " ".join(dict.fromkeys(found)).encode() if any(c.isalpha() for w in found for c in w) else b""
+    return list(dict.fromkeys(found)) if any(c.isalpha() for w in found for c in w) else []
+
+
+def word_sets(text: Column) -> Column:
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([distinct_words(t.as_py() or "") for t in texts], pa.list_(pa.string()))
+
+    return run(text)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, bytes]]:
-    """(language, dictionary), most frequent language first, from a bounded sample in hash order.
+    """(language, dictionary), largest first, then by labelled documents.
 
-    The driver gets at most ``PER_LANGUAGE`` short pieces for each of ``LANGUAGES``
-    languages.  The sample is cut before the shuffle, whatever share a language has.
+    The sample is bounded: ``PER_LANGUAGE`` whole documents a language in hash order.  Its
+    words are counted by Spark; of those in most documents (ties: code-point order) as many
+    as fit go to the driver, ``TOTAL_BYTES`` in all.  The most frequent stand last, where
+    references to them are shortest.
     """
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ranks = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()
-    piece = DICTIONARY_BYTES // PER_LANGUAGE
-    pieces = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.lit("fit"), key).alias("order"), F.substring(text, 1, 4 * piece).alias("piece"))
-    pieces = top_per_key(pieces, ["lang"], [F.col("order"), F.col("piece")], PER_LANGUAGE)
-    kept = pieces.filter(F.col("lang").isin([r[lang] for r in ranks])).orderBy("lang", "rank").collect() if ranks else []
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("t")).dropna(subset=["lang", "t"])
+    sizes = group_sizes(rows, "lang", "key")
+    if not sizes:
+        return []
+    size = min(DICTIONARY_BYTES, TOTAL_BYTES // len(sizes))
+    sample = hash_sample(rows, "lang", "key", sizes, PER_LANGUAGE, tie=F.col("t"))
+    words = sample.select("lang", F.explode(word_sets(F.col("t"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # a word takes two bytes at least, the blank before it included
+    best = top_per_key(words, ["lang"], [F.desc("n"), F.col("word")], size // 2)
     content: dict[str, list[bytes]] = {}
-    for r in kept:
-        content.setdefault(r["lang"], []).append(distinct_words(r["piece"])[:piece])
-    return [(r[lang], b"\n".join(content[r[lang]])) for r in ranks]
+    for r in best.orderBy("lang", "rank").select("lang", "word").collect():
+        content.setdefault(r["lang"], []).append(r["word"].encode())
+    ranks = sorted(content, key=lambda name: (-sizes[name][0], name))
+    joined = [(name, (b" " + b" ".join(content[name]))[:size]) for name in ranks]
+    cut = [(name, c[:1 << (len(c).bit_length() - 1)]) for name, c in joined if len(c) >= SMALLEST]
+    # most frequent last; sorting is stable, so more labelled documents stay first among equals
+    return sorted(((name, b" ".join(c.split(b" ")[::-1])) for name, c in cut), key=lambda x: -len(x[1]))
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Compressors:
     def __init__(self, dictionaries: list[tuple[str, bytes]]) -> None:
-        self.each = []
-        for lang, content in dictionaries:
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.each.append((lang, zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        self.dictionaries, self.made = dictionaries, {}
+        self.sizes = sorted({len(c) for _, c in dictionaries}, reverse=True)
+        self.at = {s: [i for i, (_, c) in enumerate(dictionaries) if len(c) == s] for s in self.sizes}
+
+    def length(self, i: int, size: int, data: bytes) -> int:
+        """Bytes of the data under the dictionary of a language cut to its ``size`` most frequent bytes."""
+        if (i, size) not in self.made:
+            self.made[i, size] = compressor(self.dictionaries[i][1][-size:])
+        return len(self.made[i, size].compress(data))
 
     def classify(self, text: str | None) -> dict:
-        data = distinct_words(text or "")
-        if not data or not self.each:
+        data = " ".join(distinct_words(text or "")).encode()
+        if not data or not self.dictionaries:
             return {"lang": UNKNOWN, "score": 0.0, "accepted": False}
-        sizes = [len(c.compress(data)) for _, c in self.each]
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        rest = sizes[:best] + sizes[best + 1:]
-        more = (min(rest) - sizes[best]) / sizes[best] if rest else 1.0
-        return {"lang": self.each[best][0], "score": more / (more + HALF_SCORE), "accepted": more >= MARGIN}
+        best, more = None, 1.0
+        for size in self.sizes:
+            rivals = ([] if best is None else [best]) + self.at[size]
+            lengths = [self.length(i, size, data) for i in rivals]
+            first = min(range(len(rivals)), key=lengths.__getitem__)
+            rest = lengths[:first] + lengths[first + 1:]
+            margin = (min(rest) - lengths[first]) / lengths[first] if rest else 1.0
+            # a winner that stays is as sure as in its closest comparison
+            more = margin if rivals[first] != best else min(more, margin)
+            best = rivals[first]
+        return {"lang": self.dictionaries[best][0], "score": more / (more + HALF_SCORE), "accepted": more >= MARGIN}
 
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text") -> Column:
