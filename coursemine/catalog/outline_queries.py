@@ -17,13 +17,23 @@ def toc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def native(spark: SparkSession, sf: str) -> DataFrame:
-    """Native contents rows: the part names of every third material, levels and pages partly unusable."""
-    return toc(spark, sf).filter("material_id % 3 = 0").select(
+    """Native contents rows: the part names, levels and pages partly unusable."""
+    return toc(spark, sf).select(
         "material_id", F.col("line_no").alias("toc_no"), (F.col("line_no") % 7).cast("string").alias("level"),
         F.col("line").alias("title"), F.when(F.col("line_no") % 5 != 0, (F.col("line_no") % 300).cast("string")).otherwise(F.lit("x")).alias("page"),
     )
 
 
+def titled(df: DataFrame, where: str, column: str) -> DataFrame:
+    """The same rows, whose other materials have blank lines or titles."""
+    return df.withColumn(column, F.when(F.expr(where), F.col(column)).otherwise(""))
+
+
+def some_native(spark: SparkSession, sf: str) -> DataFrame:
+    """Native contents rows that say something for every third material only."""
+    return titled(native(spark, sf), "material_id % 3 = 0", "title")
+
+
 def materials(spark: SparkSession, sf: str) -> DataFrame:
     m = toc(spark, sf).groupBy("material_id").agg(F.max("line_no").alias("created_at"))
     return m.withColumn("goal_id", F.col("material_id") % 5)
@@ -72,9 +82,9 @@ def q_outline_from_toc_rows(spark, sf):
 
 def _chosen(spark, sf):
     t = toc(spark, sf)
-    text = ol.extract_outline(t.filter("material_id % 4 <> 1"))
-    ocr = ol.extract_outline(t.filter("material_id % 5 <> 2"))
-    return ol.choose_outline(materials(spark, sf), ol.outline_from_toc_rows(native(spark, sf)), text, ocr)
+    text = ol.extract_outline(titled(t, "material_id % 4 <> 1", "line"))
+    ocr = ol.extract_outline(titled(t, "material_id % 5 <> 2", "line"))
+    return ol.choose_outline(materials(spark, sf), ol.outline_from_toc_rows(some_native(spark, sf)), text, ocr)
 
 
 def q_choose_outline(spark, sf):
@@ -113,8 +123,12 @@ def q_rebuild_outlines(spark, sf):
     m = m.withColumn("outline_status", F.lit("unavailable")).withColumn("outline_source", F.lit("unknown"))
     wanted = m.filter("goal_id IN (0, 2, 3)")
     t = toc(spark, sf)
-    out = ol.rebuild_outlines(m, t, wanted, native(spark, sf), t)
-    return out.select("material_id", "goal_id", "outline_status", "outline_source", F.coalesce(F.when(F.col("outline").isNotNull(), F.size("outline")), F.lit(0)).alias("items"))
+    out = ol.rebuild_outlines(m, t, wanted, some_native(spark, sf), t)
+    item = lambda x: F.concat_ws("/", x["order"], x["level"], x["page_start"], x["page_end"], x["source"], x["title"])
+    return out.select(
+        "material_id", "goal_id", "outline_status", "outline_source", F.coalesce(F.when(F.col("outline").isNotNull(), F.size("outline")), F.lit(0)).alias("items"),
+        F.coalesce(F.array_join(F.transform("outline", item), "; "), F.lit("")).alias("listed"),
+    )
 
 
 QUERIES = {
@@ -190,13 +204,15 @@ def _outline(src: str, name: str, source: str = "text_toc") -> str:
 {n} AS (SELECT material_id, title, level, page_start, page_end, "order", confidence, source FROM {_ends(n + 'r')})"""
 
 
-_NATIVE = f"(SELECT material_id, line_no AS toc_no, line_no % 7 AS lv, line AS title, CASE WHEN line_no % 5 <> 0 THEN line_no % 300 END AS pg FROM {_T} WHERE material_id % 3 = 0)"
+_NATIVE = f"(SELECT material_id, line_no AS toc_no, line_no % 7 AS lv, line AS title, CASE WHEN line_no % 5 <> 0 THEN line_no % 300 END AS pg FROM {_T})"
 _NAT = f"""natc AS (SELECT material_id, toc_no, greatest(1, least(lv, 4))::INT AS level, {_title('title')} AS title, CAST(nullif(pg, 0) AS INT) AS page_start FROM {_NATIVE}),
 natv AS (SELECT *, toc_no AS ord, NULL::INT AS page_end, 0.95::DOUBLE AS confidence, 'pdf_toc' AS source FROM natc WHERE {_valid('title')} QUALIFY row_number() OVER (PARTITION BY material_id ORDER BY toc_no) <= 80),
 nat AS (SELECT material_id, title, level, page_start, page_end, "order", confidence, source FROM {_ends('natv')})"""
+_SOME_NAT = _NAT.replace(_NATIVE, f"(SELECT * FROM {_NATIVE} WHERE material_id % 3 = 0)")
 _ALL = 'SELECT material_id, title, level, page_start, page_end, "order", confidence, source FROM '
 _MARKED = f"""pg AS (SELECT material_id, page_index, coalesce(nullif({d.strip('ocr_text')}, ''), nullif({d.strip('built_in_text')}, ''), '') AS t FROM {d.view('pages')}),
 doc AS (SELECT material_id, string_agg(concat('[PDF page ', page_index, ']', chr(10), t), concat(chr(10), chr(10)) ORDER BY page_index) AS text FROM pg WHERE t <> '' GROUP BY material_id)"""
+_LISTED = """string_agg(concat_ws('/', "order", level, page_start, page_end, source, title), '; ' ORDER BY "order")"""
 _MD = r"^(#{1,4})\s+(.+)$"
 
 ORACLE = {
@@ -214,7 +230,7 @@ FROM (SELECT * FROM m UNION ALL SELECT * FROM ub) WHERE line <> '' QUALIFY row_n
     "page_ranges": f"""WITH {_matched(_T)}, i AS (SELECT material_id, line_no AS ord, title, page AS page_start, CASE WHEN line_no % 16 = 0 THEN 999 END AS page_end FROM hit WHERE title IS NOT NULL)
 SELECT material_id, title, page_start, page_end, "order" FROM {_ends('i')}""",
     "outline_from_toc_rows": f"WITH {_NAT} {_ALL} nat",
-    "choose_outline": f"""WITH {_NAT}, {_outline(f'(SELECT * FROM {_T} WHERE material_id % 4 <> 1)', 'ot')}, {_outline(f'(SELECT * FROM {_T} WHERE material_id % 5 <> 2)', 'x')},
+    "choose_outline": f"""WITH {_SOME_NAT}, {_outline(f'(SELECT * FROM {_T} WHERE material_id % 4 <> 1)', 'ot')}, {_outline(f'(SELECT * FROM {_T} WHERE material_id % 5 <> 2)', 'x')},
 a AS (SELECT 0 AS turn, 'pdf_toc' AS src, * FROM nat UNION ALL SELECT 1, 'text_toc', * FROM ot UNION ALL SELECT 2, 'ocr_markdown', * FROM x),
 b AS (SELECT * FROM a QUALIFY rank() OVER (PARTITION BY material_id ORDER BY turn) = 1),
 n AS (SELECT material_id, src, count(*) AS items, max(title) AS last_title FROM b GROUP BY ALL)
@@ -246,10 +262,11 @@ p AS (SELECT material_id % 5 AS goal_id, trim(title) AS title, created_at, mater
 f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY goal_id, title ORDER BY created_at, material_id, "order") = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY created_at, material_id, "order") AS turn FROM f QUALIFY turn <= 12)
 SELECT goal_id, string_agg(title, {d.q(SEP)} ORDER BY turn) AS topics FROM k GROUP BY goal_id""",
-    "rebuild_outlines": f"""WITH {_NAT}, {_outline(_T, 'ot')}, m AS (SELECT DISTINCT material_id, material_id % 5 AS goal_id FROM {_T}),
-nn AS (SELECT material_id, count(*) AS n FROM nat GROUP BY ALL), n2 AS (SELECT material_id, count(*) AS n FROM ot GROUP BY ALL)
+    "rebuild_outlines": f"""WITH {_SOME_NAT}, {_outline(_T, 'ot')}, m AS (SELECT DISTINCT material_id, material_id % 5 AS goal_id FROM {_T}),
+nn AS (SELECT material_id, count(*) AS n, {_LISTED} AS listed FROM nat GROUP BY material_id), n2 AS (SELECT material_id, count(*) AS n, {_LISTED} AS listed FROM ot GROUP BY material_id)
 SELECT m.material_id, goal_id, CASE WHEN goal_id IN (0, 2, 3) AND coalesce(nn.n, n2.n) IS NOT NULL THEN 'ready' ELSE 'unavailable' END AS outline_status,
   CASE WHEN goal_id NOT IN (0, 2, 3) THEN 'unknown' WHEN nn.n IS NOT NULL THEN 'pdf_toc' WHEN n2.n IS NOT NULL THEN 'text_toc' ELSE 'heading_infer' END AS outline_source,
-  CASE WHEN goal_id IN (0, 2, 3) THEN CAST(coalesce(nn.n, n2.n, 0) AS INT) ELSE 0 END AS items
+  CASE WHEN goal_id IN (0, 2, 3) THEN CAST(coalesce(nn.n, n2.n, 0) AS INT) ELSE 0 END AS items,
+  CASE WHEN goal_id IN (0, 2, 3) THEN coalesce(nn.listed, n2.listed, '') ELSE '' END AS listed
 FROM m LEFT JOIN nn USING (material_id) LEFT JOIN n2 USING (material_id)""",
 }

@@ -39,8 +39,8 @@ def feedback_plans(spark, sf):
 
 
 def reviews(spark, sf):
-    """Two reviews for every other plan; the later one counts."""
-    r = rv.review_plans(feedback_plans(spark, sf), tasks(spark, sf)).filter("plan_id % 2 = 0")
+    """Two reviews for every plan; the later one counts."""
+    r = rv.review_plans(feedback_plans(spark, sf), tasks(spark, sf))
     a = r.withColumn("created_at", F.lit(1)).withColumn("review_id", F.col("plan_id") * 2)
     b = a.withColumn("created_at", F.lit(2)).withColumn("review_id", F.col("plan_id") * 2 + 1).withColumn("completion_rate", F.col("completion_rate") / 2)
     return a.unionByName(b)
@@ -173,7 +173,7 @@ def q_goal_timeline(spark, sf):
 
 
 def q_plan_context(spark, sf):
-    r = view(spark, sf, "plan").filter("plan_id % 2 = 0").select("plan_id", F.col("day_index").alias("created_at"), F.col("plan_id").alias("review_id"), F.col("topic").alias("summary"))
+    r = view(spark, sf, "plan").select("plan_id", F.col("day_index").alias("created_at"), F.col("plan_id").alias("review_id"), F.when(F.col("plan_id") % 2 == 0, F.col("topic")).alias("summary"))
     q = view(spark, sf, "quiz_question").withColumnRenamed("quiz_id", "plan_id")
     c = pl.plan_context(view(spark, sf, "plan"), view(spark, sf, "goal"), tasks(spark, sf), r, q)
     return c.select(
@@ -439,7 +439,7 @@ _BANDS = [(int(a * 100), t, s) for a, t, s in fv.REVIEW_BANDS]
 _SUMMARY = "CASE " + " ".join(f"WHEN percent >= {a} THEN replace({d.q(t)}, '{{topic}}', topic)" for a, t, _ in _BANDS) + " END"
 _ADVICE = "CASE " + " ".join(f"WHEN percent >= {a} THEN {d.q(SEP.join(s))}" for a, _, s in _BANDS) + " END"
 _REV = f"{_RATE}, {_WEAK}, rv AS (SELECT p.plan_id, p.goal_id, p.day_index, topic, percent, {_SUMMARY} AS summary, w, {_ADVICE} AS advice FROM {_P} p JOIN cr USING (plan_id) JOIN wp USING (plan_id))"
-_ADJ = f"""{_REV}, td AS (SELECT goal_id, day_index AS from_day, percent / 100.0::DOUBLE / 2 AS rate, w[1] AS pt FROM rv WHERE plan_id % 2 = 0),
+_ADJ = f"""{_REV}, td AS (SELECT goal_id, day_index AS from_day, percent / 100.0::DOUBLE / 2 AS rate, w[1] AS pt FROM rv),
 adj AS (SELECT p.goal_id, p.plan_id, td.from_day, p.topic AS original_topic, concat('work on ', p.topic) AS original_objective, concat('补强', pt, ' + ', p.topic) AS adjusted_topic,
   concat('先用 30-40 分钟回补「', pt, '」，再推进「', p.topic, '」的基础内容，避免薄弱点继续滚雪球。') AS adjusted_objective,
   concat('今日完成率为 ', CAST(trunc(rate * 100) AS INT), '%，主要薄弱点集中在「', pt, '」，因此明日计划先补弱再推进。') AS reason

@@ -27,7 +27,7 @@ def entity_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "goal": view(spark, sf, "goal"), "plan": plan, "task": task,
         "quiz": view(spark, sf, "quiz_question").withColumnRenamed("quiz_id", "plan_id"),
         "review": plan.select(F.col("plan_id"), "goal_id"),
-        "adjustment": plan.filter("day_index % 3 = 1").select("plan_id", "goal_id"),
+        "adjustment": plan.select("plan_id", "goal_id"),
         "job": view(spark, sf, "events").select("event_id", "job_id", (F.col("job_id") % 20).alias("goal_id")),
         "material": material.drop("text"), "chunk": chunks(spark, sf).select("material_id", "chunk_index"),
         "translation": view(spark, sf, "pages").select("material_id", "page_index"),
@@ -69,9 +69,10 @@ def q_read_text_corpus(spark, sf):
 
 def q_detect_changed_files(spark, sf):
     m = view(spark, sf, "material")
-    files = m.filter(F.col("material_id") % 10 != 9).select(F.col("filename").alias("path"), F.col("text").cast("binary").alias("content"))
-    manifest = m.filter(F.col("material_id") % 10 > 1).select(
-        F.col("filename").alias("path"),
+    moved = lambda when, name: F.when(when, F.concat(F.lit(name), F.col("filename"))).otherwise(F.col("filename")).alias("path")
+    files = m.select(moved(F.col("material_id") % 10 == 9, "new/"), F.col("text").cast("binary").alias("content"))
+    manifest = m.select(
+        moved(F.col("material_id") % 10 <= 1, "old/"),
         F.when(F.col("material_id") % 10 == 2, None).when(F.col("material_id") % 10 == 3, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256)).alias("file_sha256"),
     )
     return co.detect_changed_files(files, manifest)
@@ -167,9 +168,9 @@ def q_ingest_snippets(spark, sf):
 
 def q_set_material_status(spark, sf):
     m = _materials(spark, sf)
-    o = view(spark, sf, "material").filter("material_id % 7 <> 6").select(
+    o = view(spark, sf, "material").select(
         "material_id",
-        F.element_at(F.array(*[F.lit(x) for x in ("processing", "failed", "uploaded", "ocr_ready", "ready", "unknown")]), (F.col("material_id") % 7 + 1).cast("int")).alias("outcome"),
+        F.get(F.array(*[F.lit(x) for x in ("processing", "failed", "uploaded", "ocr_ready", "ready", "unknown")]), (F.col("material_id") % 7).cast("int")).alias("outcome"),
         F.col("text").alias("message"), F.length("filename").alias("page_count"),
     )
     out = tb.set_material_status(m, o)
@@ -201,7 +202,7 @@ _CUT400 = f"CASE WHEN t = '' THEN [] WHEN length(t) <= 400 THEN [t] ELSE list_tr
 _NAMES = {
     "goal": "SELECT goal_id FROM g WHERE NOT ({w})",
     "plan": "SELECT plan_id FROM p WHERE NOT ({w})",
-    "adjustment": "SELECT plan_id FROM p WHERE day_index % 3 = 1 AND NOT ({w})",
+    "adjustment": "SELECT plan_id FROM p WHERE NOT ({w})",
     "job": f"SELECT job_id FROM (SELECT *, job_id % 20 AS goal_id FROM {d.view('events')}) WHERE NOT ({{w}})",
     "task": f"SELECT plan_id FROM {d.view('task')} WHERE plan_id NOT IN (SELECT plan_id FROM p WHERE {{w}})",
     "quiz": f"SELECT quiz_id FROM {d.view('quiz_question')} WHERE quiz_id NOT IN (SELECT plan_id FROM p WHERE {{w}})",
@@ -225,7 +226,9 @@ ORACLE = {
 n AS (SELECT part AS material_id, CAST(row_number() OVER (PARTITION BY part ORDER BY material_id, ln, pos) AS INT) AS page_index, {d.strip('t')} AS markdown FROM i)
 SELECT CAST(material_id AS VARCHAR) AS material_id, page_index, markdown FROM n WHERE markdown <> ''""",
     "detect_changed_files": f"""SELECT filename AS path, CASE material_id % 10 WHEN 0 THEN 'new' WHEN 1 THEN 'new' WHEN 2 THEN 'stale' WHEN 3 THEN 'stale' WHEN 9 THEN 'stale' ELSE 'unchanged' END AS state,
-CASE WHEN material_id % 10 <> 9 THEN sha256(text) END AS sha256 FROM {_M}""",
+CASE WHEN material_id % 10 <> 9 THEN sha256(text) END AS sha256 FROM {_M}
+UNION ALL SELECT concat('new/', filename), 'new', sha256(text) FROM {_M} WHERE material_id % 10 = 9
+UNION ALL SELECT concat('old/', filename), 'stale', NULL FROM {_M} WHERE material_id % 10 <= 1""",
     "read_ocr_pages": f"""WITH i AS (SELECT material_id, page_index AS ln, 0 AS pos, coalesce(ocr_text, '') AS t FROM {_P} UNION ALL SELECT material_id, page_index, 1, coalesce(built_in_text, '') FROM {_P}),
 n AS (SELECT material_id, CAST(row_number() OVER (PARTITION BY material_id ORDER BY ln, pos) AS INT) AS page_index, {d.strip('t')} AS markdown FROM i)
 SELECT * FROM n WHERE markdown <> ''""",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coursemine.catalog import duck as d
-from coursemine.fixtures import view
+from coursemine.fixtures import table, view
 from coursemine.functions import fixed_values as fv, terms, text as tx, tokens as tk
-from coursemine.operators import chunking, enrichment as en
+from coursemine.operators import chunking, enrichment as en, packing
 
 SEP = " ¦ "
 
@@ -47,6 +47,12 @@ def q_chunk_multi_paragraph(spark, sf):
     return chunking.chunk_documents(view(spark, sf, "multi")).select("material_id", "chunk_index", "content")
 
 
+def q_chunk_turns(spark, sf):
+    """The same chunks from turns as rows; no conversation is put together."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("material_id"), "turn", "text")
+    return packing.pack_paragraphs(packing.paragraph_rows(turns, ["material_id"], "turn"), ["material_id"])
+
+
 def q_chunk_pages(spark, sf):
     named = pages(spark, sf).withColumn("filename", F.concat(F.lit("conv/"), F.col("material_id").cast("string"), F.lit(".pdf")))
     out = chunking.chunk_pages(named)
@@ -197,6 +203,7 @@ QUERIES = {
     "normalize_text": q_normalize_text,
     "chunk_documents": q_chunk_documents,
     "chunk_multi_paragraph": q_chunk_multi_paragraph,
+    "chunk_turns": q_chunk_turns,
     "chunk_pages": q_chunk_pages,
     "clean_for_retrieval": q_clean_for_retrieval,
     "extract_formulas": q_extract_formulas,
@@ -335,6 +342,7 @@ ORACLE = {
     "normalize_text": f"SELECT material_id, md5({d.normalize('text')}) AS text_md5 FROM {M}",
     "chunk_documents": f"WITH {_CH} SELECT material_id, chunk_index, content FROM chunks",
     "chunk_multi_paragraph": _MULTI,
+    "chunk_turns": _MULTI,
     "chunk_pages": f"""WITH p AS (SELECT material_id, page_index, {d.normalize("coalesce(nullif(" + d.strip('ocr_text') + ", ''), built_in_text)")} AS t FROM {d.view('pages')}),
 c AS (SELECT material_id, page_index, list_filter({_PAGE_CUT}, lambda x: length(x) >= 20) AS cs FROM p),
 u AS (SELECT material_id, page_index, unnest(range(len(cs))) AS pos, unnest(cs) AS content FROM c),
