@@ -10,7 +10,7 @@ from coursemine.catalog.text_queries import chunks
 from coursemine.fixtures import table, view
 from coursemine.functions import text as tx, tokens as tk
 from coursemine.functions.terms import TERM_TYPE
-from coursemine.operators import chunking, conversations as cv, enrichment as en, postings as ps, retrieval as rt, vectors as vx
+from coursemine.operators import approximate as ap, chunking, conversations as cv, enrichment as en, postings as ps, retrieval as rt, vectors as vx
 
 
 def searchable(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,6 +158,37 @@ def q_dense_topk_tiled(spark, sf):
     return vx.dense_topk(centroids(spark, sf), v, ["chunk_id"], 10, tile_vectors=7, tile_queries=3)
 
 
+def _indexed(spark, sf):
+    """Vectors with cell and code, stored by cell, and their index: 64 floats become 16 bytes."""
+    v = view(spark, sf, "vec").select("goal_id", "chunk_id", "embedding")
+    index = ap.fit_index(v, ["chunk_id"], cells=16, subspaces=16)
+    path = scratch(spark, "cells")
+    ap.encode(v, index).write.mode("overwrite").partitionBy("cell").parquet(path)
+    return spark.read.parquet(path), index
+
+
+def _near(spark, sf, encoded, index):
+    return ap.approximate_topk(centroids(spark, sf), encoded, index, ["chunk_id"], 10, least_cells=index.cells_for(0.95), candidates=60)
+
+
+def q_approximate_topk(spark, sf):
+    """The nearest vectors of each request, by codes, from as many cells as the sample asks for."""
+    return _near(spark, sf, *_indexed(spark, sf))
+
+
+def q_approximate_topk_all(spark, sf):
+    """With all cells and all candidates the rows are those of the exact search."""
+    encoded, index = _indexed(spark, sf)
+    return ap.approximate_topk(centroids(spark, sf), encoded, index, ["chunk_id"], 10, least_cells=16, candidates=1_000_000)
+
+
+def q_approximate_recall(spark, sf):
+    """Share of the exact neighbours that are found, over all requests, and the bytes of a code."""
+    encoded, index = _indexed(spark, sf)
+    out = ap.recall(q_dense_topk(spark, sf), _near(spark, sf, encoded, index), ["chunk_id"])
+    return out.withColumn("bytes", F.lit(len(index.books))).withColumn("cells", F.lit(index.cells_for(0.95)))
+
+
 def q_bm25_score(spark, sf):
     return rt.bm25_score(requests(spark, sf), tokens(spark, sf))
 
@@ -277,6 +308,9 @@ QUERIES = {
     "build_queries": q_build_queries,
     "scope_filter": q_scope_filter,
     "dense_topk": q_dense_topk,
+    "approximate_topk": q_approximate_topk,
+    "approximate_topk_all": q_approximate_topk_all,
+    "approximate_recall": q_approximate_recall,
     "dense_topk_own_scopes": q_dense_topk_own_scopes,
     "dense_topk_tiled": q_dense_topk_tiled,
     "bm25_score": q_bm25_score,
@@ -395,6 +429,7 @@ UNION ALL SELECT 'chat', cq.goal_id, conv_id, NULL, {d.strip("concat_ws(' ', nul
 p AS (SELECT rq.query_id, chunk_id, round(list_cosine_distance(qv::DOUBLE[], embedding::DOUBLE[]), 6) + 0.0::DOUBLE AS distance FROM rq JOIN vc v ON {_MEETS})
 SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INT) AS rank FROM p QUALIFY rank <= 5""",
     "dense_topk": _DENSE,
+    "approximate_topk_all": _DENSE,
     "dense_topk_tiled": _DENSE,
     "bm25_score": f"WITH {_BASE} SELECT query_id, material_id, chunk_index, round(bm25, 6) AS bm25 FROM bm",
     "formula_bonus": f"WITH mc AS {_MATH}, {_tokens('mc', 'text')}, {_requests(_MREQ)}, {_BM25} SELECT query_id, material_id, chunk_index, round(bonus, 6) AS bonus FROM fb",

@@ -249,7 +249,21 @@ def dense_topk(
 def _tile_nearest(
     queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, schema: T.StructType, tile_vectors: int, tile_queries: int
 ) -> DataFrame:
-    """Grid of (query tile, vector tile) per scope; a scope with a third of all vectors is as many tiles as it needs."""
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        wanted = left[[c for c in left.columns if c.startswith("_c")]]
+        return _block_best(left["query_id"].to_numpy(), _unit(left["_q"]), right, keys, k, wanted)
+
+    return tile_nearest(queries, vectors, keys, best, schema, tile_vectors, tile_queries)
+
+
+def tile_nearest(
+    queries: DataFrame, vectors: DataFrame, keys: list[str], best: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]],
+    schema: T.StructType, tile_vectors: int, tile_queries: int,
+) -> DataFrame:
+    """Grid of (query tile, vector tile) per ``_scope``; a scope with a third of all vectors is as many tiles as it needs.
+
+    ``best`` gives the rows of one tile from its requests and its vectors, neither of them empty.
+    """
     def tiles(df: DataFrame, size: int, name: str) -> DataFrame:
         n = df.groupBy("_scope").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
         return n.filter(F.col(name) > 1)  # at most (rows / size) scopes need a tile count
@@ -264,12 +278,10 @@ def _tile_nearest(
     q = placed(queries, "_tq", "_nq", "_tv", "_nv", ["query_id"])
     v = placed(vectors, "_tv", "_nv", "_tq", "_nq", keys)
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        wanted = left[[c for c in left.columns if c.startswith("_c")]]
-        parts = _block_best(left["query_id"].to_numpy(), _unit(left["_q"]), right, keys, k, wanted)
-        return pd.concat(list(parts), ignore_index=True)
+        return pd.concat(list(best(left, right)), ignore_index=True)
 
     by = ["_scope", "_tq", "_tv"]
-    return q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(best, schema)
+    return q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(tile, schema)
