@@ -64,7 +64,8 @@ def job_state(events: DataFrame) -> DataFrame:
     status, ended = F.col("status"), F.col("status").isin("success", "failed")
     progress = (
         F.when(status == "pending", 0).when(status == "success", 100)
-        .when(status == "running", F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress"))))
+        # without a number of its own the event leaves progress as it was (least and greatest skip nulls)
+        .when((status == "running") & F.col("progress").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress"))))
     )
     at = lambda test: F.when(test, order)
     state = events.groupBy("job_id").agg(
