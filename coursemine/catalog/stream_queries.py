@@ -12,7 +12,7 @@ from coursemine.functions import fixed_values as fv
 from coursemine.functions.text import fingerprint
 from coursemine.operators import conversations as cv
 from coursemine.sources import corpus as co, tables as tb
-from coursemine.streaming import incremental as ic
+from coursemine.streaming import incremental as ic, jobs as jb
 
 LATIN_RULES = [
     ("insert", [["que", "the "]]), ("adjust", [["an"], ["ou", "ing"]]), ("read_page", [["PDF", "page"]]), ("review", [["ti"]]), ("search", [["er", "le"]]),
@@ -153,6 +153,14 @@ def q_job_state_stream(spark, sf):
     return _state_out(tb.newest(spark, out, ["job_id"]))
 
 
+def q_job_track_stream(spark, sf):
+    """Jobs followed event by event, those that were silent for two days marked."""
+    out, check = scratch(spark, "tracked"), scratch(spark, "check")
+    _replay(spark, _job_events(spark, sf), F.unix_timestamp("ts"), lambda stream: jb.track_jobs_stream(stream, out, check, "2 days", "1 hour"))
+    t = tb.newest(spark, out, ["job_id"])
+    return _state_out(t).join(t.select("job_id", "stalled"), "job_id")
+
+
 def q_job_progress(spark, sf):
     e = view(spark, sf, "events")
     stages = list(fv.STAGE_RATIO) + ["ocr_running", "waiting"]
@@ -246,6 +254,8 @@ SELECT * FROM nw UNION ALL SELECT * FROM tc WHERE NOT EXISTS (SELECT 1 FROM nw W
 SELECT * FROM nw UNION ALL SELECT * FROM tc WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.material_id = tc.material_id AND nw.page_index = tc.page_index AND nw.text_hash = tc.text_hash)""",
     "job_state": f"WITH {_STATE}",
     "job_state_stream": f"WITH {_STATE}",
+    "job_track_stream": f"""WITH {_STATE.replace(" AS finished_at FROM js", f""" AS finished_at, status NOT IN ('success', 'failed')
+  AND epoch_ms(last_ts) + 48 * 3600000 < epoch_ms((SELECT max(ts) FROM {d.view('events')})) - 3600000 AS stalled FROM js""").replace("max(ts) FILTER", "max(ts) AS last_ts, max(ts) FILTER")}""",
     "job_progress": f"""WITH e AS (SELECT job_id, event_id, event_id % 5 AS fi, event_id % 5 + 1 + event_id % 3 AS fc, {d.lst(_STAGES)}[event_id % {len(_STAGES)} + 1] AS stage, CASE WHEN event_id % 7 <> 0 THEN event_id % 40 END AS cp, event_id % 30 AS tp FROM {d.view('events')}),
 s AS (SELECT *, 10 + fi * 60 // fc AS st, greatest(1, (fi + 1) * 60 // fc - fi * 60 // fc) AS span,
   CASE WHEN stage = 'ocr_running' AND tp <> 0 AND cp IS NOT NULL THEN 0.08::DOUBLE + least(1.0::DOUBLE, cp / tp::DOUBLE) * 0.45::DOUBLE ELSE {_RATIO} END AS r FROM e)
