@@ -103,6 +103,27 @@ def test_bm25_by_hand(spark):
     assert none.count() == 0
 
 
+def test_formula_bonus_compares_classes_not_pairs(spark):
+    """The same rows as term by term; only the last join, which aggregates nothing, is as large as the result."""
+    terms = [["x", "="], ["=", "x"], ["y"], list("abcdefgh"), [], None]
+    queries = spark.createDataFrame([(i, i % 2, [], terms[i % 6]) for i in range(60)], "query_id int, goal_id int, lexical_terms array<string>, formula_terms array<string>")
+    held = [["x", "="], ["x"], list("hgfedcba"), [], ["z"]]
+    tokens = spark.createDataFrame([(i % 3, i, 0, ["w"], held[i % 5]) for i in range(90)], "goal_id int, material_id int, chunk_index int, tokens array<string>, formula_tokens array<string>")
+    want = []
+    for q in range(60):
+        for m in range(90):
+            n = len(set(terms[q % 6] or []) & set(held[m % 5]))
+            if q % 2 == m % 3 and n:
+                want.append((q, m, 0, round(min(n * 1.2, 4.8), 6)))
+    for bound in (1000, 0):
+        got = rt.formula_bonus(queries, tokens, max_query_rows=bound)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    got = rt.formula_bonus(queries, tokens)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    last = min(i for i, line in enumerate(plan.splitlines()) if "Join" in line)
+    assert not any("Aggregate" in line for line in plan.splitlines()[:last])
+
+
 def test_outline_of_chinese_contents(spark):
     text = ["目录", "第一章 极限 ..... 1", "1.1 数列极限 … 5", "第二章 导数 ..... 20", "第二章 导数", "1. 引言", "尾注"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "material_id int, line_no int, line string")
