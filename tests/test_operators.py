@@ -103,6 +103,22 @@ def test_bm25_by_hand(spark):
     assert none.count() == 0
 
 
+def test_lexical_scores_read_every_chunk_once(spark):
+    """Statistics, frequencies and scores follow from one pass over the tokens."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def read(words):
+        seen.add(1)
+        return words
+
+    tokens = spark.createDataFrame([(i % 2, i, 0, ["a", f"b{i % 3}"], ["="]) for i in range(30)], "goal_id int, material_id int, chunk_index int, tokens array<string>, formula_tokens array<string>")
+    tokens = tokens.withColumn("tokens", read("tokens"))
+    queries = spark.createDataFrame([(1, 0, ["a"], ["="]), (2, 1, ["b1"], [])], "query_id int, goal_id int, lexical_terms array<string>, formula_terms array<string>")
+    assert len(rt.lexical_scores(queries, tokens).collect()) == 15 + 5
+    assert seen.value == 30
+
+
 def test_formula_bonus_compares_classes_not_pairs(spark):
     """The same rows as term by term; only the last join, which aggregates nothing, is as large as the result."""
     terms = [["x", "="], ["=", "x"], ["y"], list("abcdefgh"), [], None]
