@@ -221,6 +221,17 @@ def test_quality_classifier(spark):
     assert one_kind is None and {r[0] for r in odd.select(quality_classifier.score(odd, one_kind)).collect()} == {0.5}
 
 
+def test_quality_classifier_learns_from_every_label(spark):
+    """Means over more documents of a kind than any sample held before."""
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("good words here "), "id")).otherwise("BUY! NOW!").alias("text"))
+    labels = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("quality"))
+    ranking = quality_classifier.fit(docs, labels)
+    texts = [f"good words here {i}" if i % 2 == 0 else "BUY! NOW!" for i in range(8000)]
+    x = np.array([quality_classifier.measures(t) for t in texts])
+    assert np.allclose(ranking.middle, x.mean(0), rtol=1e-9, atol=1e-12) and np.allclose(ranking.scale, x.std(0) + 1e-9, rtol=1e-6, atol=1e-9)
+    assert ((ranking.score(x) >= quality_classifier.CUT) == (np.arange(8000) % 2 == 0)).all()
+
+
 def test_bradley_terry_orders_by_preference():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 3))
