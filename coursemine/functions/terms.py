@@ -2,13 +2,19 @@
 
 Every function maps a row to a row.  A chunk has at most a few hundred
 candidate phrases, so counting and ranking them inside the row beats exploding
-them into a shuffle.
+them into a shuffle.  Chunks of Latin letters alone are ranked in Arrow batches.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
+from functools import cache
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from coursemine.functions import fixed_values as fv
@@ -298,8 +304,119 @@ def _best_by_own(items: Column) -> Column:
     return F.transform(_keep_best(as_scored), lambda t: t.withField("score", t["final"]))
 
 
+# --- the same for texts of Latin letters only ---------------------------------
+# Most chunks hold no ideograph, and their phrases are words between single blanks: a loop over words then
+# does what the expressions above do with a dozen patterns per phrase.
+
+_LATIN_TEXT = re.compile("[\\0-\u017f]*")
+_LETTER = "A-Za-z0-9_ªµºÀ-ÖØ-öø-\u017f"
+_LATIN_PHRASE = re.compile(rf"(?<![{_LETTER}])[A-Za-z][A-Za-z0-9]*(?: [A-Za-z][A-Za-z0-9]*){{0,2}}(?![{_LETTER}])")
+_LETTERS, _DIGIT = re.compile("[A-Za-z]+"), re.compile("[0-9]")
+_STOP_SET, _NOISE_SET = frozenset(fv.TERM_STOPWORDS), frozenset(_NOISE_WORDS)
+_FORMULA_SET = frozenset(fv.FORMULA_WORDS)
+_LONE_SET = _FORMULA_SET | frozenset(fv.FORMULA_LONE_WORDS)
+_LATIN_CONCEPTS = [(n, kind, float(bonus)) for n, kind, bonus in fv.CONCEPTS if n.isascii()]
+
+
+def _latin_words(words: list[str]) -> list[str]:
+    """``clean_latin_phrase`` on the words of a phrase."""
+    a, b = 0, len(words) - (len(words) > 1 and len(words[-1]) == 1)
+    while a < b and words[a].lower() in _STOP_SET:
+        a += 1
+    while a < b and words[b - 1].lower() in _STOP_SET:
+        b -= 1
+    return words[a:b]
+
+
+def _valid_latin(low: str) -> bool:
+    """``valid_latin_phrase`` of a cleaned phrase in lower case."""
+    runs = _LETTERS.findall(low)
+    letters = sum(map(len, runs))
+    lettered = letters + low.count(" ") == len(low)  # no digits
+    if len(low) < 2 or (lettered and letters <= 5) or not _FORMULA_SET.isdisjoint(runs):
+        return False
+    if len(runs) > 1:
+        return True
+    return letters > 1 and runs[0] not in _LONE_SET and low not in _NOISE_SET
+
+
+@cache
+def _latin_scores(n: int, runs: int, bonus: float) -> tuple[float, float, float]:
+    """(own score, confidence, score of the first ranking); the arithmetic of ``_candidate_item``."""
+    own = 0.7 + min(n, 4) * 0.25 + min(runs, 3) * 0.15 + bonus
+    exact = Decimal(repr(min(0.95, 0.48 + own / 6.0)))
+    confidence = float(exact.quantize(Decimal("0.001"), ROUND_HALF_UP))
+    return own, confidence, own + confidence + bonus
+
+
+def _latin_kind(low: str, concepts: list[tuple[str, str, float]]) -> tuple[str, float]:
+    for scale, test in ((1.0, low.__eq__), (0.65, low.__contains__)):
+        for name, kind, bonus in concepts:
+            if test(name):
+                return kind, bonus * scale
+    return "term", 0.0
+
+
+def latin_terms(text: str | None, k: int) -> list[tuple[str, str, float]] | None:
+    """(source, kind, confidence) of the top-k terms of a cleaned text; null beyond Latin letters."""
+    if text is None or not _LATIN_TEXT.fullmatch(text):
+        return None
+    low_text = text.lower()
+    named = [c for c in _LATIN_CONCEPTS if c[0] in low_text]
+    best: dict[str, tuple] = {}  # identity -> own score, then the order of the ranking
+    for name, kind, bonus in named:
+        own = bonus + 1.0 + bonus
+        confidence = round(min(0.95, 0.48 + own / 6.0), 3)
+        best[name] = own, -(own + confidence + bonus), -len(name), name, kind, confidence
+    counts = Counter(" ".join(_latin_words(p.split(" "))) for p in _LATIN_PHRASE.findall(text))
+    counts.pop("", None)
+    digits = _DIGIT.search(text)
+    kind, bonus = "term", 0.0
+    for phrase, n in counts.items():
+        # counted in its first cleaned form; a second pass settles phrases that end in two lone letters
+        settled = phrase if phrase[-2:-1] != " " else " ".join(_latin_words(phrase.split(" ")))
+        low = settled.lower()
+        if named:
+            kind, bonus = _latin_kind(low, named)
+        runs = len(_LETTERS.findall(phrase)) if digits else phrase.count(" ") + 1
+        own, confidence, score = _latin_scores(min(n, 4), min(runs, 3), bonus)
+        held = best.get(low)
+        if held is None or own > held[0]:
+            best[low] = own, -score, -min(len(settled), 80), settled[:80], kind, confidence
+    # whether a term is valid depends on its identity alone, so few need the test
+    ranked = sorted((x[1:], low) for low, x in best.items())
+    valid = ((source, kind, confidence) for (_, _, source, kind, confidence), low in ranked if _valid_latin(low))
+    return list(islice(valid, k))
+
+
+def _latin_top(k: int) -> Callable[[Column], Column]:
+    @F.arrow_udf(f"array<{TERM_TYPE}>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [latin_terms(t, k) for t in texts.to_pylist()]
+        items = [x for xs in found if xs for x in xs]
+        source, kind, confidence = zip(*items) if items else ((), (), ())
+        same = lambda v: pa.array([v] * len(items), pa.string())
+        fields = [pa.array(source, pa.string()), same(""), pa.array(kind, pa.string()), pa.array(confidence, pa.float64()), same("local")]
+        ends, offsets = 0, [0]
+        for xs in found:
+            ends += len(xs or ())
+            offsets.append(ends)
+        return pa.ListArray.from_arrays(
+            pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, TERM_FIELDS), mask=pa.array([xs is None for xs in found]))
+
+    return run
+
+
 def extract_key_terms(retrieval_text: Column, k: int = fv.MAX_KEY_TERMS) -> Column:
-    """Top-k key terms of a chunk as ARRAY<struct source, zh, kind, confidence, term_source>."""
+    """Top-k key terms of a chunk as ARRAY<struct source, zh, kind, confidence, term_source>.
+
+    Not for use inside a lambda: texts of Latin letters go through Arrow, the others through ``key_terms_of_any``.
+    """
+    return F.coalesce(_latin_top(k)(clean_for_retrieval(retrieval_text)), key_terms_of_any(retrieval_text, k))
+
+
+def key_terms_of_any(retrieval_text: Column, k: int = fv.MAX_KEY_TERMS) -> Column:
+    """``extract_key_terms`` by expressions alone, for texts of any script."""
     return let(clean_for_retrieval(retrieval_text), lambda text: _terms_of(text, k))
 
 

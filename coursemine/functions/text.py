@@ -153,11 +153,15 @@ def extract_formulas(c: Column) -> Column:
     )
     all_spans = F.when(_has_formula_mark(c), spans).otherwise(F.expr(EMPTY))
     found = F.filter(F.transform(F.concat(all_spans, bare), normalize_formula), lambda x: x != "")
-    return F.slice(F.array_distinct(found), 1, fv.MAX_FORMULAS)
+    # most texts have neither a mark nor a symbol, and are not cut into lines; a class without the wide symbols is fast
+    plain = ~c.rlike(r"[=\^_+\-*/<>|\\$\x80-\x{10FFFF}]")
+    return F.when(plain, F.expr(EMPTY)).otherwise(F.slice(F.array_distinct(found), 1, fv.MAX_FORMULAS))
 
 
 def detect_language(c: Column) -> Column:
-    latin, cjk = count_of(c, "[A-Za-z]"), count_of(c, CJK)
+    # what a run of letters takes away is counted, not each letter found
+    held = lambda letters: F.length(c) - F.length(F.regexp_replace(c, letters, ""))
+    latin, cjk = held("[A-Za-z]+"), F.when(has_cjk(c), held(CJK + "+")).otherwise(0)
     return (
         F.when((latin == 0) & (cjk == 0), "unknown")
         .when(latin > cjk * 2, "en")
