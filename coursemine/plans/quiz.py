@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemine.functions import fixed_values as fv
 from coursemine.functions.text import let, strip, unnest
+from coursemine.operators.ranking import is_small, spread_join
 from coursemine.plans.reviews import half_up_percent
 
 QUIZ_KEY = ["quiz_id", "question_id"]
+# Template rows up to which the table is sent to every task.
+SENT_TEMPLATES = 10_000
 
 
 def tasks_without_quiz(tasks: DataFrame, quizzes: DataFrame, regenerate: DataFrame) -> DataFrame:
@@ -37,9 +40,16 @@ def choose_template(tasks: DataFrame, rules: list[tuple[str, list[str]]], defaul
 
 
 def instantiate_questions(tasks: DataFrame, templates: DataFrame) -> DataFrame:
-    """Question rows of each task from the template table; ``{topic}`` becomes the plan topic."""
+    """Question rows of each task from the template table; ``{topic}`` becomes the plan topic.
+
+    There are few template names, so tasks are not dealt out by name: one task would hold a large share of the rows.
+    """
     filled = lambda c: F.replace(F.col(c), F.lit("{topic}"), F.col("topic"))
-    return tasks.join(templates, "template").select(
+    if is_small(templates, SENT_TEMPLATES):
+        both = tasks.join(F.broadcast(templates), "template")
+    else:
+        both = spread_join(tasks, templates, ["template"], F.struct("plan_id", "task_no"))
+    return both.select(
         "plan_id", "task_no", "template", "pos", "type", filled("question").alias("question"), "options", "correct_answer",
         filled("reference_answer").alias("reference_answer"), "explanation",
     )
