@@ -40,7 +40,7 @@ def feedback_plans(spark, sf):
 
 def reviews(spark, sf):
     """Two reviews for every plan; the later one counts."""
-    r = rv.review_plans(feedback_plans(spark, sf), tasks(spark, sf))
+    r = rk.stored(rv.review_plans(feedback_plans(spark, sf), tasks(spark, sf)), "reviews")
     a = r.withColumn("created_at", F.lit(1)).withColumn("review_id", F.col("plan_id") * 2)
     b = a.withColumn("created_at", F.lit(2)).withColumn("review_id", F.col("plan_id") * 2 + 1).withColumn("completion_rate", F.col("completion_rate") / 2)
     return a.unionByName(b)
@@ -248,8 +248,8 @@ def q_adjust_next_day(spark, sf):
 
 
 def q_adjusted_plans(spark, sf):
-    p, r = plans(spark, sf), reviews(spark, sf)
-    audit, _ = rv.adjust_next_day(p, r)
+    p, r = rk.stored(plans(spark, sf), "plans"), reviews(spark, sf)
+    audit = rk.stored(rv.adjust_next_day(p, r)[0], "audit")
     raw = audit.select("plan_id", F.when(F.col("plan_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("T "), F.col("original_topic")).alias("adjusted_topic"), F.lit("").alias("reason")))).otherwise("none").alias("raw"))
     out = rv.apply_adjustments(p, rv.repair_adjustments(raw, audit))
     return out.select("plan_id", "topic", "adjusted", F.md5("adjustment_reason").alias("reason_md5"))

@@ -30,3 +30,13 @@ def test_many_templates_meet_tasks_in_salts(spark, monkeypatch):
     small = sorted(questions(spark).select("plan_id", "pos", "question").collect())
     monkeypatch.setattr(qz, "SENT_TEMPLATES", 2)
     assert sorted(questions(spark).select("plan_id", "pos", "question").collect()) == small
+
+
+def reads(df, column):
+    """How often the plan reads a table by this column."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(column)
+
+
+def test_reviews_and_audit_are_computed_once(spark):
+    df = pq.q_adjusted_plans(spark, "/root/testdata/sf0.001")
+    assert reads(df, "row_number()") == 0
