@@ -37,6 +37,12 @@ def reads(df, column):
     return df._jdf.queryExecution().optimizedPlan().toString().count(column)
 
 
+def test_grades_are_computed_once(spark):
+    """Rule grades are stored: the plan of the repair numbers no answers again."""
+    df = pq.q_repair_grades(spark, "/root/testdata/sf0.001")
+    assert reads(df, "row_number()") == 0
+
+
 def test_reviews_and_audit_are_computed_once(spark):
     df = pq.q_adjusted_plans(spark, "/root/testdata/sf0.001")
     assert reads(df, "row_number()") == 0
