@@ -36,6 +36,11 @@ def clean_title(c: Column) -> Column:
 
 
 def valid_title(c: Column) -> Column:
+    # as a filter it is moved below the title's projection, which would put the cleaning into every one of its tests
+    return let(c, _valid_title)
+
+
+def _valid_title(c: Column) -> Column:
     low = F.lower(c)
     noisy = low.isin(*fv.OUTLINE_NOISE_EXACT)
     for token in fv.OUTLINE_NOISE:
