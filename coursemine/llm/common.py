@@ -6,6 +6,8 @@ import re
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -111,6 +113,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Frames made here lose the files of their shuffles when an action on them ends; for frames that are stored or checkpointed at once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash: spreads every input bit over the word."""
     x = x.astype(np.uint64)

@@ -148,6 +148,70 @@ def test_predictive_probabilities_sum_to_one(spark, docs, monkeypatch):
         assert abs(total + rest - 1) < 1e-3
 
 
+def test_contexts_are_the_words_themselves(spark, docs, monkeypatch):
+    """Every previous word has a restaurant of its own, whether its totals are sent out or joined, and scores follow from these."""
+    monkeypatch.setattr(language_model, "COMMON", 8)
+    monkeypatch.setattr(language_model, "SHARD", 600)
+    train = docs.filter(~language_model.held_out())
+    model = language_model.train(train)
+    unpack, layout, samples = language_model.unpack, model.totals.layout, model.samples
+    hashed = lambda w: int(language_model.pd.util.hash_array(np.array([w], object), categorize=False)[0])
+    cut_up = lambda t: [w.lower() for w in words(t)]
+    follow, types = collections.Counter(), collections.defaultdict(set)
+    for r in train.collect():
+        t = cut_up(r["text"])
+        for a, b in zip([" start", *t], [*t, " end"]):
+            follow[hashed(a)] += 1
+            types[hashed(a)].add(b)
+    rare = collections.defaultdict(dict)
+    of_parts = model.contexts.collect()
+    lists = {r["part"]: language_model.unpack_hashes(r["contexts"]).tolist() for r in of_parts if r["number"] == 0}
+    for r in of_parts:
+        for i, k in enumerate(lists[r["part"]]):
+            rare[k].update({(r["number"], c): int(unpack(r[c])[i]) for c in ("customers", "tables") if r[c] is not None})
+    common = dict(zip(layout.common.tolist(), layout.number.tolist())) | {int(language_model.START[0]): 0}
+    assert 1 <= layout.span <= 8 and not set(common) & set(rare) and set(common) | set(rare) >= set(follow)
+    last = language_model.ROUNDS + language_model.SAMPLES
+    numbers = range(last - len(samples) + 1, last + 1)
+    for k, n in follow.items():
+        assert n == (samples[0].customers[common[k]] if k in common else rare[k][0, "customers"])
+        for g, number in zip(samples, numbers):
+            tables = g.tables[common[k]] if k in common else rare[k][number, "tables"]
+            assert len(types[k]) <= tables <= n
+    # probabilities of all pairs, and of words that a context has not had, from the same totals
+    pair, parent = {}, {}
+    for r in model.shards.collect():
+        own, others = unpack(r["words"], "<u8").tolist(), language_model.unpack_hashes(r["rare"]).tolist()
+        parent |= dict(zip(own, unpack(r["parents"], "<f4").astype(float).reshape(len(samples), -1).T))
+        name = {i: k for k, i in common.items()} | {layout.span + i: k for i, k in enumerate(others)}
+        for a, k, log in zip(unpack(r["word"]), unpack(r["context"]).tolist(), unpack(r["logs"], "<f4").astype(float)):
+            pair[name[k], own[a]] = log
+    unseen = np.array([g.unseen() for g in samples])
+
+    def log_p(k, w):
+        if (k, w) in pair:
+            return pair[k, w]
+        p = parent.get(w, unseen)
+        if k in common:
+            return math.log10(language_model.back_off(samples, np.array([common[k]]), p[:, None])[0])
+        n = rare[k][0, "customers"] if k in rare else 0
+        tables = [rare[k][i, "tables"] if k in rare else 0 for i in numbers]
+        return math.log10(sum((language_model.STRENGTH + g.discount * t) * q for g, t, q in zip(samples, tables, p)) / len(samples) / (language_model.STRENGTH + n))
+
+    total = collections.defaultdict(float)  # over all words and the rest of every context
+    for (k, w), log in pair.items():
+        total[k] += 10.0 ** log
+    for k in types:
+        rest = sum(parent.values()) + unseen - sum(parent[w] for c, w in pair if c == k)
+        n, tables = follow[k], [g.tables[common[k]] if k in common else rare[k][i, "tables"] for g, i in zip(samples, numbers)]
+        rest = sum((language_model.STRENGTH + g.discount * t) * q for g, t, q in zip(samples, tables, rest)) / len(samples) / (language_model.STRENGTH + n)
+        assert abs(total[k] + rest - 1) < 1e-3
+    asked = docs.unionAll(docs.sparkSession.createDataFrame([docs.first()], docs.schema).withColumn("text", F.lit("Zyx zyx qwv the zyx")))
+    want = sorted(round(sum(log_p(hashed(a), hashed(b)) for t in [cut_up(r["text"])] for a, b in zip([" start", *t], [*t, " end"])), 3) for r in asked.collect())
+    got = sorted(round(r["score"], 3) for r in language_model.score(asked, model).collect())
+    assert np.allclose(got, want, atol=2e-3)
+
+
 def test_seating_of_small_counts():
     """Tables of two customers: the second opens one with weight mass against 1 - d."""
     rng = np.random.default_rng(0)
