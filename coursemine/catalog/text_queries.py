@@ -96,9 +96,19 @@ def q_clean_key_term(spark, sf):
     )
 
 
+def _first_words(c: F.Column, n: int) -> F.Column:
+    """The first pieces between spaces of what is left of a text without all but A-Z, a-z and spaces; the first may be empty.
+
+    They end before the word n + 1 that has a letter, so no more of a long text is cleaned and split.
+    """
+    start = F.regexp_extract(c, r"\A(?:[^A-Za-z]*+[A-Za-z][^ ]*+){%d}" % (n + 1), 0)
+    bare = F.regexp_replace(F.when(start != "", start).otherwise(c), "[^A-Za-z ]+", "")
+    return F.slice(F.split(bare, " +", n + 1), 1, n)
+
+
 def _outside_terms(c: DataFrame) -> DataFrame:
     """Terms as a model would supply them: the first words of the chunk, confidence partly missing."""
-    words = F.slice(F.split(F.regexp_replace("content", "[^A-Za-z ]", ""), " +"), 1, 6)
+    words = _first_words(F.col("content"), 6)
     item = lambda w, i: F.struct(
         w.alias("source"), F.lit("").alias("zh"), F.lit("").alias("kind"),
         F.when(i % 2 == 0, F.lit(0.9) - i * F.lit(0.1)).alias("confidence"), F.lit("").alias("term_source"),

@@ -1,7 +1,10 @@
 """Text functions against values worked out by hand, above all the ideograph paths that the tables lack."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from coursemine.catalog import text_queries
 from coursemine.functions import terms, text as tx, tokens as tk
 from coursemine.operators import chunking
 
@@ -96,3 +99,14 @@ def test_chunk_packs_paragraphs(spark, one):
 def test_parse_json_fallback(spark, one):
     expr = lambda X: tx.fallback_parse_json(X, "k int", F.struct(F.lit(-1).alias("k")))["k"]
     assert [one(expr, t) for t in ('{"k": 3}', 'so: {"k": 4} ok', '{"k": ', "none")] == [3, 4, -1, -1]
+
+
+def test_first_words_equal_those_of_the_whole_text(spark):
+    """The start that is cleaned holds the first pieces of any text, also where nothing but signs stands between spaces."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab Z\n\t,.9é好$\\", k=rng.randrange(60))) for _ in range(3000)] + ["", " ", "a", " a  b", "好" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    plain = F.slice(F.split(F.regexp_replace("x", "[^A-Za-z ]", ""), " +"), 1, 6)
+    rows = df.select("x", plain.alias("want"), text_queries._first_words(F.col("x"), 6).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in rows)
+    assert max(len(r["got"]) for r in rows) == 6
