@@ -14,9 +14,9 @@ from coursemine.operators.ranking import is_small, stored
 from coursemine.operators import approximate as ap, chunking, conversations as cv, enrichment as en, postings as ps, retrieval as rt, vectors as vx
 
 
-def searchable(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunk rows as the lexical search reads them; terms come from ``enrich_chunks`` where it has run."""
-    c = chunks(spark, sf)
+def searchable(spark: SparkSession, sf: str, cut: DataFrame | None = None) -> DataFrame:
+    """Chunk rows as the lexical search reads them, of ``cut`` where chunks are at hand; terms come from ``enrich_chunks`` where it has run."""
+    c = chunks(spark, sf) if cut is None else cut
     return (
         c.withColumn("retrieval_text", tx.clean_for_retrieval(F.col("content")))
         .withColumn("content_preview", F.substring("content", 1, 500))
@@ -29,8 +29,8 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return rt.rewrite_queries(view(spark, sf, "query"))
 
 
-def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.token_table(searchable(spark, sf))
+def tokens(spark: SparkSession, sf: str, cut: DataFrame | None = None) -> DataFrame:
+    return rt.token_table(searchable(spark, sf, cut))
 
 
 def math_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,14 +62,15 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def dense_hits(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
-    c = vx.hash_embed(chunks(spark, sf), "content", out="embedding").select("goal_id", *rt.CHUNK_KEY, "embedding")
+def dense_hits(spark: SparkSession, sf: str, cut: DataFrame, k: int = 30) -> DataFrame:
+    c = vx.hash_embed(cut, "content", out="embedding").select("goal_id", *rt.CHUNK_KEY, "embedding")
     q = vx.hash_embed(requests(spark, sf), "semantic_query", out="vector")
     return vx.dense_topk(q, c, rt.CHUNK_KEY, k)
 
 
 def merged_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.merge_hits(dense_hits(spark, sf), rt.lexical_topk(requests(spark, sf), tokens(spark, sf)))
+    cut = stored(chunks(spark, sf).select("goal_id", *rt.CHUNK_KEY, "content"), "chunks")  # both searches read them
+    return rt.merge_hits(dense_hits(spark, sf, cut), rt.lexical_topk(requests(spark, sf), tokens(spark, sf, cut)))
 
 
 def ranked_hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:

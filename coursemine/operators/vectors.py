@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -101,10 +102,10 @@ SUMMED = 1000
 
 
 @lru_cache(1 << 17)
-def _signed_hash(token: str) -> tuple[int, float]:
-    """``token_hash`` and the sign of a token."""
+def _signed_hash(token: str) -> int:
+    """``token_hash`` and the sign of a token: the sign is that of the number, which is the hash from 1."""
     h = int.from_bytes(hashlib.md5(token.encode(), usedforsecurity=False).digest()[:4], "big")
-    return h, 1.0 if (h >> 8) % 2 == 0 else -1.0
+    return h + 1 if (h >> 8) % 2 == 0 else -h - 1
 
 
 def _text_tokens(text: str) -> list[str]:
@@ -118,10 +119,10 @@ def _text_tokens(text: str) -> list[str]:
 
 def _hashed(texts: list[str | None], dims: int) -> np.ndarray:
     """Unit vectors of some texts, one row each."""
-    pairs = [list(map(_signed_hash, _text_tokens(t or ""))) for t in texts]
-    flat = np.array([p for ps in pairs for p in ps], float).reshape(-1, 2)
-    cells = np.repeat(np.arange(len(texts)) * dims, [len(ps) for ps in pairs]) + flat[:, 0].astype(np.int64) % dims
-    sums = np.bincount(cells, flat[:, 1], len(texts) * dims).reshape(len(texts), dims)
+    tokens = [_text_tokens(t or "") for t in texts]
+    flat = np.fromiter(map(_signed_hash, chain.from_iterable(tokens)), np.int64)
+    cells = np.repeat(np.arange(len(texts)) * dims, [len(ts) for ts in tokens]) + (np.abs(flat) - 1) % dims
+    sums = np.bincount(cells, np.sign(flat), len(texts) * dims).reshape(len(texts), dims)
     norms = np.sqrt((sums * sums).sum(1, keepdims=True))
     return (sums / np.where(norms > 0, norms, 1)).astype(np.float32)
 
@@ -276,8 +277,9 @@ def dense_topk(
 ) -> DataFrame:
     """(query_id, *keys, distance, rank): the k nearest vectors in the query's scope by cosine distance.
 
-    Exact, and pairs are never materialized: requests meet the vectors of their scope in
-    a grid of tiles, NumPy multiplies tile by tile, and at most k rows per request and
+    Exact, and pairs are never materialized.  At most ``tile_queries`` requests go to the
+    vectors, which are read once where they are made: a task gives its k nearest rows per
+    request.  More requests meet the vectors of their scope in a grid of tiles, NumPy multiplies tile by tile, and at most k rows per request and
     tile come out.  Most scopes are one tile; a scope with a third of all vectors is as
     many as it needs.  ``conditions`` are columns of both sides (a material, plan, day or
     source type): a request sees only vectors with its values, null standing for any, and
@@ -291,10 +293,34 @@ def dense_topk(
     fields += [T.StructField(c, vectors.schema[c].dataType) for c in keys]
     schema = T.StructType(fields + [T.StructField("distance", T.DoubleType())])
 
-    near = _tile_nearest(queries, vectors, keys, k, schema, tile_vectors, tile_queries)
+    few = queries.limit(tile_queries + 1).toPandas()
+    if len(few) <= tile_queries:
+        near = _few_nearest(few, vectors, keys, k, schema)
+    else:
+        near = _tile_nearest(queries, vectors, keys, k, schema, tile_vectors, tile_queries)
     return top_per_key(near, ["query_id"], [F.col("distance"), *[F.col(c) for c in keys]], k)
 
 
+def _few_nearest(queries: pd.DataFrame, vectors: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
+    """The k nearest rows of each task for requests that every task can hold; vectors are neither counted nor shuffled."""
+    known = lambda scope: None if pd.isna(scope) else scope
+    asked = {known(s): (own["query_id"].to_numpy(), _unit(own["_q"]), own.filter(like="_c")) for s, own in queries.groupby("_scope", dropna=False)}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = []
+        for frame in frames:
+            for scope, block in frame.groupby("_scope", dropna=False, sort=False):
+                if known(scope) in asked:
+                    ids, a, wanted = asked[known(scope)]
+                    best += _block_best(ids, a, block, keys, k, wanted)
+            if best:
+                found = pd.concat(best, ignore_index=True).sort_values(["query_id", "distance", *keys])
+                best = [found.groupby("query_id", dropna=False).head(k)]
+        yield from best
+
+    return vectors.mapInPandas(run, schema)
+
+
 def _tile_nearest(
     queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, schema: T.StructType, tile_vectors: int, tile_queries: int
 ) -> DataFrame:

@@ -343,3 +343,34 @@ def test_only_requests_without_hits_search_everywhere(spark):
     got = rt.scoped_else_global(asked, scoped, lambda rest: seen.extend(r[0] for r in rest.collect()) or rest.withColumn("chunk_id", F.lit(9)))
     assert sorted(seen) == [1, 3]
     assert rows(got, "query_id", "chunk_id", "scope_used") == [(1, 9, "global"), (2, 7, "day"), (3, 9, "global")]
+
+
+def test_few_requests_go_to_the_vectors_once(spark):
+    """Brute force over scopes, conditions, copies and requests that come twice; every vector is made once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def made(v):
+        seen.add(1)
+        return v
+
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, size=(300, 4)).astype(float) + 0.25  # many equal ones
+    data = [(None if i % 11 == 0 else i % 3, i // 2, i % 2, "ab"[i % 2], v[i].tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(data, "goal_id int, material_id long, chunk_index int, kind string, embedding array<float>").repartition(5)
+    asked = [(i // 2, [0, 1, 2, 7, None][i // 2 % 5], [None, "a", "b"][i // 2 % 3], rng.normal(size=4).round(2).tolist()) for i in range(0, 30, 2)]
+    asked.append(asked[0])
+    queries = spark.createDataFrame(asked, "query_id long, goal_id int, kind string, vector array<float>")
+    got = vx.dense_topk(queries, vectors.withColumn("embedding", made("embedding")), ["material_id", "chunk_index"], 6, conditions=("kind",))
+    found = rows(got, "query_id", "material_id", "chunk_index", "distance", "rank")
+    assert seen.value == 300
+    unit = lambda x: (y := np.float32(x).astype(float)) / np.linalg.norm(y)
+    want = []
+    for q in sorted({x[0] for x in asked}):
+        near = []
+        for _, goal, kind, x in (a for a in asked if a[0] == q):
+            near += [(round(1 - float(unit(x) @ unit(r[4])), 6) + 0.0, r[1], r[2]) for r in data if r[0] == goal and kind in (None, r[3])]
+        want += [(q, m, c, d, n + 1) for n, (d, m, c) in enumerate(sorted(near)[:6])]
+    assert found == sorted(want)
+    grid = vx.dense_topk(queries, vectors, ["material_id", "chunk_index"], 6, conditions=("kind",), tile_queries=3)
+    assert rows(grid, "query_id", "material_id", "chunk_index", "distance", "rank") == found

@@ -1,6 +1,7 @@
 """Text functions against values worked out by hand, above all the ideograph paths that the tables lack."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -110,3 +111,16 @@ def test_first_words_equal_those_of_the_whole_text(spark):
     rows = df.select("x", plain.alias("want"), text_queries._first_words(F.col("x"), 6).alias("got")).collect()
     assert all(r["got"] == r["want"] for r in rows)
     assert max(len(r["got"]) for r in rows) == 6
+
+
+def test_single_blanks_symbols_and_accents(one):
+    """Runs of white space and of marks become one blank, whichever they are made of; wide symbols mark a formula, accents do not."""
+    for text in ("a b", "a  b", "a\tb", "a \t b\t", "\t\n\n\n a\n\n\n\nb \n", "a\r\nb\rc", " "):
+        want = re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", re.sub("\r\n?", "\n", text))).strip()
+        assert one(tx.normalize_text, text) == want
+    for text in ("a b", "a, b", "a.b", "a b", "a\nb", "a   b", "x - y", "-x-", " ; ", "a{b}c", "é. à", "a|b"):
+        assert one(tx.clean_for_retrieval, text) == re.sub(r"[{}\\=+\-*/<>|()\[\],.;:\s]+", " ", text).strip(" ")
+    for symbol in "=^_+-*/<>|∫√∞≤≥≠≈∑∏∂∆∇±×÷":
+        line = f"é1 {symbol} 2{symbol} 3"
+        assert one(tx.extract_formulas, f"été\n{line}\nplain") == [line]
+    assert one(tx.extract_formulas, "été, naïve Grüße") == [] == one(tx.extract_formulas, "a well-known long word in a sentence of prose")
