@@ -310,10 +310,11 @@ def q_cited_files(spark, sf):
 def q_enriched_search(spark, sf):
     """The whole path: chunk, enrich, embed the enriched text, search both ways, fuse."""
     e = en.enrich_chunks(chunks(spark, sf)).withColumn("content_preview", F.substring("content", 1, 500))
-    c = vx.hash_embed(e, "embedding_text", out="embedding").select("goal_id", *rt.CHUNK_KEY, "embedding")
+    t = stored(rt.token_table(e, "goal_id", "embedding_text"), "enriched")  # both searches read it, and no text is enriched twice
+    c = vx.hash_embed(t, "embedding_text", out="embedding").select("goal_id", *rt.CHUNK_KEY, "embedding")
     q = requests(spark, sf)
     dense = vx.dense_topk(vx.hash_embed(q, "semantic_query"), c, rt.CHUNK_KEY, 30)
-    return rt.hybrid_rank(rt.merge_hits(dense, rt.lexical_topk(q, rt.token_table(e))), 5)
+    return rt.hybrid_rank(rt.merge_hits(dense, rt.lexical_topk(q, t.drop("embedding_text"))), 5)
 
 
 QUERIES = {

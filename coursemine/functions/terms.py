@@ -498,16 +498,23 @@ def rerank_extracted(items: Column, k: int = fv.MAX_KEY_TERMS) -> Column:
     return _rank(F.transform(items, scored), k)
 
 
+def _usable_form(c: Column) -> Column:
+    """The cleaned form of a term's side, blank where invalid.  For words of two letters or more, as most terms are, few of the tests can fire."""
+    def plain(t: Column) -> Column:
+        return let(_trim_stopwords(t), lambda x: F.when(valid_latin_phrase(x), x).otherwise(F.lit("")))
+
+    def other(t: Column) -> Column:
+        return let(clean_key_term(t), lambda x: F.when(valid_key_term(x), x).otherwise(F.lit("")))
+
+    words = r"\A[A-Za-z]{2,}(?: [A-Za-z]{2,})*\z"
+    return let(F.coalesce(c, F.lit("")), lambda t: F.when(t == "", t).when(t.rlike(words), plain(t)).otherwise(other(t)))
+
+
 def usable_terms(items: Column, least: float = 0.45) -> Column:
     """Source and zh forms of the trusted terms, cleaned, valid, distinct in order."""
     trusted = F.filter(items, lambda t: t["confidence"].isNull() | (t["confidence"] >= least))
-    forms = F.flatten(
-        F.transform(
-            trusted,
-            lambda t: F.array(clean_key_term(F.coalesce(t["source"], F.lit(""))), clean_key_term(F.coalesce(t["zh"], F.lit("")))),
-        )
-    )
-    return F.array_distinct(F.filter(forms, lambda x: (x != "") & valid_key_term(x)))
+    forms = F.flatten(F.transform(trusted, lambda t: F.array(_usable_form(t["source"]), _usable_form(t["zh"]))))
+    return F.array_distinct(F.filter(forms, lambda x: x != ""))
 
 
 def term_labels(items: Column, n: int = 5) -> Column:
